@@ -115,7 +115,7 @@ WITH RECURSIVE w AS (
 ), s AS (
   SELECT DISTINCT doc_id, sh FROM (
     SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-                               ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh
+                               ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh
     FROM w)
 ), n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
 p AS (
