@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.schema import CUTOFF, MIN_CORR_POINTS, SHRINKAGE, TIER_WEIGHTS
 
-KST = F.expr("INTERVAL 9 HOURS")
+
+def to_kst(utc: Column) -> Column:
+    return utc + F.expr("INTERVAL 9 HOURS")
 
 
 def kst_date(utc: Column) -> Column:
-    return F.to_date(utc + KST)
+    return F.to_date(to_kst(utc))
 
 
 def to_utc(local: Column, zone: str = "Asia/Seoul") -> Column:
@@ -20,7 +22,7 @@ def to_utc(local: Column, zone: str = "Asia/Seoul") -> Column:
 
 def signal_date(utc: Column, cutoff: str = CUTOFF) -> Column:
     """The Korean day whose opening a document can still act on: its own up to the cutoff's minute, else the next."""
-    local = utc + KST
+    local = to_kst(utc)
     return F.when(F.date_format(local, "HH:mm") <= cutoff, F.to_date(local)).otherwise(F.date_add(F.to_date(local), 1))
 
 

@@ -9,18 +9,19 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REPLACEMENT = "�"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     import unicodedata
 
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     import html
 
@@ -49,7 +50,12 @@ def body_hash(body: Column, unicode: bool = True) -> Column:
 
 def shingles(s: Column, k: int = 3) -> Column:
     """Character k-grams; the string itself if it is shorter; none if it is empty."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substr(s, i, F.lit(k)))
+
+    def cut(chars: Column) -> Column:
+        # a lambda's outer expressions run again for each element, so the split is bound once
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - k), lambda i: F.concat(*[F.get(chars, i + j) for j in range(k)]))
+
+    grams = F.transform(F.array(F.split(s, "")), cut)[0]
     return F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) < k, F.array(s)).otherwise(grams)
 
 
@@ -60,13 +66,16 @@ def hash64(s: Column) -> Column:
 
 def simhash64(norm: Column) -> Column:
     """64 majority votes over the shingles' hash bits; 0 for the empty string."""
-    hashes = F.transform(shingles(norm), hash64)
+    lane, low = F.lit(0x0000000100000001).cast("long"), F.lit(0xFFFFFFFF).cast("long")
 
-    def voted(hs: Column) -> Column:
-        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.aggregate(hs, F.lit(0), lambda s, h: s + F.when(F.call_function("bit_get", h, b) == 1, 1).otherwise(-1)) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+    def voted(hashes: Column) -> Column:
+        # 32 sums of two 32-bit lanes hold the counts of all 64 bits in one pass over the shingles
+        sums = F.aggregate(hashes, F.array_repeat(F.lit(0).cast("long"), 32), lambda acc, h: F.transform(acc, lambda a, i: a + F.call_function("shiftrightunsigned", h, i).bitwiseAND(lane)))
+        bit = lambda count, at: F.when(2 * count > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
+        parts = F.transform(sums, lambda s, i: bit(s.bitwiseAND(low), i).bitwiseOR(bit(F.call_function("shiftrightunsigned", s, F.lit(32)), i + 32)))
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
 
-    return F.when(F.length(norm) == 0, F.lit(0).cast("long")).otherwise(F.transform(F.array(hashes), voted)[0])
+    return F.transform(F.array(norm), lambda s: F.when(F.length(s) == 0, F.lit(0).cast("long")).otherwise(F.transform(F.array(F.transform(shingles(s), hash64)), voted)[0]))[0]
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -82,7 +91,7 @@ def bands(simhash: Column) -> Column:
     return F.transform(F.array(*[F.lit(16 * k) for k in range(4)]), lambda s: F.call_function("shiftrightunsigned", simhash, s).bitwiseAND(F.lit(65535).cast("long")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * 2 * LCS / (len a + len b), the token-set score of strings without spaces; 0 if either is empty."""
 

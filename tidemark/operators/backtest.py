@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.functions.finance import carry_charge, fee_charge, tier_weight, tradable_open
 from tidemark.schema import IMBALANCE_RATIO
 
-BY_DAY = Window.partitionBy("code").orderBy("kst_date")
-UPTO = BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = BY_DAY.rowsBetween(Window.unboundedPreceding, -1)
-ALL = Window.partitionBy("code")
+
+def by_day() -> WindowSpec:
+    return Window.partitionBy("code").orderBy("kst_date")
+
+
+def upto() -> WindowSpec:
+    return by_day().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def tier_signal(sd: DataFrame, media: DataFrame) -> DataFrame:
@@ -40,8 +43,8 @@ def weighted_signal(signal: DataFrame, weights: dict[str, float] | None = None)
 def align(prices: DataFrame, raw: DataFrame) -> DataFrame:
     """Price days from one before the first signal on, with the raw signal, 0 where there is none."""
     x = prices.select("code", "kst_date", tradable_open(F.col("open"), F.col("close")).alias("open"), "close").join(raw, ["code", "kst_date"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
-    x = x.withColumn("rn", F.row_number().over(BY_DAY))
-    x = x.withColumn("first_rn", F.min(F.when(F.col("raw") != 0, F.col("rn"))).over(ALL))
+    x = x.withColumn("rn", F.row_number().over(by_day()))
+    x = x.withColumn("first_rn", F.min(F.when(F.col("raw") != 0, F.col("rn"))).over(Window.partitionBy("code")))
     return x.where(F.col("rn") >= F.greatest(F.lit(1), F.col("first_rn") - 1)).drop("first_rn")
 
 
@@ -49,10 +52,10 @@ def positions(days: DataFrame, direction: str = "forward", limit: str = "long_on
     """Adds position and delta.  Long-only is the running sum lifted by its lowest point below zero, so no fold is needed."""
     sign = 1.0 if direction == "forward" else -1.0
     px = F.col("open")
-    x = days.withColumn("wish", F.when(px > 0, sign * F.col("raw")).otherwise(0.0)).withColumn("_s", F.sum("wish").over(UPTO))
-    pos = F.col("_s") if limit == "unlimited" else F.col("_s") - F.least(F.lit(0.0), F.min("_s").over(UPTO))
+    x = days.withColumn("wish", F.when(px > 0, sign * F.col("raw")).otherwise(0.0)).withColumn("_s", F.sum("wish").over(upto()))
+    pos = F.col("_s") if limit == "unlimited" else F.col("_s") - F.least(F.lit(0.0), F.min("_s").over(upto()))
     x = x.withColumn("position", pos)
-    return x.withColumn("delta", F.col("position") - F.coalesce(F.lag("position").over(BY_DAY), F.lit(0.0))).drop("_s")
+    return x.withColumn("delta", F.col("position") - F.coalesce(F.lag("position").over(by_day()), F.lit(0.0))).drop("_s")
 
 
 def simulate(days: DataFrame, fees: dict[str, float]) -> DataFrame:
@@ -63,7 +66,7 @@ def simulate(days: DataFrame, fees: dict[str, float]) -> DataFrame:
     """
     x = positions_cost(days, fees)
     if not fees["borrow"] and not fees["financing"]:
-        out = x.withColumn("carry", F.lit(0.0)).withColumn("cash", -F.sum(F.col("delta") * F.col("open") + F.col("cost")).over(UPTO))
+        out = x.withColumn("carry", F.lit(0.0)).withColumn("cash", -F.sum(F.col("delta") * F.col("open") + F.col("cost")).over(upto()))
     else:
         day = F.struct("kst_date", "open", "close", "raw", "position", "delta", "cost")
         rows = x.groupBy("code").agg(F.sort_array(F.collect_list(day)).alias("rows"))
@@ -91,7 +94,7 @@ def rounded(path: DataFrame) -> DataFrame:
 
 
 def drawdown(path: DataFrame) -> DataFrame:
-    return path.withColumn("drawdown", F.col("net") - F.max("net").over(UPTO))
+    return path.withColumn("drawdown", F.col("net") - F.max("net").over(upto()))
 
 
 def summary(path: DataFrame, fees: dict[str, float]) -> DataFrame:
@@ -136,7 +139,7 @@ def imbalance(sd: DataFrame, ratio: float = IMBALANCE_RATIO, top: int = 5) -> Da
 def dca(prices: DataFrame, amount: float = 1_000_000.0, fee: float = 0.00065) -> DataFrame:
     """A fixed sum invested at each month's first close, less a fee: invested, shares and value by day."""
     month = F.trunc("kst_date", "month")
-    new = F.coalesce(month != F.trunc(F.lag("kst_date").over(BY_DAY), "month"), F.lit(True))
+    new = F.coalesce(month != F.trunc(F.lag("kst_date").over(by_day()), "month"), F.lit(True))
     x = prices.where("close > 0").withColumn("buys", F.when(new, amount).otherwise(0.0))
-    x = x.withColumns({"invested": F.sum("buys").over(UPTO), "shares": F.sum(F.col("buys") * (1 - fee) / F.col("close")).over(UPTO)})
+    x = x.withColumns({"invested": F.sum("buys").over(upto()), "shares": F.sum(F.col("buys") * (1 - fee) / F.col("close")).over(upto())})
     return x.withColumn("value", F.col("shares") * F.col("close"))

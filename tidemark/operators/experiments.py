@@ -8,15 +8,16 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.finance import safe_corr
 from tidemark.operators.backtest import dca
-from tidemark.operators.stats import BY_DAY
+from tidemark.operators.stats import by_day
 
 
 def tone_compare(frame: DataFrame, max_lag: int = 5, rows: int = 20) -> DataFrame:
     """(code, lag, n, r) between trailing means of signal and return."""
-    w = BY_DAY.rowsBetween(-(rows - 1), 0)
+    w = by_day().rowsBetween(-(rows - 1), 0)
     x = frame.where("ret IS NOT NULL").select("code", "kst_date", F.avg("net").over(w).alias("s"), F.avg("ret").over(w).alias("ret"))
     lags = list(range(-max_lag, max_lag + 1))
-    wide = x.select("code", "s", F.posexplode(F.array(*[F.lead("ret", k).over(BY_DAY) if k >= 0 else F.lag("ret", -k).over(BY_DAY) for k in lags])).alias("at", "r"))
+    wide = x.select("code", "s", *[(F.lead("ret", k) if k >= 0 else F.lag("ret", -k)).over(by_day()).alias(f"r{k}") for k in lags])
+    wide = wide.select("code", "s", F.posexplode(F.array(*[F.col(f"`r{k}`") for k in lags])).alias("at", "r"))
     return wide.where("r IS NOT NULL").groupBy("code", (F.col("at") - max_lag).alias("lag")).agg(F.count("*").alias("n"), safe_corr(F.col("s"), F.col("r")).alias("r"))
 
 
@@ -24,7 +25,7 @@ def frames(prices: DataFrame) -> DataFrame:
     """Day by day: monthly buying against holding, with the events worth showing."""
     x = dca(prices)
     first = F.first("close").over(Window.partitionBy("code").orderBy("kst_date").rowsBetween(Window.unboundedPreceding, 0))
-    move = F.abs(F.col("close") / F.lag("close").over(BY_DAY) - 1)
+    move = F.abs(F.col("close") / F.lag("close").over(by_day()) - 1)
     event = F.when(F.col("buys") > 0, "buy").when(move > 0.5, "swing")
     return x.select("code", "kst_date", F.round("invested", 0).alias("invested"), F.round(F.col("value") - F.col("invested"), 0).alias("dca_gain"), F.round(100 * (F.col("close") / first - 1), 4).alias("hold_pct"), event.alias("event"))
 

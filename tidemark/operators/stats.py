@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.functions.finance import polarity, safe_corr, significance
 from tidemark.operators.series import resample_mean
 from tidemark.schema import MIN_DAYS
 
-BY_DAY = Window.partitionBy("code").orderBy("kst_date")
+
+def by_day() -> WindowSpec:
+    return Window.partitionBy("code").orderBy("kst_date")
 
 
 def returns(prices: DataFrame) -> DataFrame:
     """Adds ``ret``, the change from the last known close; the first is null."""
-    filled = F.last("close", ignorenulls=True).over(BY_DAY.rowsBetween(Window.unboundedPreceding, 0))
-    return prices.withColumn("_close", filled).withColumn("ret", F.try_divide(F.col("_close"), F.lag("_close").over(BY_DAY)) - 1).drop("_close")
+    filled = F.last("close", ignorenulls=True).over(by_day().rowsBetween(Window.unboundedPreceding, 0))
+    return prices.withColumn("_close", filled).withColumn("ret", F.try_divide(F.col("_close"), F.lag("_close").over(by_day())) - 1).drop("_close")
 
 
 def entity_frame(sd: DataFrame, prices: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def lag_pairs(frame: DataFrame, signal: str, max_lag: int) -> DataFrame:
     """(code, lag, s, r): signal at a row and return ``lag`` rows later, by position among rows that have a return."""
     x = frame.where("ret IS NOT NULL").select("code", "kst_date", F.coalesce(F.col(signal), F.lit(0.0)).alias("s"), "ret")
     lags = range(-max_lag, max_lag + 1)
-    wide = x.select("code", "s", *[F.lead("ret", k).over(BY_DAY).alias(f"r{k}") if k >= 0 else F.lag("ret", -k).over(BY_DAY).alias(f"r{k}") for k in lags])
+    wide = x.select("code", "s", *[F.lead("ret", k).over(by_day()).alias(f"r{k}") if k >= 0 else F.lag("ret", -k).over(by_day()).alias(f"r{k}") for k in lags])
     return wide.select("code", "s", F.posexplode(F.array(*[F.col(f"`r{k}`") for k in lags])).alias("at", "r")).select("code", (F.col("at") - max_lag).alias("lag"), "s", "r").where("r IS NOT NULL")
 
 
@@ -50,7 +52,7 @@ def best_lag(lags: DataFrame, digits: int = 3) -> DataFrame:
 def differenced(frame: DataFrame, signal: str = "net") -> DataFrame:
     """The frame with the signal's change in its place, over rows that have a return."""
     x = frame.where("ret IS NOT NULL").withColumn(signal, F.coalesce(F.col(signal), F.lit(0.0)))
-    return x.withColumn(signal, F.col(signal) - F.lag(signal).over(BY_DAY)).where(F.col(signal).isNotNull())
+    return x.withColumn(signal, F.col(signal) - F.lag(signal).over(by_day())).where(F.col(signal).isNotNull())
 
 
 def compare(frame: DataFrame, max_lag: int = 5) -> DataFrame:

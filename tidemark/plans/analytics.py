@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import backtest as bt
 from tidemark.operators import health, labels, ledger, stats
 from tidemark.plans import api
-from tidemark.plans.proxies import coverage, documents, entities, media, prices, sentiment_daily, table, titles, with_
+from tidemark.plans.proxies import coverage, documents, entities, media, plain, plain_sql, prices, sentiment_daily, table, titles, with_
 from tidemark.plans.registry import query
 from tidemark.plans.tables import _AGG, _COV, _RAW, _TEMP
 from tidemark.schema import FEES, NO_FEES
@@ -38,8 +38,14 @@ pa AS (SELECT code, kst_date, open, close, raw, position, delta, cost, carry, ca
     return D(ALL, f"{body} {tail}", recursive=bool(fees["borrow"] or fees["financing"]))
 
 
-_SHOW = "SELECT code, kst_date, round(position, 4) AS position, round(delta, 4) AS delta, round(cost, 3) AS cost, round(carry, 3) AS carry, round(cash, 1) AS cash, round(net, 1) AS net FROM pa"
-_OUT = {"position": 4, "delta": 4, "cost": 3, "carry": 3, "cash": 1, "net": 1}
+def _digits(fees: dict) -> dict[str, int]:
+    """Without fees money falls on a grid of four decimals, with them on one far finer than two: so no value is a tie."""
+    money = 2 if fees["buy"] else 4
+    return {"position": 4, "delta": 4, "cost": 9, "carry": 6, "cash": money, "net": money}
+
+
+def _show(fees: dict) -> str:
+    return "SELECT code, kst_date, " + ", ".join(plain_sql(f"round({c}, {k})") + f" AS {c}" for c, k in _digits(fees).items()) + " FROM pa"
 
 
 def _path(spark, d, direction, limit, fees):
@@ -47,7 +53,7 @@ def _path(spark, d, direction, limit, fees):
 
 
 def _shown(spark, d, direction, limit, fees):
-    return _path(spark, d, direction, limit, fees).select("code", "kst_date", *[F.round(c, k).alias(c) for c, k in _OUT.items()])
+    return _path(spark, d, direction, limit, fees).select("code", "kst_date", *[plain(F.round(c, k)).alias(c) for c, k in _digits(fees).items()])
 
 
 for _name, _dir, _lim, _fees in (
@@ -58,7 +64,7 @@ for _name, _dir, _lim, _fees in (
     ("op_backtest", "contrarian", "unlimited", FEES),
     ("win_cash_fold", "forward", "unlimited", FEES),
 ):
-    query(_name, _path_sql(_dir, _lim, _fees, _SHOW))(lambda spark, d, a=_dir, b=_lim, c=_fees: _shown(spark, d, a, b, c))
+    query(_name, _path_sql(_dir, _lim, _fees, _show(_fees)))(lambda spark, d, a=_dir, b=_lim, c=_fees: _shown(spark, d, a, b, c))
 
 query("win_position", _path_sql("forward", "long_only", NO_FEES, "SELECT code, kst_date, round(position, 4) AS position FROM pa"))(lambda spark, d: _path(spark, d, "forward", "long_only", NO_FEES).select("code", "kst_date", F.round("position", 4).alias("position")))
 query("win_start_trim", D(ALL, f"{_DAYS} SELECT code, count(*) AS days, min(kst_date) AS first_day FROM tr GROUP BY 1"))(lambda spark, d: _path(spark, d, "forward", "long_only", NO_FEES).groupBy("code").agg(F.count("*").alias("days"), F.min("kst_date").alias("first_day")))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TIERS = ("major", "daily", "online", "wire", "global", "crypto", "unknown", "blog", "community", "pr", "vendor", "algo")
 CHANNELS = ("news", "news", "news", "news", "news", "cafe", "news", "cafe", "community", "pr", "vendor", "algo")
-KST = F.expr("INTERVAL 9 HOURS")
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -45,14 +44,14 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
         F.when(i % 50 != 0, F.col("user_id").cast("string")).alias("author"),
         F.when(i % 9 != 0, F.floor("value").cast("long")).alias("engagement"),
         F.when(i % 101 != 0, F.col("ts").cast("timestamp")).alias("published_utc"),
-        F.when(i % 101 != 0, F.to_date(F.col("ts") + KST)).alias("kst_date"),
+        F.when(i % 101 != 0, F.to_date(F.col("ts") + F.expr("INTERVAL 9 HOURS"))).alias("kst_date"),
         F.when(known, label).cast("int").alias("label"),
         F.when(known, (i % 11 != 0).cast("int")).alias("is_relevant"),
         F.when(known, (i % 100) / 100.0).alias("confidence"),
         F.when(known, F.when(i % 13 == 0, "v2").otherwise("v3")).alias("prompt_version"),
         F.when(known, F.when(i % 17 == 0, "inherited").otherwise("stub")).alias("label_model"),
         F.concat(F.lit("g"), i % 300).alias("dup_group_id"),
-        (i % 10 != 3).cast("int").alias("is_canonical"),
+        (F.floor(i / 300) % 3 != 1).cast("int").alias("is_canonical"),
     )
 
 
@@ -140,7 +139,7 @@ CTE = {
   CASE WHEN event_id % 7 <> 0 THEN (event_id % 11 <> 0)::INT END AS is_relevant, CASE WHEN event_id % 7 <> 0 THEN (event_id % 100) / 100.0::DOUBLE END AS confidence,
   CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_id % 13 = 0 THEN 'v2' ELSE 'v3' END END AS prompt_version,
   CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_id % 17 = 0 THEN 'inherited' ELSE 'stub' END END AS label_model,
-  'g' || (event_id % 300) AS dup_group_id, (event_id % 10 <> 3)::INT AS is_canonical FROM events""",
+  'g' || (event_id % 300) AS dup_group_id, ((event_id // 300) % 3 <> 1)::INT AS is_canonical FROM events""",
     "sd": """SELECT 'L' || (l_suppkey % 3) AS code, l_shipdate::DATE AS kst_date, (l_shipdate::DATE + CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END)::DATE AS signal_date, l_suppkey % 12 AS media_id,
   count(*) FILTER (WHERE l_returnflag = 'R') AS pos, count(*) FILTER (WHERE l_returnflag = 'N') AS neu, count(*) FILTER (WHERE l_returnflag = 'A') AS neg,
   count(*) AS doc_cnt, count(*) FILTER (WHERE l_quantity > 10) AS canonical_cnt FROM lineitem GROUP BY 1, 2, 3, 4""",
@@ -161,6 +160,15 @@ def with_(names: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join(f"{n} AS ({CTE[n]})" for n in names.split()) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().removeprefix("+")
 
 
+def plain(x: Column) -> Column:
+    """Without negative zeros, which compare equal but hash apart."""
+    return F.when(x == 0, F.lit(0.0)).otherwise(x)
+
+
+def plain_sql(x: str) -> str:
+    return f"CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE {x} END"
+
+
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row a key, the last by ``order``."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where("_rn = 1").drop("_rn")

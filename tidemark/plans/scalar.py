@@ -235,9 +235,9 @@ def fn_json_list(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(tx.json_list(raw)[0], F.lit("fallback")).alias("first"))
 
 
-@query("fn_fee_charge", "SELECT l_orderkey, l_linenumber, round(abs(q) * l_extendedprice * (5.0::DOUBLE + CASE WHEN q > 0 THEN 1.5::DOUBLE WHEN q < 0 THEN 19.5::DOUBLE ELSE 0 END) / 10000, 6) AS cost FROM (SELECT *, l_quantity - 25 AS q FROM lineitem)")
+@query("fn_fee_charge", "SELECT l_orderkey, l_linenumber, round(abs(q) * l_extendedprice * (5.0::DOUBLE + CASE WHEN q > 0 THEN 1.5::DOUBLE WHEN q < 0 THEN 19.5::DOUBLE ELSE 0 END) / 10000, 8) AS cost FROM (SELECT *, l_quantity - 25 AS q FROM lineitem)")
 def fn_fee_charge(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(fin.fee_charge(F.col("l_quantity") - 25, F.col("l_extendedprice"), FEES), 6).alias("cost"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(fin.fee_charge(F.col("l_quantity") - 25, F.col("l_extendedprice"), FEES), 8).alias("cost"))
 
 
 @query("fn_carry", "SELECT l_orderkey, l_linenumber, round(((CASE WHEN q < 0 THEN -q * l_extendedprice * 280.0::DOUBLE ELSE 0 END) + (CASE WHEN c < 0 THEN -c * 938.0::DOUBLE ELSE 0 END)) / 10000 / 365, 6) AS carry FROM (SELECT *, l_quantity - 25 AS q, 30000 - l_extendedprice AS c FROM lineitem)")

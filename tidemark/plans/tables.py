@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import backtest as bt
 from tidemark.operators import dedup, labels, ledger, series, stats
-from tidemark.plans.proxies import coverage, documents, entities, media, prices, sentiment_daily, table, titles, with_
+from tidemark.plans.proxies import coverage, documents, entities, media, plain, plain_sql, prices, sentiment_daily, table, titles, with_
 from tidemark.plans.registry import query
 from tidemark.plans.scalar import _PLAIN, _SIGNAL, _SIM, _plain
 
@@ -58,10 +58,10 @@ def jn_media_doc_left(spark, d):
 
 
 _ASOF = """+ sig AS (SELECT code, signal_date, tier, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg, sum(doc_cnt)::BIGINT AS doc_cnt FROM sd JOIN media USING (media_id) GROUP BY 1, 2, 3),
-asof AS (SELECT s.*, p.kst_date FROM sig s ASOF JOIN prices p ON s.code = p.code AND s.signal_date <= p.kst_date)"""
+asf AS (SELECT s.*, p.kst_date FROM sig s ASOF JOIN prices p ON s.code = p.code AND s.signal_date <= p.kst_date)"""
 
 
-@query("jn_asof_fwd", D("sd media prices", f"{_ASOF} SELECT code, signal_date, tier, pos, neg, kst_date FROM asof"))
+@query("jn_asof_fwd", D("sd media prices", f"{_ASOF} SELECT code, signal_date, tier, pos, neg, kst_date FROM asf"))
 def jn_asof_fwd(spark, d):
     sig = bt.tier_signal(sentiment_daily(spark, d), media(spark, d))
     return bt.assign_trading_day(sig, prices(spark, d)).select("code", "signal_date", "tier", "pos", "neg", "kst_date")
@@ -73,14 +73,14 @@ def jn_date_inner(spark, d):
     return sentiment_daily(spark, d).join(p, ["code", "signal_date"]).groupBy("code", "signal_date").agg(F.sum(F.col("pos") - F.col("neg")).alias("net"))
 
 
-_RAW = f"{_ASOF}, raw AS (SELECT code, kst_date, sum(coalesce(weight, 0) * (pos - neg)) AS raw FROM asof LEFT JOIN weights USING (tier) GROUP BY 1, 2)"
+_RAW = f"{_ASOF}, raw AS (SELECT code, kst_date, sum(coalesce(weight, 0) * (pos - neg)) AS raw FROM asf LEFT JOIN weights USING (tier) GROUP BY 1, 2)"
 
 
-@query("jn_map_lookup", D("sd media prices weights", f"{_RAW} SELECT p.code, p.kst_date, round(coalesce(raw, 0), 6) AS raw FROM prices p LEFT JOIN raw r ON r.code = p.code AND r.kst_date = p.kst_date"))
+@query("jn_map_lookup", D("sd media prices weights", f"{_RAW} SELECT p.code, p.kst_date, {plain_sql('round(coalesce(raw, 0), 6)')} AS raw FROM prices p LEFT JOIN raw r ON r.code = p.code AND r.kst_date = p.kst_date"))
 def jn_map_lookup(spark, d):
     p = prices(spark, d)
     raw = bt.weighted_signal(bt.assign_trading_day(bt.tier_signal(sentiment_daily(spark, d), media(spark, d)), p))
-    return p.select("code", "kst_date").join(raw, ["code", "kst_date"], "left").select("code", "kst_date", F.round(F.coalesce("raw", F.lit(0.0)), 6).alias("raw"))
+    return p.select("code", "kst_date").join(raw, ["code", "kst_date"], "left").select("code", "kst_date", plain(F.round(F.coalesce("raw", F.lit(0.0)), 6)).alias("raw"))
 
 
 @query("jn_weights", D("media weights", "SELECT media_id, coalesce(weight, 0.0) AS weight FROM media LEFT JOIN weights USING (tier)"))
@@ -207,9 +207,9 @@ def agg_tier_signal(spark, d):
     return bt.tier_signal(sentiment_daily(spark, d), media(spark, d))
 
 
-@query("agg_weighted_signal", D("sd media prices weights", f"{_RAW} SELECT code, kst_date, round(raw, 6) AS raw FROM raw"))
+@query("agg_weighted_signal", D("sd media prices weights", f"{_RAW} SELECT code, kst_date, {plain_sql('round(raw, 6)')} AS raw FROM raw"))
 def agg_weighted_signal(spark, d):
-    return bt.weighted_signal(bt.assign_trading_day(bt.tier_signal(sentiment_daily(spark, d), media(spark, d)), prices(spark, d))).select("code", "kst_date", F.round("raw", 6).alias("raw"))
+    return bt.weighted_signal(bt.assign_trading_day(bt.tier_signal(sentiment_daily(spark, d), media(spark, d)), prices(spark, d))).select("code", "kst_date", plain(F.round("raw", 6)).alias("raw"))
 
 
 _POL = "CASE WHEN pos + neg > 0 THEN (pos - neg) / (pos + neg)::DOUBLE * ((pos + neg) / (pos + neg + 10.0::DOUBLE)) END"
