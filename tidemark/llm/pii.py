@@ -118,7 +118,10 @@ def _spans(kind: Kind, text: str) -> Column:
     pieces = F.split(F.col(text), kind.pattern, -1)
 
     def build(pieces: Column) -> Column:
-        starts = _starts(pieces, matches)
+        # a lambda's outer expressions run again for each element, so the starts are bound once
+        return F.transform(F.array(_starts(pieces, matches)), lambda starts: placed(pieces, starts))[0]
+
+    def placed(pieces: Column, starts: Column) -> Column:
         near = lambda i: F.right(F.element_at(pieces, i + 1), F.lit(CONTEXT_CHARS)).rlike(kind.context)
         every = F.transform(
             matches,
