@@ -43,7 +43,7 @@ def _turn(role: Column | str, text: Column) -> Column:
 
 
 def _messages(field: str, role: str, text: str) -> Callable[[Callable[[str], Column]], Column]:
-    return lambda col: F.transform(F.coalesce(col(field), F.from_json(F.lit("[]"), f"array<struct<{role}:string,{text}:string>>")), lambda m: _turn(m[role], m[text]))
+    return lambda col: F.coalesce(F.transform(col(field), lambda m: _turn(m[role], m[text])), F.array().cast(TURNS))
 
 
 def _instruction(reply: str) -> Callable[[Callable[[str], Column]], Column]:

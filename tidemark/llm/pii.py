@@ -162,15 +162,22 @@ def report(spans: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns, every confirmed span of ``text`` replaced by its kind in brackets."""
-    text = F.col("text").cast("string")
     for kind in KINDS:
-        masked = lambda t, kind=kind: F.transform(
-            F.array(F.struct(F.split(t, kind.pattern, -1).alias("p"), F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)).alias("m"))),
-            lambda x: F.concat(
-                F.array_join(F.transform(x["m"], lambda m, i: F.concat(F.element_at(x["p"], i + 1), F.when(_valid(kind, m), F.lit(f"[{kind.name.upper()}]")).otherwise(m))), ""),
-                F.element_at(x["p"], -1),
-            ),
-        )[0]
-        docs = docs.withColumn("text", F.when(_hinted(kind, text) & F.exists(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda m, kind=kind: _valid(kind, m)), masked(text)).otherwise(text))
-        text = F.col("text")
+        text = F.col("text").cast("string")
+        docs = docs.withColumn("text", F.when(_hinted(kind, text) & _any_valid(kind, text), _masked(kind, text)).otherwise(text))
     return docs
+
+
+def _any_valid(kind: Kind, text: Column) -> Column:
+    return F.exists(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda m: _valid(kind, m))
+
+
+def _masked(kind: Kind, text: Column) -> Column:
+    mark = F.lit(f"[{kind.name.upper()}]")
+
+    def woven(x: Column) -> Column:
+        said = F.transform(x["m"], lambda m, i: F.concat(F.element_at(x["p"], i + 1), F.when(_valid(kind, m), mark).otherwise(m)))
+        return F.concat(F.array_join(said, ""), F.element_at(x["p"], -1))
+
+    cut = F.struct(F.split(text, kind.pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"))
+    return F.transform(F.array(cut), woven)[0]
