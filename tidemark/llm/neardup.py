@@ -97,6 +97,27 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return (equal - by_chance) / (1 - by_chance), np.sqrt(least * (1 - least) / n)
 
 
+def _probes() -> np.ndarray:
+    return np.random.default_rng(4).integers(0, REGISTERS, (48, REGISTERS))
+
+
+def dense(sketch: np.ndarray) -> np.ndarray:
+    """Sketches whose empty registers take the value of another, found by one fixed sequence of probes for all.
+
+    Registers of two sets then still agree with their similarity, also where the sets are smaller than the sketch, so
+    that a band never rests on a single common shingle and several empty registers.
+    """
+    out = sketch.copy()
+    some = np.flatnonzero((sketch == EMPTY).any(1) & (sketch != EMPTY).any(1))
+    held = sketch[some]
+    now = held.copy()
+    for probe in _probes():
+        now = np.where(now == EMPTY, held[:, probe], now)
+    first = held[np.arange(len(held)), (held != EMPTY).argmax(1)]
+    out[some] = np.where(now == EMPTY, first[:, None], now)
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
@@ -135,22 +156,35 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """band, rep: one row for each band of a sketch that has any shingle in it."""
+    """band, rep: one row for each band of a filled-up sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = _matrix(batch.column(1)).reshape(batch.num_rows, -1, ROWS)
-            packed = np.ascontiguousarray(sketch).view(U).reshape(batch.num_rows, -1)
+            sketch = dense(_matrix(batch.column(1)))
+            packed = sketch.view(U).reshape(batch.num_rows, -1)
             key = W.mix(W.mix(packed) ^ np.arange(packed.shape[1], dtype=U), 3)
-            used = (sketch != EMPTY).any(2)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), used.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(key[used].view(np.int64)), pa.array(ids)], names=["band", "rep"])
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), packed.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["band", "rep"])
 
     return reps.select("rep", "sketch").mapInArrow(run, "band long, rep long")
 
 
+def exploded(sets: DataFrame) -> DataFrame:
+    """rep, component, shingle: one row for each shingle of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                some = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2).slice(lo, 256)]
+                n = [len(x) for x in some]
+                rep, component = (np.repeat(batch.column(k).slice(lo, 256).to_numpy(zero_copy_only=False), n) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(component), pa.array(np.concatenate(some))], names=["rep", "component", "shingle"])
+
+    return sets.select("rep", "component", "shingles").mapInArrow(run, "rep long, component long, shingle long")
+
+
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b, estimate) of the pairs whose estimate does not rule them out."""
 
@@ -206,6 +240,33 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
     return now.select(F.col("u").alias("rep"), F.col("v").alias("component"))
 
 
+def across(held: DataFrame, found: DataFrame, near: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Likely pairs (a, b) of different components that share a bucket and that no leader stood for.
+
+    A document can only reach another component through shingles that occur in several.  Their number bounds its
+    overlap with any partner there; most members of a loose group fall to that bound, one by one.  What is left is
+    paired by bucket, those outside the first one's component against all, under the same bound for the pair.
+    """
+    named = held.join(found, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"), "first")
+    named = scratch.save(named, "named")
+    mixed = scratch.save(named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band"), "mixed")
+    named = scratch.save(named.join(mixed, "band", "left_semi"), "open")
+    who = scratch.save(named.select("rep", "component").distinct(), "who")
+    rows = scratch.save(exploded(who.join(sets.withColumnRenamed("doc_id", "rep"), "rep")), "rows")
+    several = scratch.save(rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle"), "several")
+    common = rows.join(several, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("m"))
+    alive = common.join(reps.select("rep", F.col("n_shingles").alias("n")), "rep").where(f"{OF} * m >= {LEAST} * n")
+    alive = scratch.save(alive.join(who, "rep"), "alive")
+    scratch.drop("rows", "several")
+    side = lambda x: alive.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("component").alias(f"c{x}"))
+    heads = found.select(F.col("rep").alias("first"), F.col("component").alias("cf"))
+    minor = named.join(heads, "first", "left").where("component <> coalesce(cf, first)").select("band", F.col("rep").alias("a")).join(side("a"), "a")
+    every = named.select("band", F.col("rep").alias("b")).join(side("b"), "b")
+    reach = f"ca <> cb and {OF + LEAST} * least(ma, mb) >= {LEAST} * (na + nb) and {OF} * least(na, nb) >= {LEAST} * greatest(na, nb)"
+    pairs = minor.join(every, "band").where(reach).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return likely(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), reps)
+
+
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     spark = docs.sparkSession
@@ -219,47 +280,30 @@ def cluster(docs: DataFrame) -> DataFrame:
     own = members.join(twice.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = scratch.save(some.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").dropDuplicates(["rep", "n_shingles"]), "reps")
 
-    firsts = scratch.save(bands(reps).groupBy("band").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b"), "firsts")
-    pairs = bands(reps).withColumnRenamed("rep", "a").join(firsts, "band").where("a <> b").select("a", "b").distinct()
-    near = scratch.save(likely(pairs, reps), "near")
-    ids = scratch.save(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    firsts = scratch.save(bands(reps).groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first"), "firsts")
+    held = scratch.save(bands(reps).join(firsts, "band"), "held")
+    scratch.drop("firsts")
+    near = scratch.save(likely(held.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), reps), "near")
+    ids = scratch.save(held.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = scratch.save(full_sets(texts.join(small(ids, ids.count(), 16), "doc_id", "left_semi")), "sets")
 
-    # each document's likeliest partner first; the rest only where that leaves two components
+    def between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components so far."""
+        side = lambda x: found.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}"))
+        return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+    # each document's likeliest partner first; the others only where that leaves two components
     best = near.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
     links = scratch.save(confirmed(best, sets).union(own), "links-0")
     found = components(links, scratch, "found-0")
-    for step in range(1, 4):
-        named = lambda p, found=found: p.join(found.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        if step == 1:
-            open_pairs = named(near)
-        else:
-            held = bands(reps).join(found, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-            mixed = scratch.save(held.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band"), f"mixed-{step}")
-            held = scratch.save(held.join(mixed, "band", "left_semi"), f"held-{step}")
-            x, y = held.select("band", F.col("rep").alias("a"), F.col("component").alias("ca")), held.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            across = x.join(y, "band").where("ca < cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-            open_pairs = likely(across.join(near.select("a", "b"), ["a", "b"], "left_anti"), reps).select("a", "b")
-        todo = scratch.save(open_pairs, f"todo-{step}")
-        if todo.isEmpty():
-            if step > 1:
-                break
-            continue
-        if step > 1:
-            more = todo.select(F.col("a").alias("doc_id")).union(todo.select(F.col("b").alias("doc_id"))).distinct().join(ids, "doc_id", "left_anti")
-            more = scratch.save(more, f"ids-{step}")
-            sets = sets.union(scratch.save(full_sets(texts.join(small(more, more.count(), 16), "doc_id", "left_semi")), f"sets-{step}"))
-            ids = ids.union(more)
-        new = scratch.save(confirmed(todo, sets), f"links-{step}")
-        if new.isEmpty():
-            if step > 1:
-                break
-            continue
+    new = scratch.save(confirmed(between(near, found), sets), "links-1")
+    if not new.isEmpty():
         links = links.union(new)
-        found = components(links, scratch, f"found-{step}")
-        if step > 1:
-            near = near.select("a", "b").union(todo)
+        found = components(links, scratch, "found-1")
+    new = scratch.save(confirmed(across(held, found, near, reps, sets, scratch), sets), "links-2")
+    if not new.isEmpty():
+        found = components(links.union(new), scratch, "found-2")
 
     labels = scratch.save(members.join(found, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")), "labels")
     scratch.drop("sets", "reps")
