@@ -35,6 +35,8 @@ ROWS = 4
 #: An estimate this many standard errors below the threshold rules a pair out.
 SIGMAS = 6.0
 EMPTY = 0xFFFF
+#: Edges of one task in the contraction of components.
+EDGES_A_PART = 200_000
 U = np.uint64
 
 
@@ -222,15 +224,16 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
     """(rep, component): the smallest id reachable, for every id in an edge; alternating star contraction."""
     state = None
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
+    parts = 1 + now.count() // EDGES_A_PART
     for k in range(1, rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{k}-large")
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{k}-large", parts)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.save(large.where("u <> v"), f"{name}-{k}-mid")
-        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{k}-small")
+        large = scratch.save(large.where("u <> v"), f"{name}-{k}-mid", parts)
+        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{k}-small", parts)
         joined = large.join(low2, "u")
         after = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.save(after.where("u <> v"), f"{name}-{k}")
+        after = scratch.save(after.where("u <> v"), f"{name}-{k}", parts)
         seen = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1000003), F.lit(0))).first()
         scratch.drop(f"{name}-{k}-large", f"{name}-{k}-mid", f"{name}-{k}-small", f"{name}-{k - 1}")
         now = after

@@ -34,8 +34,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        """Write and read back; ``parts``, from a count of rows, keeps small tables from becoming many files."""
+        (df if parts is None else df.coalesce(parts)).write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
