@@ -3,8 +3,8 @@
 Two generative models over hashed n-grams (words and word pairs in BUCKETS buckets) are counted from the target text and
 from all text; a document's weight is the log ratio of their probabilities, and Gumbel top-k on the weights draws a
 sample without replacement in proportion to them.  Target text is that of labelled rows with quality 1 that are not
-toxic.  Counts are vectors of fixed length, summed by worker before they meet; the k-th largest key is found from a
-histogram and then exactly inside one narrow bin, so no global sort is needed.
+toxic.  Counts are vectors of fixed length, summed by worker before they meet; the k-th largest key is found from
+histograms and then exactly inside one narrow bin, so no global sort is needed.
 
 Defined cases: null or empty text has no n-grams and weight 0; a null doc_id gets the noise of id 0; repeated rows get
 equal keys, ties at the cut all stay; without target rows all weights are 0 and the draw is uniform; an empty table
@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import words as W
-from tidemark.llm.store import Scratch
+from tidemark.llm.store import Scratch, small
 
 BUCKETS = 1 << 14
 SMOOTH = 1.0
 #: Share of the rows that is drawn.
 SHARE = 0.5
-BINS = 1 << 14
+BINS = 1 << 12
+FEW = 2000
+#: Labelled rows that the target model is counted from, at most about (taken by hash); the model of all text has no bound.
+TARGET_ROWS = 200_000
 U = np.uint64
 
 
@@ -93,15 +96,21 @@ def gumbel_top(rows: DataFrame, share: float = SHARE) -> DataFrame:
     k = int(round(bounds["n"] * share))
     if not k:
         return keyed.withColumn("selected", F.lit(False))
-    lo, hi = bounds["lo"], max(bounds["hi"], bounds["lo"] + 1e-9)
-    bin_of = F.least(F.lit(BINS - 1), F.floor((F.col("gumbel_key") - lo) / ((hi - lo) / BINS))).cast("int")
-    above = 0
-    for row in sorted(keyed.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["bin"]):  # BINS rows at most
-        if above + row["n"] >= k:
-            break
-        above += row["n"]
-    inside = keyed.where(bin_of == row["bin"]).groupBy("gumbel_key").agg(F.count("*").alias("n"))
-    upto = inside.withColumn("upto", F.sum("n").over(Window.orderBy(F.col("gumbel_key").desc())))  # the keys of one of BINS bins
+    above, inside = 0, keyed.select("gumbel_key")
+    lo, hi, held = bounds["lo"], bounds["hi"], bounds["n"]
+    # narrow the bin that holds the k-th key until few keys are left in it, or all are equal
+    while held > FEW and hi > lo:
+        step = (hi - lo) / BINS
+        bin_of = F.least(F.lit(BINS - 1), F.floor((F.col("gumbel_key") - lo) / step)).cast("int")
+        bins = inside.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min("gumbel_key").alias("lo"), F.max("gumbel_key").alias("hi")).collect()  # BINS rows at most
+        for row in sorted(bins, key=lambda r: -r["bin"]):
+            if above + row["n"] >= k:
+                break
+            above += row["n"]
+        lo, hi, held = row["lo"], row["hi"], row["n"]
+        inside = inside.where(F.col("gumbel_key").between(lo, hi))
+    inside = inside.groupBy("gumbel_key").agg(F.count("*").alias("n"))
+    upto = inside.withColumn("upto", F.sum("n").over(Window.orderBy(F.col("gumbel_key").desc())))  # at most FEW keys
     cut = upto.where(F.col("upto") >= k - above).agg(F.max("gumbel_key")).first()[0]
     return keyed.withColumn("selected", F.col("gumbel_key") >= cut)
 
@@ -109,5 +118,8 @@ def gumbel_top(rows: DataFrame, share: float = SHARE) -> DataFrame:
 def select(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, n_grams, weight, gumbel_key, selected: one row for each row of ``docs``."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    n = good.count()
+    if n > TARGET_ROWS:
+        good = good.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * TARGET_ROWS / n))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return gumbel_top(weights(read, read.join(good, "doc_id", "left_semi")), share)
+    return gumbel_top(weights(read, read.join(small(good, min(n, 2 * TARGET_ROWS), 16), "doc_id", "left_semi")), share)
