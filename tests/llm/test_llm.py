@@ -320,6 +320,38 @@ def test_language_model(spark):
     assert lm.train_and_score(docs(spark, [])).count() == 0
 
 
+def test_language_model_holds_every_pair_and_triple(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500, raising=False)  # several shards of each level
+    texts = prose(21, 40, 60)
+    x = docs(spark, texts)
+    got = {r["doc_id"]: r["score"] for r in lm.train_and_score(x).collect()}
+    toks = [t.encode().split() + [None] for t in texts]
+    train = [w for k, w in enumerate(toks) if zlib.crc32(str(k).encode()) % 10]
+    counts, after = {}, {}
+    for w in train:
+        for n in (1, 2, 3):
+            for k in range(len(w) - n + 1):
+                g = tuple(w[k : k + n])
+                counts[g] = counts.get(g, 0) + 1
+    for g in counts:
+        if len(g) > 1:
+            after.setdefault(g[:-1], []).append(g)
+    total, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    assert sum(c == 1 for g, c in counts.items() if len(g) == 3) > 100
+
+    def p(g):
+        if len(g) == 1:
+            return (counts.get(g, 0) + 0.1) / (total + 0.1 * (v + 1))
+        held = after.get(g[:-1])
+        if not held:
+            return p(g[1:])
+        c = counts[g[:-1]]
+        return max(counts.get(g, 0) - 0.5, 0) / c + 0.5 * len(held) / c * p(g[1:])
+
+    for k, w in enumerate(toks):
+        assert got[k] == pytest.approx(sum(np.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w))), rel=1e-3)
+
+
 # ---- quality -----------------------------------------------------------------------------------------------------
 def test_quality(spark):
     good, bad = prose(30, 60, 50), ["!!! buy cheap now " + t for t in prose(31, 60, 50)]

@@ -4,12 +4,14 @@ Counts cover every training document and grow with the corpus.  They live in lev
 folder that workers map into memory, so a worker holds no more of the model than its lookups touch:
 
 * level 1: the sorted hashes of words as an Elias-Fano sequence, with exact counts; a word's number is its rank;
-* level 2: for each word monotone pointers to its kept successors, as an Elias-Fano sequence of (word, successor);
-* level 3: for each kept pair its kept successors, each written as its rank among the successors of the pair's second
+* level 2: for each word monotone pointers to its successors, as an Elias-Fano sequence of (word, successor);
+* level 3: for each pair its successors, each written as its rank among the successors of the pair's second
   word (context-relative), so a lookup is a successor search in the context one level down, then one in the pair.
 
-Pairs and triples below MIN_COUNT are left to smoothing: absolute discounting, interpolated down to the additive
-unigram, with discounted probabilities and back-off weights quantised to 16 bits.
+Every pair and triple is held, also those seen once.  Smoothing is absolute discounting, interpolated down to the
+additive unigram, with discounted probabilities and back-off weights quantised to 16 bits.
+
+Workers count pairs and triples and send them to their shard packed, a row for each shard and flush.
 
 Defined cases: null or empty text is the end token alone; a null doc_id is a training document; unseen words get the
 additive floor; repeated rows are counted and scored as often as they occur; with no training rows every score is the
@@ -34,15 +36,17 @@ from tidemark.llm.store import Scratch
 
 U = np.uint64
 ORDER = 3
-MIN_COUNT = 2
 DISCOUNT = 0.5
 ADD = 0.1
-#: Words of a level-1 shard, about; the shards of a level are as many as those of level 1.
+#: Distinct words, and training tokens, of a shard, about: levels 1 and 2 have the same shards, level 3 as many.
 SHARD_WORDS = 400_000
+SHARD_TOKENS = 2_000_000
 END = U(0x5851F42D4C957F2D)
 #: Step of quantised log10 values.
 STEP = 2.0**-11
 GATHER = 4
+#: Keys that a worker gathers before it sends their counts.
+GATHER_KEYS = 2_000_000
 
 
 # ---- files -------------------------------------------------------------------------------------------------------
@@ -215,10 +219,10 @@ class Trie:
 
     def _split(self, shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(shards, kind="stable")
-        cuts = np.searchsorted(shards[order], np.arange(len(self.bases[0]) + 1))
-        for k in range(len(self.bases[0])):
-            if cuts[k] < cuts[k + 1]:
-                yield k, order[cuts[k] : cuts[k + 1]]
+        there, cuts = np.unique(shards[order], return_index=True)
+        ends = np.append(cuts[1:], len(order)) if len(cuts) else cuts
+        for k, a, b in zip(there.tolist(), cuts.tolist(), ends.tolist(), strict=True):
+            yield k, order[a:b]
 
     def _home(self, level: int, number: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bases[level - 1], number, "right") - 1
@@ -257,15 +261,15 @@ class Trie:
         return number, rank, prob, weight
 
     def triples(self, pair: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(discounted probability, back-off weight of the pair); rank -1 stands for no kept successor."""
+        """(discounted probability, back-off weight of the pair); rank -1 stands for no successor."""
         prob, weight = np.zeros(len(pair)), np.ones(len(pair))
         known = np.flatnonzero(pair >= 0)
-        for k, rows in self._split(self._home(2, pair[known])):
+        for k, rows in self._split(self._home(3, pair[known])):
             rows = known[rows]
             s = self.shard(3, k)
-            weight[rows] = restored(s["gamma"][pair[rows] - self.bases[1][k]])
+            weight[rows] = restored(s["gamma"][pair[rows] - self.bases[2][k]])
             sure = rows[rank[rows] >= 0]
-            at = s["seq"].find((pair[sure] - self.bases[1][k]).astype(U) * U(self.degree) + rank[sure].astype(U))
+            at = s["seq"].find((pair[sure] - self.bases[2][k]).astype(U) * U(self.degree) + rank[sure].astype(U))
             good = at >= 0
             prob[sure[good]] = restored(s["prob"][at[good]])
         return prob, weight
@@ -320,6 +324,43 @@ def _counted(docs: DataFrame, keys_of) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """Byte by byte of all values, so that the high bytes of sorted values are runs, which shuffles compress."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+
+def _unpacked(x: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _dealt(docs: DataFrame, keys_of, bases: list[int], bits: int) -> DataFrame:
+    """(shard, keys, counts) over all rows of ``docs``: the number above a key's low ``bits`` tells its shard."""
+    edges = np.array(bases[1:], U) << U(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+            some = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _, _ in some], pa.int32()), pa.array([_packed(keys[a:b]) for _, a, b in some], pa.binary()), pa.array([_packed(n[a:b].astype(np.uint32)) for _, a, b in some], pa.binary())],
+                names=["shard", "keys", "counts"],
+            )
+
+        for batch in batches:
+            for _, _, data, off in W.chunks(batch.column(0)):
+                held.append(keys_of(*tokens(data, off)))
+                if sum(map(len, held)) >= GATHER_KEYS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "shard int, keys binary, counts binary")
+
+
 def _inside(ptr: np.ndarray, n: int, ahead: int) -> np.ndarray:
     """Places whose next ``ahead`` tokens are in the same row."""
     out = np.zeros(n, bool)
@@ -329,14 +370,24 @@ def _inside(ptr: np.ndarray, n: int, ahead: int) -> np.ndarray:
     return out
 
 
-def _sharded(df: DataFrame, shard: Column, build, root: str, level: int, shards: int) -> list[int]:
-    """Build and write every shard in a task of its own; returns their sizes (one row a shard reaches the driver)."""
+def _sharded(df: DataFrame, build, root: str, level: int, shards: int) -> tuple[list[int], int]:
+    """Build and write every shard in one piece; returns their sizes (one row a shard reaches the driver)."""
     # a row without occurrences for each shard, so that empty ones are written too
-    every = df.select(shard.cast("int").alias("shard"), "key", "n").union(df.sparkSession.range(shards).select(F.col("id").cast("int"), F.lit(0).cast("long"), F.lit(0).cast("long")))
+    packed = "keys" in df.columns
+    none = F.lit(b"") if packed else F.lit(0).cast("long")
+    every = df.union(df.sparkSession.range(shards).select(F.col("id").cast("int"), none, none)).repartition(shards, "shard")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[frame["n"] > 0]
-        arrays = build(int(key[0]), frame["key"].to_numpy(np.int64).view(U), frame["n"].to_numpy(np.int64))
+        if packed:
+            keys, n = (np.concatenate([_unpacked(x, kind) for x in frame.pop(name)]) for name, kind in (("keys", U), ("counts", np.uint32)))
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            keys, n = keys[first], np.add.reduceat(n, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        else:
+            frame = frame[frame["n"] > 0]
+            keys, n = frame["key"].to_numpy(np.int64).view(U), frame["n"].to_numpy(np.int64)
+        arrays = build(int(key[0]), keys, n)
         write_arrays(f"{root}/{level}-{int(key[0])}", arrays)
         return pd.DataFrame({"shard": [int(key[0])], "size": [int(arrays["seq_meta"][0])], "most": [int(arrays["most"][0]) if "most" in arrays else 0]})
 
@@ -353,8 +404,6 @@ def _level2(info: dict):
     def build(shard: int, keys: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
         words = trie(info).shard(1, shard)
         totals = np.asarray(words["count"]).astype(np.float64)
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
         local = (keys >> U(32)).astype(np.int64) - info["bases"][0][shard]
         after = keys & U(0xFFFFFFFF)
         prob = (n - DISCOUNT) / totals[local]
@@ -366,20 +415,20 @@ def _level2(info: dict):
             **EliasFano.arrays(pointers, len(keys) + 1, "ptr_"),
             "prob": quantise(prob),
             "gamma": quantise(1 - taken),
-            "n": n,
+            "n": n.astype(np.min_scalar_type(int(n.max(initial=0)))),
             "most": np.array([degree.max(initial=0)]),
         }
 
     return build
 
 
-def _level3(info: dict, bits: int):
+def _level3(info: dict, bases: list[int], pairs: int, bits: int):
     def build(shard: int, keys: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-        pairs = trie(info).shard(2, shard)
-        totals = np.asarray(pairs["n"]).astype(np.float64)
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        local = (keys >> U(bits)).astype(np.int64) - info["bases"][1][shard]
+        lo, hi = bases[shard], [*bases, pairs][shard + 1]
+        below = [*info["bases"][1], pairs]
+        parts = [trie(info).shard(2, k)["n"][max(lo - a, 0) : max(hi - a, 0)] for k, (a, b) in enumerate(zip(below[:-1], below[1:], strict=True)) if a < hi and b > lo]
+        totals = np.concatenate([np.zeros(0), *parts])
+        local = (keys >> U(bits)).astype(np.int64) - lo
         prob = (n - DISCOUNT) / totals[local]
         return {
             **EliasFano.arrays(local.astype(U) * U(info["degree"]) + (keys & U((1 << bits) - 1)), max(len(totals) * info["degree"], 1), "seq_"),
@@ -398,7 +447,7 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
     scratch = Scratch(spark, "lm")
     one = scratch.save(_counted(docs, lambda h, ptr: h), "words")
     seen = one.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    bits = max(0, (max(seen["v"], 1) // SHARD_WORDS).bit_length())
+    bits = max(seen["v"] // SHARD_WORDS, seen["n"] // SHARD_TOKENS).bit_length()
     info = {"root": scratch.path("trie"), "bits": bits, "order": 1, "words": seen["v"], "total": seen["n"], "key": uuid.uuid4().hex, "bases": []}
     shards = 1 << bits
     top = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0)
@@ -407,15 +456,12 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
         by = np.argsort(keys)
         return {**EliasFano.arrays(keys[by] & U((1 << (64 - bits)) - 1), 1 << (64 - bits), "seq_"), "count": n[by]}
 
-    sizes, _ = _sharded(one, top, words, info["root"], 1, shards)
+    sizes, _ = _sharded(one.select(top.cast("int").alias("shard"), "key", "n"), words, info["root"], 1, shards)
     info["bases"].append(_bases(sizes))
     scratch.drop("words")
     if seen["v"] >= 1 << 32:
         raise ValueError("more than 2**32 distinct words")
 
-    def home(column: Column, bases: list[int]) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(b) for b in bases]), lambda b: b <= column)) - 1
-
     if order >= 2:
         one_info = dict(info)
 
@@ -425,13 +471,13 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
             at = np.flatnonzero(_inside(ptr, len(h), 1))
             return (number[at] << U(32)) | number[at + 1]
 
-        two = scratch.save(_counted(docs, pair_keys).where(F.col("n") >= MIN_COUNT), "pairs")
-        sizes, most = _sharded(two, home(F.shiftrightunsigned("key", 32), info["bases"][0]), _level2(dict(info)), info["root"], 2, shards)
-        scratch.drop("pairs")
+        sizes, most = _sharded(_dealt(docs, pair_keys, info["bases"][0], 32), _level2(dict(info)), info["root"], 2, shards)
         info = {**info, "order": 2, "degree": max(most, 1), "key": uuid.uuid4().hex, "bases": [*info["bases"], _bases(sizes)]}
     if order >= 3:
-        two_info, rank_bits = dict(info), info["degree"].bit_length()
-        if (sum(sizes) << rank_bits) >= 1 << 63:
+        two_info, rank_bits, pairs = dict(info), info["degree"].bit_length(), sum(sizes)
+        # equal ranges of pairs: the pairs of a frequent word are not one shard
+        thirds = [pairs * k // shards for k in range(shards)]
+        if (pairs << rank_bits) >= 1 << 63:
             raise ValueError("pairs and ranks do not fit 63 bits")
 
         def triple_keys(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -447,10 +493,8 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
             at = at[(of[at] >= 0) & (of[at + 1] >= 0)]
             return (of[at].astype(U) << U(rank_bits)) | ranks[at + 1].astype(U)
 
-        three = scratch.save(_counted(docs, triple_keys).where(F.col("n") >= MIN_COUNT), "triples")
-        _sharded(three, home(F.shiftrightunsigned("key", rank_bits), info["bases"][1]), _level3(dict(info), rank_bits), info["root"], 3, shards)
-        scratch.drop("triples")
-        info = {**info, "order": 3, "key": uuid.uuid4().hex}
+        _sharded(_dealt(docs, triple_keys, thirds, rank_bits), _level3(dict(info), thirds, pairs, rank_bits), info["root"], 3, shards)
+        info = {**info, "order": 3, "key": uuid.uuid4().hex, "bases": [*info["bases"], thirds]}
     return info
 
 
