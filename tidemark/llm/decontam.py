@@ -49,6 +49,7 @@ class Block:
     lengths: np.ndarray
     owners: list[np.ndarray]  # the items that hold each distinct window
     order: np.ndarray | None = None  # offsets of a window's words, rarest term first
+    rarest: np.ndarray | None = None  # a window's rarest distinct terms
 
 
 def make_block(hashes: list[np.ndarray], names: list[str], window: int = WINDOW) -> Block:
@@ -73,10 +74,13 @@ def make_block(hashes: list[np.ndarray], names: list[str], window: int = WINDOW)
 
 def set_order(block: Block, frequency: np.ndarray, window: int = WINDOW) -> None:
     """For each window the offsets of its words by rising frequency of their terms in the corpus; -1 fills short ones."""
+    rarest = np.full((len(block.starts), NEAR_TERMS), -1, np.int32)
     order = np.full((len(block.starts), window), -1, np.int16)
     for k, (s, n) in enumerate(zip(block.starts.tolist(), block.lengths.tolist(), strict=True)):
         order[k, :n] = np.argsort(frequency[block.terms[s : s + n]], kind="stable")
-    block.order = order
+        distinct = list(dict.fromkeys(block.terms[s + order[k, :n]].tolist()))[:NEAR_TERMS]
+        rarest[k, : len(distinct)] = distinct
+    block.order, block.rarest = order, rarest
 
 
 def term_numbers(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -149,27 +153,22 @@ def phrases(index: Index, block: Block, rows: np.ndarray) -> tuple[np.ndarray, n
     return window[same], start[same]
 
 
-def near(index: Index, block: Block, rows: np.ndarray, wanted: int = NEAR_TERMS, span: int = NEAR_SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """(window, position) where the window's rarest distinct terms all stand within ``span`` words in one document."""
+def near(index: Index, block: Block, rows: np.ndarray, span: int = NEAR_SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """(window, position) where the window's rarest distinct terms all stand within ``span`` words of the rarest, in one document.
+
+    Windows of fewer distinct terms ask for all of them.
+    """
     if not len(block.starts) or not len(index.positions):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    window, position = index.postings(block.terms[block.starts + block.order[:, 0].astype(np.int64)])
-    for k in range(1, wanted):
-        offset = block.order[window, k].astype(np.int64)
-        kept = offset >= 0
-        window, position, offset = window[kept], position[kept], offset[kept]
-        terms = block.terms[block.starts[window] + offset]
-        good = np.zeros(len(window), bool)
-        for t in np.unique(terms):
-            rows_of = np.flatnonzero(terms == t)
-            posts = index.positions[index.pointers[t] : index.pointers[t + 1]]
-            at = np.searchsorted(posts, position[rows_of] - span)
-            first = np.minimum(at, max(len(posts) - 1, 0))
-            if len(posts):
-                # the closest posting at or after the lower bound must be in reach, in the same document
-                for step in range(3):
-                    there = np.minimum(first + step, len(posts) - 1)
-                    good[rows_of] |= (np.abs(posts[there] - position[rows_of]) <= span) & (rows[posts[there]] == rows[position[rows_of]]) & (posts[there] != position[rows_of])
+    window, position = index.postings(block.rarest[:, 0])
+    # postings are in the order of (term, position), so two searches count those in reach
+    n = len(rows)
+    postings = index.numbers[index.positions].astype(np.int64) * n + index.positions
+    for k in range(1, NEAR_TERMS):
+        term, row = block.rarest[window, k].astype(np.int64), rows[position]
+        lo = np.maximum(position - span, np.searchsorted(rows, row, "left"))
+        hi = np.minimum(position + span, np.searchsorted(rows, row, "right") - 1)
+        good = (term < 0) | (np.searchsorted(postings, term * n + lo, "left") < np.searchsorted(postings, term * n + hi, "right"))
         window, position = window[good], position[good]
     return window, position
 
@@ -277,9 +276,9 @@ def match(docs: DataFrame, benchmark: DataFrame, proximity: bool = False) -> Dat
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, proximity: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``proximity`` also n_near_items and near_items."""
     found = match(docs, benchmark, proximity)
     n_hit = F.coalesce(F.aggregate(F.split(F.hex("hits"), ""), F.lit(0).cast("long"), lambda s, c: s + F.when(c == "", 0).otherwise(F.bit_count(F.conv(c, 16, 10).cast("int")))), F.lit(0).cast("long"))
-    items = F.array_sort(F.array_distinct("items"))
-    out = found.select("doc_id", "n_words", F.when(F.length("hits") == 0, F.lit(0).cast("long")).otherwise(n_hit).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), *([F.size(F.array_distinct("near_items")).cast("long").alias("n_near_items")] if proximity else []))
+    items, close = (F.array_sort(F.array_distinct(name)) for name in ("items", "near_items"))
+    out = found.select("doc_id", "n_words", F.when(F.length("hits") == 0, F.lit(0).cast("long")).otherwise(n_hit).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), *([F.size(close).cast("long").alias("n_near_items"), F.array_join(close, ",").alias("near_items")] if proximity else []))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))

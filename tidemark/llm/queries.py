@@ -74,6 +74,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op10_decontamination with the proximity matches beside them."""
+    from tidemark.llm.decontam import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), proximity=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +94,7 @@ QUERIES = {
         op8_language_model,
         op9_quality,
         op10_decontamination,
+        op10_proximity,
     )
 }
 
