@@ -282,6 +282,29 @@ def test_redaction_leaves_nothing(spark):
     assert got[1]["text"] is None and got[2]["text"] == "clean 12.5"
 
 
+def test_redaction_masks_overlapping_spans_whole(spark):
+    rng = np.random.default_rng(13)
+    fixed = {"call +33.1.42.68.53.00": "call [PHONE]", "+49.30.12.34.5678": "[PHONE]", "at +49.30.12.34.5678, 1.2.3.4@x.de é": "at [PHONE], [EMAIL] é", "password=1.2.3.4": "[SECRET]"}
+    parts = ["+33.1.42.68.53.00", "+49.30.12.34.5678", "a.b@c.de", "1.2.3.4", "@", "+1", ".", "7", " ", "é", "😀", "4111 1111 1111 1111", "GB82WEST12345698765432", "password=abcdef12", "clean"]
+    texts = [*fixed, *["".join(rng.choice(parts, 10)) for _ in range(200)], "1.2.3.4 +33.1.42.68.53.00 " * 200, None]
+    x = docs(spark, texts)
+    spans = {r["doc_id"]: [s for k in pii.KINDS for s in r[f"spans_{k.name}"]] for r in pii.detect(x).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(x).collect()}
+    assert pii.redact(x).columns == x.columns and [got[k] for k in range(len(fixed))] == list(fixed.values())
+    assert got[len(texts) - 1] is None
+    order, overlaps = [k.name for k in pii.KINDS], 0
+    for k, text in enumerate(texts[:-1]):
+        want, at, end, mark = "", 0, 0, ""
+        for s in sorted(spans[k], key=lambda s: (s["start"], -s["end"], order.index(s["kind"]))):
+            if mark and s["start"] < end:
+                end, overlaps = max(end, s["end"]), overlaps + 1
+                continue
+            want, at = want + mark + text[end if mark else at : s["start"]], s["end"]
+            mark, end = f"[{s['kind'].upper()}]", s["end"]
+        assert got[k] == want + mark + text[end if mark else at :], text
+    assert overlaps > 50
+
+
 # ---- language model ----------------------------------------------------------------------------------------------
 def test_elias_fano():
     rng = np.random.default_rng(3)

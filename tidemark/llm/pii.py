@@ -161,23 +161,48 @@ def report(spans: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, every confirmed span of ``text`` replaced by its kind in brackets."""
-    for kind in KINDS:
-        text = F.col("text").cast("string")
-        docs = docs.withColumn("text", F.when(_hinted(kind, text) & _any_valid(kind, text), _masked(kind, text)).otherwise(text))
-    return docs
+    """The same rows and columns; every stretch of ``text`` that confirmed spans cover is replaced by a kind in brackets.
 
+    All spans are those of ``detect`` on the text as it was.  Spans that overlap are one stretch, which takes the kind of
+    the span that begins first (the longest of those, then the first in KINDS).
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.withColumn("_text", text).withColumns({k: v for kind in KINDS for k, v in _found(kind, "_text").items()})
+    # begin, length below zero and kind number of each span, in the order in which a stretch takes its kind
+    rows = [_numbered(_spans(kind, "_text"), k) for k, kind in enumerate(KINDS)]
+    spans = found.withColumn("_spans", F.sort_array(F.concat(*rows)))
+    out = spans.withColumn("text", F.when(F.size("_spans") > 0, _masked(F.col("_text"), F.col("_spans"))).otherwise(F.col("text").cast("string")))
+    return out.select(*docs.columns)
 
-def _any_valid(kind: Kind, text: Column) -> Column:
-    return F.exists(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda m: _valid(kind, m))
 
+def _numbered(spans: Column, k: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("back"), F.lit(k).alias("kind")))
 
-def _masked(kind: Kind, text: Column) -> Column:
-    mark = F.lit(f"[{kind.name.upper()}]")
 
-    def woven(x: Column) -> Column:
-        said = F.transform(x["m"], lambda m, i: F.concat(F.element_at(x["p"], i + 1), F.when(_valid(kind, m), mark).otherwise(m)))
-        return F.concat(F.array_join(said, ""), F.element_at(x["p"], -1))
+def _bound(value: Column, build) -> Column:
+    """``build(value)`` with the value computed once."""
+    return F.transform(F.array(value), build)[0]
 
-    cut = F.struct(F.split(text, kind.pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"))
-    return F.transform(F.array(cut), woven)[0]
+
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with the stretches under sorted ``spans`` masked."""
+    marks = F.array(*[F.lit(f"[{kind.name.upper()}]") for kind in KINDS])
+
+    def stretches(x: Column) -> Column:
+        # where as many spans have ended as have begun, a stretch ends: the k-th end is not after the next begin
+        n = F.size(x["s"])
+        last = F.filter(F.sequence(F.lit(1), n), lambda k: (k == n) | (F.element_at(x["e"], k) <= F.element_at(x["s"], F.least(k + 1, n))["start"]))
+        return _bound(last, lambda at: F.transform(at, lambda k, i: F.struct(_opens(x, at, i).alias("open"), F.element_at(x["e"], k).alias("end"))))
+
+    def _opens(x: Column, at: Column, i: Column) -> Column:
+        return F.element_at(x["s"], F.when(i == 0, 1).otherwise(F.element_at(at, F.greatest(i, F.lit(1))) + 1))
+
+    def woven(cut: Column) -> Column:
+        said = F.transform(cut, lambda c, i: F.concat(_between(F.when(i == 0, F.lit(0)).otherwise(F.element_at(cut, F.greatest(i, F.lit(1)))["end"]), c["open"]["start"]), F.element_at(marks, c["open"]["kind"] + 1)))
+        return F.concat(F.array_join(said, ""), _between(F.element_at(cut, -1)["end"], F.length(text)))
+
+    def _between(start: Column, end: Column) -> Column:
+        return F.substr(text, (start + 1).cast("int"), (end - start).cast("int"))
+
+    both = F.struct(spans.alias("s"), F.sort_array(F.transform(spans, lambda s: s["start"] - s["back"])).alias("e"))
+    return _bound(_bound(both, stretches), woven)
