@@ -14,6 +14,10 @@ from tidemark.llm import decontam, langid, neardup, packing, pii
 from tidemark.llm.store import Scratch, table
 
 
+#: Near-duplicates: words of a shingle, and the similarity of 100 from which documents count as copies.
+SHINGLE, LEAST = 5, 80
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language; those without letters go."""
     names = docs.columns
@@ -23,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; of rows that repeat an id, all or none stay."""
-    out = neardup.cluster(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    out = neardup.cluster(docs, SHINGLE, LEAST).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = Scratch(spark, "pipeline").save(out, "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 

@@ -168,6 +168,37 @@ def test_near_duplicates(spark):
     assert neardup.cluster(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_by_other_shingles(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    word = lambda: f"w{rng.integers(10**6)}"
+    base = [word() for _ in range(200)]
+    texts = [*EDGE, "a b c d", "a b c d", " ".join(base), " ".join([*base, *[word() for _ in range(40)]])]
+    for share in (0.015, 0.02, 0.025, 0.03, 0.04):  # single words changed
+        now = [word() for _ in range(400)]
+        texts.append(" ".join(now))
+        for k in rng.choice(400, int(400 * share), replace=False):
+            now[k] = word()
+        texts.append(" ".join(now))
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0:
+                want = [min(want[a], want[b]) if c in (want[a], want[b]) else c for c in want]
+    x = docs(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.cluster(x, 5, 80).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    three = {r["doc_id"]: r["component_id"] for r in neardup.cluster(x).collect()}
+    assert three != got and [three[k] for k in range(len(texts))] == [c for _, c in brute_components(texts)]
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, x, "").collect()}
+    assert kept == {k for k, c in enumerate(want) if k == c}
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     text = prose(8, 50)[0]
     x = spark.createDataFrame([(None, text), (4, text), (4, text), (2, text), (9, None)], "doc_id long, text string")

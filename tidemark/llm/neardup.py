@@ -1,6 +1,6 @@
 """Near-duplicates by HyperMinHash.
 
-A document's distinct 3-word shingles are spread over registers by their top bits; a register keeps the smallest value
+A document's distinct word shingles (of 3 words, unless told otherwise) are spread over registers by their top bits; a register keeps the smallest value
 as a leading-zero count and a few mantissa bits.  Bands of registers give candidates, the collision-corrected estimate
 drops those far below the threshold, and every link is confirmed on the full shingle sets.
 
@@ -9,8 +9,8 @@ all against all: each member meets the bucket's smallest member, found by a comb
 still hold several components are looked at again, across components.  Components are found by alternating star
 contraction over tables in the shared folder; nothing is collected.
 
-Defined cases: without words a document has no shingles, links with nothing and is kept; with one or two words the
-whole sequence is its one shingle; rows that share a doc_id are one document of the graph; a null doc_id links with
+Defined cases: without words a document has no shingles, links with nothing and is kept; with fewer words than a shingle
+the whole sequence is its one shingle; rows that share a doc_id are one document of the graph; a null doc_id links with
 nothing, has a null component and is kept; an empty table gives an empty result; other columns are kept out.
 """
 
@@ -89,14 +89,14 @@ def chance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(Jaccard estimate corrected for collisions, its standard error at the threshold) of pairs of sketches."""
     used = (a != EMPTY) | (b != EMPTY)
     n = np.maximum(used.sum(1), 1)
     equal = ((a == b) & used).sum(1) / n
     by_chance = chance(na / REGISTERS, nb / REGISTERS)
-    least = LEAST / OF
-    return (equal - by_chance) / (1 - by_chance), np.sqrt(least * (1 - least) / n)
+    at = least / OF
+    return (equal - by_chance) / (1 - by_chance), np.sqrt(at * (1 - at) / n)
 
 
 def _probes() -> np.ndarray:
@@ -124,13 +124,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set key (two 64-bit sums over the set) and sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in W.chunks(batch.column(1)):
-                sets, ptr = shingle_sets(data, off)
+                sets, ptr = shingle_sets(data, off, shingle)
                 keys = []
                 for seed in (11, 12):
                     sums = np.concatenate([np.zeros(1, U), np.cumsum(W.mix(sets, seed), dtype=U)])
@@ -145,13 +145,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and the sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in W.chunks(batch.column(1)):
-                sets, ptr = shingle_sets(data, off)
+                sets, ptr = shingle_sets(data, off, shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([sets[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
@@ -187,7 +187,7 @@ def exploded(sets: DataFrame) -> DataFrame:
     return sets.select("rep", "component", "shingles").mapInArrow(run, "rep long, component long, shingle long")
 
 
-def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, reps: DataFrame, least: int = LEAST) -> DataFrame:
     """(a, b, estimate) of the pairs whose estimate does not rule them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,16 +195,16 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b, na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            guess, error = estimate(_matrix(batch.column(4)), _matrix(batch.column(5)), na, nb)
+            guess, error = estimate(_matrix(batch.column(4)), _matrix(batch.column(5)), na, nb, least)
             # sizes alone bound the similarity from above
-            good = (guess >= LEAST / OF - SIGMAS * error) & (OF * np.minimum(na, nb) >= LEAST * np.maximum(na, nb))
+            good = (guess >= least / OF - SIGMAS * error) & (OF * np.minimum(na, nb) >= least * np.maximum(na, nb))
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(guess[good])], names=["a", "b", "estimate"])
 
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, estimate double")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(both > 0 and OF * both >= LEAST * (len(p) + len(q) - both))
+                good.append(both > 0 and OF * both >= least * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
@@ -243,7 +243,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
     return now.select(F.col("u").alias("rep"), F.col("v").alias("component"))
 
 
-def across(held: DataFrame, found: DataFrame, near: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+def across(held: DataFrame, found: DataFrame, near: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     """Likely pairs (a, b) of different components that share a bucket and that no leader stood for.
 
     A document can only reach another component through shingles that occur in several.  Their number bounds its
@@ -258,23 +258,27 @@ def across(held: DataFrame, found: DataFrame, near: DataFrame, reps: DataFrame,
     rows = scratch.save(exploded(who.join(sets.withColumnRenamed("doc_id", "rep"), "rep")), "rows")
     several = scratch.save(rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle"), "several")
     common = rows.join(several, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("m"))
-    alive = common.join(reps.select("rep", F.col("n_shingles").alias("n")), "rep").where(f"{OF} * m >= {LEAST} * n")
+    alive = common.join(reps.select("rep", F.col("n_shingles").alias("n")), "rep").where(f"{OF} * m >= {least} * n")
     alive = scratch.save(alive.join(who, "rep"), "alive")
     scratch.drop("rows", "several")
     side = lambda x: alive.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("component").alias(f"c{x}"))
     heads = found.select(F.col("rep").alias("first"), F.col("component").alias("cf"))
     minor = named.join(heads, "first", "left").where("component <> coalesce(cf, first)").select("band", F.col("rep").alias("a")).join(side("a"), "a")
     every = named.select("band", F.col("rep").alias("b")).join(side("b"), "b")
-    reach = f"ca <> cb and {OF + LEAST} * least(ma, mb) >= {LEAST} * (na + nb) and {OF} * least(na, nb) >= {LEAST} * greatest(na, nb)"
+    reach = f"ca <> cb and {OF + least} * least(ma, mb) >= {least} * (na + nb) and {OF} * least(na, nb) >= {least} * greatest(na, nb)"
     pairs = minor.join(every, "band").where(reach).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return likely(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), reps)
+    return likely(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), reps, least)
 
 
-def cluster(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
+def cluster(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
+
+    ``shingle`` is in words; documents link from a similarity of ``least`` of 100 on.  At 80 a pair with full sketches
+    shares none of the 32 bands of 4 registers with a chance of 5e-8.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    every = scratch.save(sketches(docs), "sketches")
+    every = scratch.save(sketches(docs, shingle), "sketches")
     some = every.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.save(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     members = scratch.save(some.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "rep").distinct(), "members")
@@ -286,10 +290,10 @@ def cluster(docs: DataFrame) -> DataFrame:
     firsts = scratch.save(bands(reps).groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first"), "firsts")
     held = scratch.save(bands(reps).join(firsts, "band"), "held")
     scratch.drop("firsts")
-    near = scratch.save(likely(held.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), reps), "near")
+    near = scratch.save(likely(held.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), reps, least), "near")
     ids = scratch.save(held.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.save(full_sets(texts.join(small(ids, ids.count(), 16), "doc_id", "left_semi")), "sets")
+    sets = scratch.save(full_sets(texts.join(small(ids, ids.count(), 16), "doc_id", "left_semi"), shingle), "sets")
 
     def between(pairs: DataFrame, found: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components so far."""
@@ -298,13 +302,13 @@ def cluster(docs: DataFrame) -> DataFrame:
 
     # each document's likeliest partner first; the others only where that leaves two components
     best = near.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-    links = scratch.save(confirmed(best, sets).union(own), "links-0")
+    links = scratch.save(confirmed(best, sets, least).union(own), "links-0")
     found = components(links, scratch, "found-0")
-    new = scratch.save(confirmed(between(near, found), sets), "links-1")
+    new = scratch.save(confirmed(between(near, found), sets, least), "links-1")
     if not new.isEmpty():
         links = links.union(new)
         found = components(links, scratch, "found-1")
-    new = scratch.save(confirmed(across(held, found, near, reps, sets, scratch), sets), "links-2")
+    new = scratch.save(confirmed(across(held, found, near, reps, sets, scratch, least), sets, least), "links-2")
     if not new.isEmpty():
         found = components(links.union(new), scratch, "found-2")
 
