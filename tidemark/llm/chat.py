@@ -13,6 +13,7 @@ gives an empty result; fields that no mapping names are ignored, also where thei
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,51 +56,83 @@ def _instruction(reply: str) -> Callable[[Callable[[str], Column]], Column]:
     return build
 
 
-#: Layouts by their field paths: how a row of each becomes turns.
-LAYOUTS: dict[tuple[str, ...], Callable[[Callable[[str], Column]], Column]] = {
-    ("prompt", "completion"): lambda col: F.array(_turn("user", col("prompt")), _turn("assistant", col("completion"))),
-    ("prompt", "response"): lambda col: F.array(_turn("user", col("prompt")), _turn("assistant", col("response"))),
-    ("question", "answer"): lambda col: F.array(_turn("user", col("question")), _turn("assistant", col("answer"))),
-    ("instruction", "output"): lambda col: F.array(_turn("user", col("instruction")), _turn("assistant", col("output"))),
-    ("instruction", "input", "output"): _instruction("output"),
-    ("instruction", "input", "response"): _instruction("response"),
-    ("messages[].role", "messages[].content"): _messages("messages", "role", "content"),
-    ("conversations[].from", "conversations[].value"): _messages("conversations", "from", "value"),
-}
-MAPPINGS = {fingerprint(list(k)): build for k, build in LAYOUTS.items()}
-FLAT = fingerprint(["conv_id", "turn", "role", "text"])
-_KNOWN = {p for k in LAYOUTS for p in k}
+def _said(ask: str, reply: str) -> Callable[[Callable[[str], Column]], Column]:
+    return lambda col: F.array(_turn("user", col(ask)), _turn("assistant", col(reply)))
 
 
-def schema_fingerprint(df: DataFrame) -> str:
-    """The fingerprint of the table's known fields; others do not count."""
-    found = set(paths(df.schema))
-    flat = {"conv_id", "turn", "role", "text"}
-    return FLAT if flat <= found else fingerprint([p for p in found if p in _KNOWN])
+@dataclass(frozen=True)
+class Layout:
+    """How a row becomes turns; where ``order`` is given, a row is one turn of the conversation in its key."""
+
+    fields: tuple[str, ...]
+    build: Callable[[Callable[[str], Column]], Column]
+    order: str | None = None
+
+
+LAYOUTS = (
+    Layout(("turn", "role", "text"), lambda col: F.array(_turn(col("role"), col("text"))), "turn"),
+    Layout(("prompt", "completion"), _said("prompt", "completion")),
+    Layout(("prompt", "response"), _said("prompt", "response")),
+    Layout(("question", "answer"), _said("question", "answer")),
+    Layout(("instruction", "output"), _said("instruction", "output")),
+    Layout(("instruction", "input", "output"), _instruction("output")),
+    Layout(("instruction", "input", "response"), _instruction("response")),
+    Layout(("messages[].role", "messages[].content"), _messages("messages", "role", "content")),
+    Layout(("messages[].from", "messages[].value"), _messages("messages", "from", "value")),
+    Layout(("conversations[].from", "conversations[].value"), _messages("conversations", "from", "value")),
+    Layout(("conversations[].role", "conversations[].content"), _messages("conversations", "role", "content")),
+)
+#: The table of mappings, by the hash of a layout's field paths.
+MAPPINGS = {fingerprint(list(x.fields)): x for x in LAYOUTS}
+_KNOWN = {p for x in LAYOUTS for p in x.fields}
+
+
+def schema_fingerprint(df: DataFrame, key: str = "conv_id") -> str:
+    """The fingerprint of the table's known fields but its key; if that is no layout, of the largest layout among them."""
+    found = {p for p in paths(df.schema) if p in _KNOWN and p != key}
+    mark = fingerprint(list(found))
+    inside = sorted((x for x in LAYOUTS if set(x.fields) <= found), key=lambda x: -len(x.fields))
+    return mark if mark in MAPPINGS or not inside else fingerprint(list(inside[0].fields))
 
 
 def to_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, turns) of a table of any known layout; the key of a flat table is its conversation id."""
-    mark = schema_fingerprint(df)
-    if mark == FLAT:
-        rows = df.select(F.col(key), F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("row"))
-        return rows.groupBy(key).agg(F.sort_array(F.collect_list("row")).alias("rows")).select(key, F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
-    if mark not in MAPPINGS:
+    """(key, turns) of a table of any known layout."""
+    found = MAPPINGS.get(schema_fingerprint(df, key))
+    if found is None:
         raise ValueError(f"no mapping for the fields {sorted(paths(df.schema))}")
-    return df.select(F.col(key), MAPPINGS[mark](F.col).alias("turns"))
+    said = found.build(F.col)
+    if found.order is None:
+        return df.select(F.col(key), said.alias("turns"))
+    rows = df.select(F.col(key), F.struct(F.col(found.order).alias("at"), said[0]["role"].alias("role"), said[0]["text"].alias("text")).alias("row"))
+    return rows.groupBy(key).agg(F.sort_array(F.collect_list("row")).alias("rows")).select(key, F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
+
+
+def _nested(doc: Column, field: str) -> Column:
+    """The known paths under a list of objects, from the keys of all its elements; null if there is no such list.
+
+    Keys that a list lacks throughout (an empty list lacks all) are filled up from the first layout that has the others.
+    """
+    layouts = [x.fields for x in LAYOUTS if x.order is None and x.fields[0].startswith(f"{field}[].")]
+    names = [sorted(p.split("[].")[1] for p in fields) for fields in layouts]
+    elements = F.from_json(F.get_json_object(doc, f"$.{field}"), "array<map<string,string>>")
+    keys = F.array_intersect(F.flatten(F.transform(elements, lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>")))), F.array(*[F.lit(n) for n in sorted({n for some in names for n in some})]))
+    full = F.coalesce(*[F.when(F.size(F.array_except(keys, F.array(*map(F.lit, some)))) == 0, F.array(*map(F.lit, some))) for some in names], keys)
+    return F.transform(full, lambda n: F.concat(F.lit(f"{field}[]."), n))
 
 
 def json_to_turns(df: DataFrame, column: str, key: str) -> DataFrame:
     """(key, fingerprint, turns) of JSON documents whose layouts differ from row to row; turns is null where none is known."""
     doc = F.col(column)
-    fields = sorted({p.split("[]")[0] for p in _KNOWN})
-    nested = {f: sorted({p.split("[].")[1] for p in _KNOWN if p.startswith(f"{f}[].")}) for f in fields}
-    top = F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>"))
-    found = [F.when(~F.array_contains(top, f), F.lit(None)).otherwise(F.lit(f)) for f in fields if not nested[f]]
-    found += [F.when(F.get_json_object(doc, f"$.{f}[0].{n}").isNotNull(), F.lit(f"{f}[].{n}")) for f in fields for n in nested[f]]
-    mark = F.substring(F.sha2(F.array_join(F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull())), "\n"), 256), 1, 16)
-    value = lambda f: F.from_json(F.get_json_object(doc, f"$.{f}"), f"array<struct<{','.join(f'`{n}`:string' for n in nested[f])}>>") if nested[f] else F.get_json_object(doc, f"$.{f}")
-    turns = F.coalesce(*[F.when(mark == k, build(value)) for k, build in MAPPINGS.items()])
+    layouts = {mark: x for mark, x in MAPPINGS.items() if x.order is None}
+    known = sorted({p for x in layouts.values() for p in x.fields})
+    lists = sorted({p.split("[].")[0] for p in known if "[]." in p})
+    none = F.array().cast("array<string>")
+    top = F.array_intersect(F.coalesce(F.json_object_keys(doc), none), F.array(*[F.lit(p) for p in known if "[]." not in p]))
+    found = F.concat(top, *[F.coalesce(_nested(doc, f), none) for f in lists])
+    mark = F.substring(F.sha2(F.array_join(F.array_sort(found), "\n"), 256), 1, 16)
+    inside = {f: sorted({p.split("[].")[1] for p in known if p.startswith(f"{f}[].")}) for f in lists}
+    value = lambda f: F.from_json(F.get_json_object(doc, f"$.{f}"), f"array<struct<{','.join(f'`{n}`:string' for n in inside[f])}>>") if f in inside else F.get_json_object(doc, f"$.{f}")
+    turns = F.coalesce(*[F.when(mark == k, x.build(value)) for k, x in layouts.items()])
     return df.select(F.col(key), mark.alias("fingerprint"), turns.alias("turns"))
 
 
@@ -144,16 +177,28 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(F.transform(pieces, body), lambda b: F.struct(_role_in(F.substring_index(b, "\n", 1)).alias("role"), unescape(F.substr(b, F.instr(b, "\n") + 1)).alias("text")))
 
 
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The unescaped texts under the loss mask, in order.
+
+    The mask has three runs a turn; the first two lie inside the turn's piece of the string, so each text is cut out of
+    its own piece by the mask's lengths, in time linear in the string.
+    """
+    pieces = F.split(formatted, r"<\|im_end\|>\n", -1)
+    before, body = F.filter(mask, lambda _, i: i % 3 == 0), F.filter(mask, lambda _, i: i % 3 == 1)
+    zipped = F.arrays_zip(pieces.alias("piece"), before.alias("before"), body.alias("body"))
+    lost = F.filter(zipped, lambda z: z["body"]["in_loss"])
+    return F.transform(lost, lambda z: unescape(F.substr(z["piece"], (z["before"]["chars"] + 1).cast("int"), z["body"]["chars"].cast("int"))))
+
+
 def digests(df: DataFrame) -> DataFrame:
-    """conv_id and the digests of what ``read_turns`` gets back from ``formatted``."""
-    back = df.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("back"))
+    """conv_id and the digests of what ``read_turns`` and the loss mask get back from ``formatted``."""
+    back = df.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("back"), F.array_join(under_mask(F.col("formatted"), F.col("loss_mask")), "").alias("loss"))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return back.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
