@@ -66,6 +66,29 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_ids_of_every_letter_with_marks_behind_it():
+    import unicodedata
+
+    import pyarrow as pa
+
+    found = packing.Ids(packing.vocabulary_path())
+    letters = [c for c in map(chr, range(1, 0x110000)) if unicodedata.category(c)[0] in "LMNPSZC" and unicodedata.category(c) not in ("Cs", "Cn", "Co") and (ord(c) < 0x3400 or ord(c) % 13 == 0)]
+    texts = ["ALİ. BİLGİ, क़. ড়! it's 10, 70. 07", *[f"AL{c}. b{c}{c}, {c}'s {c}0" for c in letters]]
+    wrong = [t for t, x in zip(texts, found.of(pa.array(texts)), strict=True) if np.array(found.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() != bytes(x)]
+    assert not wrong
+
+
+def test_packing_ids_do_not_depend_on_the_cache(monkeypatch):
+    import pyarrow as pa
+
+    texts = [*EDGE, *prose(60, 50), None, *EDGE]
+    want = [bytes(x) for x in packing.Ids(packing.vocabulary_path()).of(pa.array(texts))]
+    for name, value in (("CACHE_BYTES", 2000), ("CHUNK", 300)):
+        monkeypatch.setattr(packing, name, value)
+    monkeypatch.setattr(W, "hashes", lambda data, starts, ends: starts.astype(np.uint64) % np.uint64(7))  # words that collide
+    assert [bytes(x) for x in packing.Ids(packing.vocabulary_path()).of(pa.array(texts))] == want
+
+
 def test_best_fill_is_the_best_subset():
     rng = np.random.default_rng(2)
     for _ in range(50):
@@ -130,6 +153,32 @@ def test_chat_layouts(spark):
     assert got == {1: [("user", "p"), ("assistant", "c")], 2: [("user", "u")], 3: None, 4: None, 5: None}
 
 
+def test_chat_layouts_come_from_all_elements(spark):
+    rows = [
+        (1, '{"messages": [{"role": "system", "content": null}, {"role": "user"}, {"content": "c"}]}', [("system", ""), ("user", ""), ("", "c")]),
+        (2, '{"messages": [null, {"content": "c", "role": "user", "x": [1]}]}', [("", ""), ("user", "c")]),
+        (3, '{"messages": []}', []),
+        (4, '{"messages": [{"role": "user"}]}', [("user", "")]),
+        (5, '{"messages": [{"from": "human", "value": "v"}], "id": 3}', [("human", "v")]),
+        (6, '{"conversations": [{"content": "c", "role": "r"}]}', [("r", "c")]),
+        (7, '{"instruction": "do", "input": "", "output": null}', [("user", "do"), ("assistant", "")]),
+        (8, '{"messages": [{"role": "r", "value": "v"}]}', None),
+        (9, '{"messages": null}', None),
+    ]
+    got = chat.json_to_turns(spark.createDataFrame([r[:2] for r in rows], "k long, doc string"), "doc", "k")
+    assert {r["k"]: r["turns"] if r["turns"] is None else [tuple(t) for t in r["turns"]] for r in got.collect()} == {k: want for k, _, want in rows}
+    assert {r["k"]: r["fingerprint"] for r in got.collect()}[1] == chat.fingerprint(["messages[].role", "messages[].content"])
+    clash = spark.createDataFrame([(1, "p", "c", "r")], "conv_id long, prompt string, completion string, role string")
+    assert [tuple(t) for t in chat.to_turns(clash).first()["turns"]] == [("user", "p"), ("assistant", "c")]
+
+
+def test_chat_digests_follow_the_mask(spark):
+    x = chat.format_turns(chat.to_turns(spark.createDataFrame([(1, 0, "user", "a<|b"), (1, 1, "assistant", "c\\<|d")], "conv_id long, turn long, role string, text string")))
+    assert chat.digests(x).first()["loss_chars"] == 5
+    user = x.withColumn("loss_mask", F.transform("loss_mask", lambda r, i: F.struct(r["chars"].alias("chars"), (i == 1).alias("in_loss"))))
+    assert chat.digests(user).first()["loss_sha256"] == hashlib.sha256(b"a<|b").hexdigest()
+
+
 # ---- near-duplicates ---------------------------------------------------------------------------------------------
 def brute_components(texts):
     sets = []

@@ -13,10 +13,8 @@ an empty result.  Other columns of the input are ignored.
 from __future__ import annotations
 
 import re
-import string
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,69 +23,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm import words as W
 from tidemark.llm.store import Scratch, small
 
+U = np.uint64
+
 WINDOW = 4096
 END_ID = 2
-#: Entries of a worker's cache of words; the cache starts anew when it is full.
-CACHE = 1_000_000
-MARKS = string.punctuation.encode()
-#: A lone comma or full stop behind a letter is always a piece of its own, so a space before it changes no id.
-COMMA, STOP = re.compile(rb"(?<=[a-z]),(?= )"), re.compile(rb"(?<=[a-z])\.(?=[ \n])")
-
-
-class _Ids(dict):
-    """White-space words to their ids as little-endian bytes.
-
-    The vocabulary's pre-tokenizer always cuts at white space and drops it, so a text's ids are those of its words in
-    a row.  Texts with "<|", in which special tokens could match across words, go through the tokenizer whole.
+#: Bytes of a worker's cache of words, about; the cache starts anew when it is full.  Longer words are not kept.
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 96 << 20, 200, 64
+#: Bytes of text that are looked through for distinct words at a time, about.
+CHUNK = 2 << 20
+#: Letters whose lower case is a letter in composed form, then ASCII marks: each run is cut off from the other.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!-/:-@\[-`{-~]*)")
+#: The printable symbol that stands for each byte in byte-level vocabularies.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SYMBOLS = dict(zip([*_PRINTED, *(x for x in range(256) if x not in _PRINTED)], [*_PRINTED, *range(256, 512)], strict=False))
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+
+
+class Ids:
+    """Ids of texts, from those of their white-space words.
+
+    The vocabulary's normaliser and pre-tokenizer never reach across ASCII white space and drop it, so a text's ids are
+    those of its words in a row; each distinct word of a chunk is looked up once.  Texts with "<|", in which special
+    tokens could match across words, go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}
+        self.size = 0
         self.tokenizer = Tokenizer.from_file(path)
-        self.digit = self.tokenizer.token_to_id("0</w>")
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Fill in ``words``.  Runs of letters are encoded many at a time, with a lone digit, always a token, between."""
-        if len(self) + len(words) > CACHE:
-            self.clear()
-        new = [w for w in words if w not in self]
-        parts = [(w, w.rstrip(MARKS)) for w in new]
-        stems = list({s for _, s in parts if s and s not in self and s.decode().isalpha()})
+        self.digits = {d: self.tokenizer.token_to_id(f"{d}</w>") for d in "07"}
+        # the same model without normaliser and patterns, for letters that need neither
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer, self.letters.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def encode(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _together(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(word, its ids); most words are encoded in one go with a digit, always a token of its own, between them."""
+        rest = words
+        for digit, mark in self.digits.items():
+            some = [w for w in rest if digit.encode() not in w]
+            rest = [w for w in rest if digit.encode() in w]
+            if some:
+                text = f" {digit} ".join([w.decode() for w in some])
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                gaps = np.concatenate([[-1], np.flatnonzero(ids == mark), [len(ids)]]).tolist()
+                raw = ids.tobytes()
+                yield from zip(some, [raw[4 * a + 4 : 4 * b] for a, b in zip(gaps[:-1], gaps[1:], strict=True)], strict=True)
+        for w in rest:
+            yield w, self.encode(w)
+
+    def _stems(self, stems: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(stem, its ids) of plain letters: the model alone, on their byte symbols; a word's last token is marked as such."""
         if stems:
-            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(s.decode() for s in stems)], add_special_tokens=False)[0].ids, "<u4")
-            gaps = [-1, *np.flatnonzero(ids == self.digit).tolist(), len(ids)]
-            for k, stem in enumerate(stems):
-                self[stem] = ids[gaps[k] + 1 : gaps[k + 1]].tobytes()
-        for word, stem in parts:
-            if stem != word:
-                marks = word[len(stem) :]
-                if marks not in self:
-                    self[marks] = self.encode(marks.decode())
-                # letters and the run of marks behind them are always pieces of their own
-                self[word] = self[stem] + self[marks] if stem in self and stem.decode().isalpha() else self.encode(word.decode())
-            elif word not in self:
-                self[word] = self.encode(word.decode())
-
-    def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text; about a megabyte of text is looked through for new words at a time."""
-        lo = 0
-        while lo < len(texts):
-            cut, size = [], 0
-            while lo < len(texts) and (size < 1 << 20 or not cut):
-                text = texts[lo] or ""
-                cut.append(text if "<|" in text else STOP.sub(b" .", COMMA.sub(b" ,", text.encode().lower())).split())
-                size += len(text)
-                lo += 1
-            self.learn(set(chain.from_iterable(x for x in cut if not isinstance(x, str))))
-            for x in cut:
-                yield self.encode(x) if isinstance(x, str) else b"".join(map(self.__getitem__, x))
+            symbols = " ".join([x.decode() if x.isascii() else x.decode().lower().encode().decode("latin-1").translate(SYMBOLS) for x in stems])
+            ids = np.array(self.letters.encode_batch_fast([symbols], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            yield from zip(stems, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True)
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of new words; one of plain letters and the marks behind it is two, of which many words are made."""
+        known, parts, stems, rest = self.known, [], {}, {}
+        for w in words:
+            if m := PLAIN.fullmatch(w):
+                stem, marks = m.groups()
+                parts.append((w, stem, marks))
+                if stem not in known:
+                    stems[stem] = None
+                if marks and marks not in known:
+                    rest[marks] = None
+            else:
+                rest[w] = None
+        found = dict(self._together(list(rest)))
+        found.update(self._stems(list(stems)))
+        found[b""] = b""
+        for w, stem, marks in parts:
+            if marks:
+                found[w] = (found.get(stem) or known[stem]) + (found.get(marks) or known[marks])
+        out = [found[w] for w in words]
+        if self.size > CACHE_BYTES:
+            self.known, self.size = {}, 0
+        kept = {w: x for w, x in found.items() if len(w) <= LONGEST}
+        self.known.update(kept)
+        self.size += len(kept) * ENTRY_BYTES
+        return out
+
+    def of(self, column: pa.Array) -> Iterator[bytes | memoryview]:
+        """The ids of each text as little-endian bytes; null counts as empty."""
+        for lo, hi, data, off in W.chunks(column, CHUNK):
+            folded = np.append(_FOLD[data], np.zeros(8, np.uint8))
+            marks = np.flatnonzero((folded[:-9] == 0x3C) & (folded[1:-8] == 0x7C)) if len(data) > 1 else np.zeros(0, np.int64)
+            whole = set(np.unique(np.searchsorted(off, marks, "right") - 1).tolist())
+            starts, ends, ptr = W.cut(data, off)
+            inverse, ids, sizes = self._distinct(folded, starts, ends)
+            n = sizes[inverse]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            first = (np.cumsum(sizes) - sizes)[inverse]
+            raw = memoryview(ids[np.repeat(first - upto[:-1], n) + np.arange(upto[-1])].tobytes())
+            at = (4 * upto[ptr]).tolist()
+            raw_text = data.tobytes() if whole else b""
+            for k in range(hi - lo):
+                yield self.encode(raw_text[off[k] : off[k + 1]]) if k in whole else raw[at[k] : at[k + 1]]
+
+    def _distinct(self, folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which distinct word each word is, ids of the distinct words in a row, how many each has)."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        _, at, inverse = np.unique(W.hashes(folded, starts, ends), return_index=True, return_inverse=True)
+        same = at[inverse]
+        size = ends - starts
+        eight = np.ndarray((len(folded) - 7,), "<u8", folded, strides=(1,))  # folded has eight bytes more than the text
+        short = U(0xFFFFFFFFFFFFFFFF) >> (U(8) * (U(8) - np.minimum(size, 8).astype(U)))
+        head, tail = eight[starts] & short, eight[np.maximum(ends - 8, 0)]
+        bad = (size != size[same]) | (head != head[same]) | ((size > 8) & (tail != tail[same]))
+        if bad.any():  # two words with one hash: those become entries of their own
+            odd = np.flatnonzero(bad)
+            inverse[odd] = len(at) + np.arange(len(odd))
+            at = np.append(at, odd)
+        raw = folded.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        ids = list(map(self.known.get, words))
+        new = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(new, self.learn([words[k] for k in new]) if new else (), strict=True):
+            ids[k] = x
+        return inverse, np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
 
 def vocabulary_path() -> str:
@@ -103,12 +172,12 @@ def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Da
     """The pieces of every document, each with its rank among those of its length in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, seen = _Ids(path or vocabulary_path()), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        ids_of, part, seen = Ids(path or vocabulary_path()), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.of(batch.column(1).to_pylist()), strict=True):
-                ids += end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.of(batch.column(1)), strict=True):
+                ids = b"".join((ids, end))
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     length = min(window, n - start)
@@ -196,5 +265,5 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
                 offset[rows] = run[:, 3] + nth % run[:, 1] * length[rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = cut.join(small(bases, bases.count(), 24), ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("local_rank") + F.col("base")).alias("rank"))
+    ranked = cut.join(small(bases, bases.count(), 96), ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("local_rank") + F.col("base")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

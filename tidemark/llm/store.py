@@ -13,23 +13,46 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only if its counted rows times their width stay under this many bytes.
 BROADCAST_LIMIT = 32 << 20
+#: Bytes of one Arrow batch sent to a Python worker, where the session sets no other bound: rows may hold long texts.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+_ROOTS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
+    """The folder in ``spark.checkpoint.dir``; where none is set, a temporary one, and that in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the intermediate tables of all operators of this process, once their results are written."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+
+
 class Scratch:
     """Tables of one run of an operator, each written once and read back; ``drop`` deletes those no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+        _ROOTS.add(self.root)
+        small_batches(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -40,11 +63,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, self.path(name))
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -53,4 +73,5 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

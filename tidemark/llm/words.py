@@ -1,7 +1,8 @@
 """Words of whole columns of text, cut and hashed in numpy straight from Arrow's buffers.
 
 ASCII capitals are folded through the hash table, so no lower-cased copy of the text is made.  A word's hash is a
-polynomial over random 64-bit values of its bytes, taken from one prefix sum over the buffer, then mixed.
+polynomial over random 64-bit values of its bytes, taken from prefix sums over slices of the buffer, then mixed.  What
+is held beside the text is a few 8-byte values for each word, and a few for each byte of one slice.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK = 4 << 20
+#: Bytes of text that are cut at a time, about (whole rows); and bytes that are hashed at a time, whatever a row holds.
+CHUNK, SLICE = 1 << 19, 1 << 16
 
 _BYTES = np.arange(256)
 #: Words between white space: every byte but 0x20 and 0x09 to 0x0D.
@@ -29,17 +31,15 @@ ALNUM = (
 _VALUES = np.random.default_rng(90210).integers(1, 2**63, 256, dtype=np.int64).astype(U) | U(1)
 _VALUES[0x41:0x5B] = _VALUES[0x61:0x7B]
 _STEP = 0xD1342543DE82EF95
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, CHUNK + 1)
-        for k, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(SLICE + 1, base, U)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_UP, _DOWN = _powers(_STEP), _powers(pow(_STEP, -1, 1 << 64))
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -54,11 +54,13 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if column.null_count:
-        column = pc.fill_null(column, "")
-    column = column.cast(pa.large_string())
-    _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(column.type)
+    _, offsets, data = (column if wide or pa.types.is_string(column.type) else column.cast(pa.string())).buffers()
+    off = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if column.null_count and (np.diff(off)[column.is_null().to_numpy(zero_copy_only=False)] > 0).any():
+        return buffers(pc.fill_null(column, ""))
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
@@ -89,12 +91,31 @@ def cut(data: np.ndarray, off: np.ndarray, kind: np.ndarray = SPACED) -> tuple[n
     return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, off)
 
 
+def _long(word: np.ndarray) -> int:
+    """The sum of one word of any length, by slices."""
+    total = 0
+    for lo in range(0, len(word), SLICE):
+        part = word[lo : lo + SLICE]
+        total += int((_VALUES[part] * _UP[: len(part)]).sum(dtype=U)) * pow(_STEP, lo, 1 << 64)
+    return total % (1 << 64)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, U)
-    sums[0] = 0
-    np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A hash of each stretch of bytes; the stretches are in order and do not overlap."""
+    out, lo, sums = np.zeros(len(starts), U), 0, np.zeros(SLICE + 1, U)
+    while lo < len(starts):
+        at = int(starts[lo])
+        hi = int(np.searchsorted(ends, at + SLICE, "right"))
+        if hi <= lo:
+            out[lo] = _long(data[at : ends[lo]])
+            lo += 1
+            continue
+        part = data[at : ends[hi - 1]]
+        np.cumsum(_VALUES[part] * _UP[: len(part)], out=sums[1 : len(part) + 1])
+        first, last = starts[lo:hi] - at, ends[lo:hi] - at
+        out[lo:hi] = (sums[last] - sums[first]) * _DOWN[first]
+        lo = hi
+    return mix(out)
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray, kind: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
