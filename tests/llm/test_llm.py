@@ -398,6 +398,17 @@ def test_elias_fano():
             assert (ef.find(other) == -1).all()
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_elias_fano_with_long_runs_and_gaps(seed):
+    rng = np.random.default_rng(seed)
+    parts = [rng.choice(1 << 20, 3000, replace=False), (1 << 30) + np.arange(64 * int(rng.integers(1, 40))), (1 << 33) + rng.choice(1 << 12, 700, replace=False), rng.integers(0, 1 << 40, 900)]
+    values = np.unique(np.concatenate(parts)).astype(np.uint64)
+    ef = lm.EliasFano.of(lm.EliasFano.arrays(values, 1 << 40, "x"), "x")
+    assert (ef.find(values) == np.arange(len(values))).all() and (ef.get(np.arange(len(values))) == values).all()
+    other = np.setdiff1d(np.concatenate([values + np.uint64(1), values - np.uint64(1), rng.integers(0, 1 << 41, 500).astype(np.uint64)]), values)
+    assert (ef.find(other) == -1).all()
+
+
 def test_language_model(spark):
     texts = [*EDGE, *prose(20, 80, 60)]
     x = docs(spark, texts)
