@@ -19,7 +19,7 @@ def duck():
 
 
 def shown(v):
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or str(v) in ("NaT", "<NA>", "nan", "None"):
         return ""
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))

@@ -89,5 +89,7 @@ def bin_end(d: Column, freq: str) -> Column:
     return {"daily": d, "weekly": week_ending_friday(d), "W": week_ending_sunday(d), "monthly": F.last_day(d), "ME": F.last_day(d)}[freq]
 
 
-def readiness(price_days: Column, label_pct: Column) -> Column:
-    return F.when((price_days >= 2000) & (label_pct >= 70), "ready").when(price_days >= 2000, "needs labels").when(label_pct >= 70, "needs prices").otherwise("not ready")
+def readiness(price_days: Column, docs: Column, label_pct: Column) -> Column:
+    """How far a code is: all there, being labelled, prices without documents yet, or still preparing."""
+    priced = price_days >= 2000
+    return F.when(priced & (label_pct >= 70), "ready").when(priced & (docs > 0), "labelling").when(priced, "collecting").otherwise("preparing")

@@ -31,10 +31,10 @@ def html_unescape(s: pd.Series) -> pd.Series:
 def normalize_title(title: Column, aliases: tuple[str, ...] = (), unicode: bool = True) -> Column:
     """A title's comparable core: composed, without tags in brackets, aliases, trailing number, long repeats and marks."""
     t = nfkc(title) if unicode else title
-    t = F.regexp_replace(t, r"[\[\(【<][^\]\)】>]{0,20}[\]\)】>]", " ")
-    for alias in sorted(filter(None, aliases), key=len, reverse=True):
+    t = F.regexp_replace(t, r"[\[\(<【〔][^\]\)>】〕]{0,20}[\]\)>】〕]", " ")
+    for alias in filter(None, aliases):
         t = F.replace(t, F.lit(alias), F.lit(" "))
-    t = F.regexp_replace(t, r"\s*\d+\s*$", "")
+    t = F.regexp_replace(t, r"[\s\-_.]*\d+\s*$", "")
     t = F.regexp_replace(t, r"(.)\1{2,}", "$1$1")
     return F.lower(F.regexp_replace(t, "[^0-9A-Za-z가-힣]", ""))
 
@@ -145,39 +145,61 @@ SECOND_LEVEL = ("co", "or", "ne", "go", "ac", "com", "net", "org", "gov", "edu")
 
 def registrable(name: Column) -> Column:
     """The registrable domain of a name that looks like one, else null: three labels below a second-level name, else two."""
-    clean = F.regexp_replace(F.lower(F.trim(name)), r"^www\.", "")
+    clean = F.regexp_replace(F.lower(F.trim(name)), r"\.+$", "")
     parts = F.split(clean, r"\.")
     n = F.size(parts)
     long = (n >= 3) & F.element_at(parts, -2).isin(*SECOND_LEVEL)
     tail = F.array_join(F.slice(parts, F.greatest(n - F.when(long, 2).otherwise(1), F.lit(1)), F.when(long, 3).otherwise(2)), ".")
-    return F.when((n >= 2) & ~F.contains(clean, F.lit(" ")), tail)
+    return F.when((n >= 2) & ~F.contains(clean, F.lit(" ")) & ~F.contains(clean, F.lit("/")), tail)
+
+
+#: Names under .kr below which names are registered (fixed values).
+KR_SECOND_LEVEL = ("co", "or", "ne", "go", "pe", "re")
 
 
 def registrable_kr(name: Column) -> Column:
     """The variant that knows second levels under .kr only."""
-    clean = F.regexp_replace(F.lower(name), r"^www\.", "")
+    clean = F.regexp_replace(name, r"^www\.", "")
     parts = F.split(clean, r"\.")
     n = F.size(parts)
-    long = (n >= 3) & (F.element_at(parts, -1) == "kr") & F.element_at(parts, -2).isin("co", "or", "ne", "go", "re", "pe", "ac")
+    long = (n >= 3) & (F.element_at(parts, -1) == "kr") & F.element_at(parts, -2).isin(*KR_SECOND_LEVEL)
     return F.when(n <= 2, clean).otherwise(F.array_join(F.slice(parts, n - F.when(long, 2).otherwise(1), F.when(long, 3).otherwise(2)), "."))
 
 
 def article_id(url: Column) -> Column:
     """The outlet number in /article/<digits>/, else null."""
-    return F.nullif(F.regexp_extract(url, r"/article/(\d+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, r"/article/(\d+)/", 1), F.lit(""))
 
 
 def strip_outlet(title: Column) -> Column:
     return F.trim(F.regexp_replace(title, r"\s+-\s+[^-]{1,40}$", ""))
 
 
+#: White space of any script, as a class of a pattern.
+BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _squeezed(t: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(t, f"[{BLANK}]+", " "), "^ | $", "")
+
+
 def clean_html(raw: Column, unescape: bool = True) -> Column:
-    """Plain text: quote links and tags go, breaks become spaces, white space is squeezed."""
-    t = F.regexp_replace(F.coalesce(raw, F.lit("")), r"<a[^>]*class=\"quotelink\"[^>]*>.*?</a>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>", " "), r"<[^>]+>", "")
-    if unescape:
-        t = html_unescape(t)
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    """Plain text of a post: references to other posts and tags become spaces, white space is squeezed."""
+    t = F.regexp_replace(F.coalesce(raw, F.lit("")), r"&gt;&gt;\d+", " ")
+    t = F.regexp_replace(t, r"<[^>]+>", " ")
+    return _squeezed(html_unescape(t) if unescape else t)
+
+
+def element_text(raw: Column, unescape: bool = True) -> Column:
+    """The text nodes of an element, each without white space around it, one after the other."""
+    t = F.regexp_replace(F.coalesce(raw, F.lit("")), f"[{BLANK}]*<[^>]+>[{BLANK}]*", "")
+    t = html_unescape(t) if unescape else t
+    return F.regexp_replace(t, f"^[{BLANK}]+|[{BLANK}]+$", "")
+
+
+def unmarked(raw: Column) -> Column:
+    """A search result's text without the marks of its hits."""
+    return F.regexp_replace(html_unescape(F.regexp_replace(F.coalesce(raw, F.lit("")), "</?b>", "")), f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def json_list(column: Column) -> Column:

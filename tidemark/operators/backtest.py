@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from tidemark.functions.finance import carry_charge, fee_charge, tier_weight, tradable_open
+from tidemark.functions.finance import fee_charge, tier_weight, tradable_open
 from tidemark.schema import IMBALANCE_RATIO
 
 
@@ -20,7 +21,7 @@ def upto() -> WindowSpec:
 
 def tier_signal(sd: DataFrame, media: DataFrame) -> DataFrame:
     """Counts by signal date and tier, the part that does not depend on weights."""
-    return sd.join(F.broadcast(media.select("media_id", "tier")), "media_id").groupBy("code", "signal_date", "tier").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("doc_cnt").alias("doc_cnt"))
+    return sd.join(media.select("media_id", "tier"), "media_id").groupBy("code", "signal_date", "tier").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("doc_cnt").alias("doc_cnt"))
 
 
 def assign_trading_day(signal: DataFrame, prices: DataFrame) -> DataFrame:
@@ -62,24 +63,28 @@ def simulate(days: DataFrame, fees: dict[str, float]) -> DataFrame:
     """Adds cost, carry, cash, equity and net P&L.
 
     Without carry rates cash is a running sum.  With them a day's charge depends on the sign of cash after the trade, so
-    a code's days, a few thousand at most, are folded in order.
+    a code's days are folded in order, in one task a code: a row a trading day, a few thousand.
     """
     x = positions_cost(days, fees)
     if not fees["borrow"] and not fees["financing"]:
         out = x.withColumn("carry", F.lit(0.0)).withColumn("cash", -F.sum(F.col("delta") * F.col("open") + F.col("cost")).over(upto()))
     else:
-        day = F.struct("kst_date", "open", "close", "raw", "position", "delta", "cost")
-        rows = x.groupBy("code").agg(F.sort_array(F.collect_list(day)).alias("rows"))
-
-        def step(state: Column, r: Column) -> Column:
-            traded = state["cash"] - (r["delta"] * r["open"] + r["cost"])
-            carry = carry_charge(r["position"], r["close"], traded, fees)
-            row = F.struct(r["kst_date"].alias("kst_date"), r["open"].alias("open"), r["close"].alias("close"), r["raw"].alias("raw"), r["position"].alias("position"), r["delta"].alias("delta"), r["cost"].alias("cost"), carry.alias("carry"), (traded - carry).alias("cash"))
-            return F.struct((traded - carry).alias("cash"), F.concat(state["out"], F.array(row)).alias("out"))
-
-        kind = "array<struct<kst_date:date,open:double,close:double,raw:double,position:double,delta:double,cost:double,carry:double,cash:double>>"
-        empty = F.struct(F.lit(0.0).alias("cash"), F.array().cast(kind).alias("out"))
-        out = rows.select("code", F.inline(F.aggregate("rows", empty, step)["out"]))
+        columns = ["code", "kst_date", "open", "close", "raw", "position", "delta", "cost"]
+
+        def fold(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("kst_date")
+            cash, money, carried = 0.0, [], []
+            for price, close, position, delta, cost in zip(*(frame[c].tolist() for c in ("open", "close", "position", "delta", "cost")), strict=True):
+                cash -= delta * price + cost
+                short = -position * close * fees["borrow"] if position < 0 else 0.0
+                carry = (short + (-cash * fees["financing"] if cash < 0 else 0.0)) / 1e4 / 365
+                cash -= carry
+                money.append(cash)
+                carried.append(carry)
+            return frame.assign(carry=carried, cash=money)
+
+        kinds = {f.name: f.dataType.simpleString() for f in x.schema.fields}
+        out = x.select(*columns).groupBy("code").applyInPandas(fold, ", ".join([*[f"{c} {kinds[c]}" for c in columns], "carry double", "cash double"]))
     out = out.withColumn("equity", F.col("position") * F.col("close"))
     return out.withColumn("net", F.col("cash") + F.col("equity"))
 
@@ -128,9 +133,12 @@ def backtest(prices: DataFrame, sd: DataFrame, media: DataFrame, weights: dict[s
     return simulate(positions(align(prices, raw), direction, limit), fees or NO_FEES)
 
 
-def imbalance(sd: DataFrame, ratio: float = IMBALANCE_RATIO, top: int = 5) -> DataFrame:
-    """Days whose documents outnumber the code's median day by ``ratio``, the largest ``top``; codes of over 3 days only."""
-    daily = sd.groupBy("code", "kst_date").agg(F.sum("doc_cnt").alias("docs"))
+def imbalance(assigned: DataFrame, ratio: float = IMBALANCE_RATIO, top: int = 5) -> DataFrame:
+    """Trading days whose documents outnumber the code's median day by ``ratio``, the largest ``top``; codes of over 3 days only.
+
+    ``assigned`` has the counts by trading day, as ``assign_trading_day`` gives them.
+    """
+    daily = assigned.groupBy("code", "kst_date").agg(F.sum("doc_cnt").alias("docs"))
     mid = daily.groupBy("code").agg(F.median("docs").alias("mid"), F.count("*").alias("n"))
     x = daily.join(mid, "code").where("n > 3").withColumn("ratio", F.col("docs") / F.when(F.col("mid") == 0, 1.0).otherwise(F.col("mid"))).where(F.col("ratio") >= ratio)
     return x.withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy(F.col("docs").desc(), "kst_date"))).where(F.col("rn") <= top).select("code", "kst_date", "docs", "ratio")

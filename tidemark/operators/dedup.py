@@ -55,6 +55,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     both = edges.union(edges.select(*DAY, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     spark = edges.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
@@ -69,8 +71,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         moved = jumped.join(state.withColumnRenamed("root", "was"), [*DAY, "doc_id"]).where("root <> was").isEmpty()
         state = jumped
         if moved:
-            break
-    return state
+            return state
+    raise RuntimeError(f"the groups were not complete after {rounds} rounds")
 
 
 def near_dedup(docs: DataFrame, author_cap: int = AUTHOR_DAILY_CAP) -> DataFrame:

@@ -39,15 +39,16 @@ def prompts(docs: DataFrame) -> DataFrame:
 
 def unknown_outlets(docs: DataFrame, media: DataFrame) -> DataFrame:
     """Documents of unknown outlets in the news channel, and whether they are a fifth of it."""
-    x = docs.join(F.broadcast(media.where("channel = 'news'").select("media_id", "tier")), "media_id").agg(F.count_if(F.col("tier") == "unknown").alias("n"), F.count("*").alias("total"))
+    x = docs.join(media.where("channel = 'news'").select("media_id", "tier"), "media_id").agg(F.count_if(F.col("tier") == "unknown").alias("n"), F.count("*").alias("total"))
     return _row(x, "unknown", F.col("n"), warn=F.coalesce(F.col("n") * 5 >= F.col("total"), F.lit(False)) & (F.col("total") > 0))
 
 
-def consistency(docs: DataFrame, sd: DataFrame) -> DataFrame:
-    """(code, docs, counted) of codes whose documents and aggregate disagree."""
-    a = docs.groupBy("code").agg(F.count("*").alias("docs"))
+def consistency(docs: DataFrame, sd: DataFrame, entities: DataFrame) -> DataFrame:
+    """(code, docs, counted) of active codes whose dated documents and aggregate disagree."""
+    a = docs.where("kst_date IS NOT NULL AND published_utc IS NOT NULL").groupBy("code").agg(F.count("*").alias("docs"))
     b = sd.groupBy("code").agg(F.sum("doc_cnt").alias("counted"))
-    x = a.join(b, "code", "full").select("code", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("counted", F.lit(0)).alias("counted"))
+    x = entities.where("is_active = 1").select("code").join(a, "code", "left").join(b, "code", "left")
+    x = x.select("code", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("counted", F.lit(0)).alias("counted"))
     return x.where("docs <> counted")
 
 
@@ -57,14 +58,14 @@ def no_prices(entities: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def stale(entities: DataFrame, ledger: DataFrame, today: Column) -> DataFrame:
-    """(code, age, level): days since the last completed report; 999 if there was none."""
+    """(code, age, level) of active codes of priority 2 or better: days since the last report; 999 if there was none."""
     last = ledger.groupBy("code").agg(F.max("kst_date").alias("last"))
     age = F.coalesce(F.datediff(today, "last"), F.lit(999))
-    return entities.where("is_active = 1").join(last, "code", "left").select("code", age.alias("age"), F.when(age >= 5, FAIL).when(age >= 3, WARN).otherwise(OK).alias("level"))
+    return entities.where("is_active = 1 AND priority <= 2").join(last, "code", "left").select("code", age.alias("age"), F.when(age >= 5, FAIL).when(age >= 3, WARN).otherwise(OK).alias("level"))
 
 
 def backlog(docs: DataFrame, media: DataFrame, most: int = 5000) -> DataFrame:
-    opinion = F.broadcast(media.where(~F.col("channel").isin(*NON_OPINION_CHANNELS)).select("media_id"))
+    opinion = media.where(~F.col("channel").isin(*NON_OPINION_CHANNELS)).select("media_id")
     x = docs.where("label IS NULL AND is_canonical = 1").join(opinion, "media_id").agg(F.count("*").alias("n"))
     return _row(x, "pending", F.col("n"), warn=F.col("n") >= most)
 

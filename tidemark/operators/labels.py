@@ -19,9 +19,13 @@ def engaged(least: int = COMMUNITY_MIN_ENGAGEMENT) -> Column:
     return ~F.col("channel").isin(*COMMUNITY) | F.col("engagement").isNull() | (F.col("engagement") >= least)
 
 
+#: Tiers in the order in which their documents are labelled; others come last (fixed values).
+TIER_ORDER = ("major", "daily", "online", "unknown", "blog")
+
+
 def tier_rank(tier: Column) -> Column:
-    out = F.lit(5)
-    for rank, name in enumerate(("major", "wire", "daily", "global", "online")):
+    out = F.lit(len(TIER_ORDER))
+    for rank, name in enumerate(TIER_ORDER):
         out = F.when(tier == name, rank).otherwise(out)
     return out
 
@@ -33,8 +37,8 @@ def prompt(channel: Column) -> Column:
     )
 
 
-def daily_cap(docs: DataFrame, cap: int, keys: tuple[str, ...] = ("kst_date",)) -> DataFrame:
-    """The first ``cap`` documents a day: press before community, better tiers, more engagement, older ids."""
+def daily_cap(docs: DataFrame, cap: int, keys: tuple[str, ...] = ("code", "kst_date")) -> DataFrame:
+    """The first ``cap`` documents of a code and day: press before community, better tiers, more engagement, older ids."""
     community = F.col("channel").isin(*COMMUNITY)
     order = [community.cast("int"), F.when(~community, tier_rank(F.col("tier"))).asc_nulls_first(), F.coalesce("engagement", F.lit(-1)).desc(), F.col("doc_id")]
     return docs.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= cap).drop("_rn")
@@ -42,7 +46,7 @@ def daily_cap(docs: DataFrame, cap: int, keys: tuple[str, ...] = ("kst_date",))
 
 def pending(docs: DataFrame, media: DataFrame, cap: int | None = None, limit: int | None = None, channel: str | None = None, non_opinion: bool = False, since: Column | None = None) -> DataFrame:
     """Canonical documents without a label that are worth one, newest first."""
-    x = docs.where("label IS NULL AND is_canonical = 1").join(F.broadcast(media.select("media_id", "tier", "channel")), "media_id").where(engaged())
+    x = docs.where("label IS NULL AND is_canonical = 1").join(media.select("media_id", "tier", "channel"), "media_id").where(engaged())
     if not non_opinion:
         x = x.where(~F.col("channel").isin(*NON_OPINION_CHANNELS))
     if channel:
@@ -56,18 +60,21 @@ def pending(docs: DataFrame, media: DataFrame, cap: int | None = None, limit: in
     return x if limit is None else x.limit(limit)
 
 
-REPLY = "array<struct<id:bigint,label:string,relevant:boolean,confidence:double,why:string>>"
+REPLY = "array<struct<id:string,label:string,relevant:string,confidence:string,why:string>>"
 
 
 def read_labels(replies: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Scorers' JSON replies as labels; unknown labels and ids that were not asked for are dropped."""
+    """Scorers' JSON replies as labels; unknown labels and ids that were not asked for are dropped.
+
+    Values come as a model writes them: numbers as text, "false" or 0 for not relevant, no confidence for 0.
+    """
     table = F.create_map(F.lit("positive"), F.lit(1), F.lit("negative"), F.lit(-1), F.lit("neutral"), F.lit(0))
     x = replies.select(F.explode(F.from_json("reply", REPLY)).alias("r")).select(
-        F.col("r.id").alias("doc_id"),
-        F.try_element_at(table, F.lower("r.label")).alias("label"),
-        F.coalesce(F.col("r.relevant"), F.lit(True)).cast("int").alias("is_relevant"),
-        F.col("r.confidence").alias("confidence"),
-        F.left("r.why", F.lit(150)).alias("why"),
+        F.expr("try_cast(trim(r.id) AS bigint)").alias("doc_id"),
+        F.try_element_at(table, F.lower(F.trim("r.label"))).alias("label"),
+        (~F.coalesce(F.col("r.relevant"), F.lit("true")).isin("false", "0", "0.0")).cast("int").alias("is_relevant"),
+        F.coalesce(F.expr("try_cast(r.confidence AS double)"), F.lit(0.0)).alias("confidence"),
+        F.nullif(F.left("r.why", F.lit(150)), F.lit("")).alias("why"),
     )
     return x.where("label IS NOT NULL").join(wanted.select("doc_id"), "doc_id", "left_semi")
 
@@ -82,7 +89,11 @@ def word_scorer(channel: str, items: list[tuple[int, str]]) -> list[tuple[int, s
 
 
 def score(docs: DataFrame, scorer: Scorer = word_scorer, batch: int = SCORE_BATCH) -> DataFrame:
-    """doc_id, label_word, batches of one channel at a time; a failing batch is halved until single rows fail alone."""
+    """(reply): JSON replies for ``read_labels``, batches of one channel at a time.
+
+    A failing batch is halved until single rows fail alone.
+    """
+    import json
 
     def ask(channel: str, items: list[tuple[int, str]]) -> list[tuple[int, str]]:
         try:
@@ -97,10 +108,11 @@ def score(docs: DataFrame, scorer: Scorer = word_scorer, batch: int = SCORE_BATC
         for frame in frames:
             for channel, part in frame.groupby("channel", sort=True):
                 items = list(zip(part["doc_id"].tolist(), part["title"].tolist(), strict=True))
-                got = [r for lo in range(0, len(items), batch) for r in ask(channel, items[lo : lo + batch])]
-                yield pd.DataFrame(got, columns=["doc_id", "label_word"]).astype({"doc_id": "int64"})
+                for lo in range(0, len(items), batch):
+                    got = [{"id": k, "label": word, "relevant": True} for k, word in ask(channel, items[lo : lo + batch])]
+                    yield pd.DataFrame({"reply": [json.dumps(got)]})
 
-    return docs.select("doc_id", "channel", "title").mapInPandas(run, "doc_id long, label_word string")
+    return docs.select("doc_id", "channel", "title").mapInPandas(run, "reply string")
 
 
 def inherit(docs: DataFrame) -> DataFrame:

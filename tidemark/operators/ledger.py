@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.finance import signal_date
-from tidemark.functions.text import REPLACEMENT, article_id, host, registrable
-from tidemark.schema import NON_OPINION_CHANNELS, STATUS_RANK
+from tidemark.functions.text import REPLACEMENT, article_id, host, registrable, registrable_kr
+from tidemark.schema import NON_OPINION_CHANNELS, PLACEHOLDER, STATUS_RANK
 
 
 # ---- documents ---------------------------------------------------------------------------------------------------
@@ -75,7 +75,7 @@ def aggregate_sentiment(docs: DataFrame) -> DataFrame:
 
 def tier_rollup(sd: DataFrame, media: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("pos", "neu", "neg", "doc_cnt")]
-    return sd.join(F.broadcast(media.select("media_id", "tier", "channel")), "media_id").groupBy("code", "kst_date", "signal_date", "tier", "channel").agg(*sums)
+    return sd.join(media.select("media_id", "tier", "channel"), "media_id").groupBy("code", "kst_date", "signal_date", "tier", "channel").agg(*sums)
 
 
 def replace_partitions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,9 +83,14 @@ def replace_partitions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataF
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def write_partitions(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Write the folders of ``keys`` that ``rows`` has; other folders stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def label_coverage(docs: DataFrame, media: DataFrame) -> DataFrame:
     """Canonical opinion documents of each code, how many are labelled, and the share."""
-    opinion = F.broadcast(media.where(~F.col("channel").isin(*NON_OPINION_CHANNELS)).select("media_id"))
+    opinion = media.where(~F.col("channel").isin(*NON_OPINION_CHANNELS)).select("media_id")
     x = docs.where("is_canonical = 1").join(opinion, "media_id").groupBy("code").agg(F.count("*").alias("canonical"), F.count("label").alias("labeled"))
     return x.withColumn("ratio", F.try_divide(F.col("labeled"), F.col("canonical")))
 
@@ -112,43 +117,103 @@ def incomplete_dates(ledger: DataFrame) -> DataFrame:
 
 # ---- outlets -----------------------------------------------------------------------------------------------------
 def match_rules(media: DataFrame, rules: DataFrame) -> DataFrame:
-    """(media_id, rule): each outlet's first rule, by name or by registrable domain within the rule's channel."""
-    r = rules.select("rule", "channel", F.explode("aliases").alias("alias"))
-    m = media.select("media_id", "name", "channel", registrable(F.coalesce("domain", "name")).alias("dom"))
-    by_name = m.join(r, (m["name"] == r["alias"]) & (m["channel"] == r["channel"])).select("media_id", "rule")
-    by_domain = m.join(r.withColumn("dom", registrable(F.col("alias"))).where("dom IS NOT NULL"), ["dom", "channel"]).select("media_id", "rule")
-    return by_name.union(by_domain).groupBy("media_id").agg(F.min("rule").alias("rule"))
+    """(media_id, rule): the first rule that claims each outlet.
+
+    A rule claims outlets of its own channel and of news that bear one of its names, or whose address or name has the
+    registrable domain of one of them.
+    """
+    r = rules.select("rule", F.col("channel").alias("to"), F.explode(_names()).alias("alias"))
+    doms = F.filter(F.array_distinct(F.array(registrable(F.col("domain")), registrable(F.col("name")))), lambda x: x.isNotNull())
+    m = media.select("media_id", F.trim("name").alias("alias"), "channel", doms.alias("doms"))
+    by_name = m.join(r, "alias").select("media_id", "rule", "channel", "to")
+    by_domain = m.select("media_id", "channel", F.explode("doms").alias("dom")).join(r.select("rule", "to", registrable(F.col("alias")).alias("dom")).where("dom IS NOT NULL"), "dom")
+    hit = by_name.union(by_domain.select("media_id", "rule", "channel", "to")).where("channel = 'news' OR channel = to")
+    return hit.groupBy("media_id").agg(F.min("rule").alias("rule"))
+
+
+def _names() -> Column:
+    """A rule's names: its aliases, with its own name first where that is not among them."""
+    return F.when(F.array_contains("aliases", F.col("canonical")), F.col("aliases")).otherwise(F.concat(F.array("canonical"), F.col("aliases")))
+
+
+def _merged(media: DataFrame, rules: DataFrame) -> DataFrame:
+    """(canonical, channel, tier, domain, keep, members) for each new name: rules of one name and channel end as the last of them.
+
+    Rules that claim nothing have no members.
+    """
+    held = match_rules(media, rules).join(media.select("media_id", "domain"), "media_id")
+    known = F.col("domain").isNotNull()
+    hits = held.groupBy("rule").agg(F.min("media_id").alias("keep"), F.collect_list("media_id").alias("members"), F.min_by(F.when(known, F.col("domain")), F.when(known, F.col("media_id"))).alias("seen"))
+    dotted = F.element_at(F.concat(F.filter(_names(), lambda n: F.contains(n, F.lit("."))), F.array(F.lit(None).cast("string"))), 1)
+    each = rules.select("rule", "canonical", "channel", "tier", dotted.alias("dotted")).join(hits, "rule", "left")
+    at = F.when(F.col("keep").isNotNull(), F.col("rule"))
+    last = each.groupBy("canonical", "channel").agg(
+        F.max_by(F.struct("keep", "tier", F.coalesce("dotted", "seen").alias("domain")), at).alias("won"),
+        F.min_by("tier", "rule").alias("first_tier"),
+        F.flatten(F.collect_list(F.coalesce("members", F.array().cast("array<bigint>")))).alias("members"),
+        F.min("rule").alias("rule"),
+    )
+    lone = F.when(F.contains("canonical", F.lit(".")), F.col("canonical"))
+    return last.select("rule", "canonical", "channel", F.coalesce("won.tier", "first_tier").alias("tier"), F.when(F.size("members") > 0, F.col("won.domain")).otherwise(lone).alias("domain"), F.col("won.keep").alias("keep"), "members")
 
 
 def merge_media(media: DataFrame, rules: DataFrame) -> DataFrame:
-    """(media_id, keep, name, tier): outlets of one rule become that with the smallest id, under the rule's name and tier."""
-    hit = match_rules(media, rules)
-    keep = hit.groupBy("rule").agg(F.min("media_id").alias("keep"))
-    named = hit.join(keep, "rule").join(F.broadcast(rules.select("rule", F.col("canonical").alias("name"), F.col("tier").alias("new_tier"))), "rule")
-    x = media.select("media_id", F.col("name").alias("old_name"), F.col("tier").alias("old_tier")).join(named, "media_id", "left")
-    return x.select("media_id", F.coalesce("keep", "media_id").alias("keep"), F.coalesce("name", "old_name").alias("name"), F.coalesce("new_tier", "old_tier").alias("tier"))
+    """(media_id, keep, name, tier, channel): outlets of one name become one row, under the rule's name, tier and channel."""
+    named = _merged(media, rules).where("keep IS NOT NULL").select(F.explode("members").alias("media_id"), "keep", F.col("canonical").alias("to_name"), F.col("tier").alias("to_tier"), F.col("channel").alias("to_channel"))
+    x = media.select("media_id", "name", "tier", "channel").join(named, "media_id", "left")
+    return x.select("media_id", F.coalesce("keep", "media_id").alias("keep"), F.coalesce("to_name", "name").alias("name"), F.coalesce("to_tier", "tier").alias("tier"), F.coalesce("to_channel", "channel").alias("channel"))
+
+
+def merged_outlets(media: DataFrame, rules: DataFrame) -> DataFrame:
+    """The dimension after ``merge_media``: kept and untouched outlets, and new ones for rules that claim nothing."""
+    names_ = _merged(media, rules)
+    mapping = merge_media(media, rules)
+    domain = names_.where("keep IS NOT NULL").select(F.col("keep").alias("media_id"), F.col("domain").alias("to_domain"))
+    kept = mapping.where("media_id = keep").join(media.select("media_id", "domain"), "media_id").join(domain, "media_id", "left")
+    kept = kept.select("media_id", "name", F.coalesce("to_domain", "domain").alias("domain"), "tier", "channel")
+    lone = names_.where("keep IS NULL").join(kept.select(F.col("name").alias("canonical"), "channel"), ["canonical", "channel"], "left_anti")
+    top = media.agg(F.coalesce(F.max("media_id"), F.lit(-1)).alias("top"))  # one row
+    # as many rows as rules without outlets: a file kept by hand
+    new = lone.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy("rule"))).alias("media_id"), F.col("canonical").alias("name"), "domain", "tier", "channel")
+    return kept.unionByName(new)
 
 
 def repoint(facts: DataFrame, mapping: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Facts on the kept outlets, added up again."""
-    x = facts.join(F.broadcast(mapping.select("media_id", "keep")), "media_id").drop("media_id").withColumnRenamed("keep", "media_id")
+    x = facts.join(mapping.select("media_id", "keep"), "media_id").drop("media_id").withColumnRenamed("keep", "media_id")
     return x.groupBy(*keys, "media_id").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def oid_index(docs: DataFrame, media: DataFrame) -> DataFrame:
-    """(oid, name, tier): the outlet of the first document seen under each outlet number."""
-    x = docs.join(F.broadcast(media.where("tier <> 'unknown'").select("media_id", "name", "tier")), "media_id").withColumn("oid", article_id(F.col("url"))).where("oid IS NOT NULL")
+    """(oid, name, tier): the named news outlet of the first document seen under each outlet number."""
+    named = media.where((F.col("name") != PLACEHOLDER) & (F.col("channel") == "news")).select("media_id", "name", "tier")
+    x = docs.join(named, "media_id").withColumn("oid", article_id(F.col("url"))).where("oid IS NOT NULL")
     return x.groupBy("oid").agg(F.min_by(F.struct("name", "tier"), "doc_id").alias("o")).select("oid", "o.*")
 
 
 def recover_press(docs: DataFrame, media: DataFrame) -> DataFrame:
-    """(doc_id, outlet, tier) for documents of unknown outlets: by outlet number, else by the address's domain."""
-    unknown = docs.join(F.broadcast(media.where("tier = 'unknown'").select("media_id")), "media_id").select("doc_id", article_id(F.col("url")).alias("oid"), host(F.col("url")).alias("host"))
-    x = unknown.join(oid_index(docs, media), "oid", "left")
-    return x.select("doc_id", F.coalesce("name", registrable(F.col("host"))).alias("outlet"), F.coalesce("tier", F.lit("unknown")).alias("tier"))
+    """(doc_id, outlet, tier) for documents of the placeholder: by outlet number, else by the address's domain.
+
+    Documents with neither stay with the placeholder and are not returned.
+    """
+    unnamed = docs.join(media.where(F.col("name") == PLACEHOLDER).select("media_id"), "media_id").select("doc_id", article_id(F.col("url")).alias("oid"), F.nullif(host(F.col("url")), F.lit("")).alias("host"))
+    x = unnamed.join(oid_index(docs, media), "oid", "left")
+    return x.where("name IS NOT NULL OR host IS NOT NULL").select("doc_id", F.coalesce("name", registrable_kr(F.col("host"))).alias("outlet"), F.coalesce("tier", F.lit("unknown")).alias("tier"))
 
 
 # ---- snapshots and logs ------------------------------------------------------------------------------------------
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder in ``spark.checkpoint.dir``; where none is set, a temporary one, and that in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        found = tempfile.mkdtemp(prefix="tidemark-")
+    return found.rstrip("/")
+
+
 def snapshot(spark: SparkSession, tables: dict[str, DataFrame], target: str, forbidden: tuple[str, ...] = ("body", "title")) -> dict[str, int]:
     """Write tables beside ``target`` and move them there in one rename; refuses empty tables and text columns."""
     for name, df in tables.items():

@@ -64,14 +64,27 @@ def heat(count: Column, over: Window) -> Column:
 
 
 def sentiment_series(sd: DataFrame, media: DataFrame, freq: str = "daily", by: str = "total", media_ids: list[int] | None = None) -> DataFrame:
-    """Label counts, polarity and heat by bin, for a code as a whole or by tier or outlet."""
-    if media_ids is not None:
+    """Label counts and polarity by bin, for a code as a whole (with heat) or by tier or outlet.
+
+    Days without documents are not in a daily series; weeks and months between the first and the last are, with 0.  Tiers
+    and outlets have the bins of the whole, with 0 where they have no documents.
+    """
+    values = ["pos", "neu", "neg", "doc_cnt"]
+    sd = sd.join(media.select("media_id", "name", "tier"), "media_id")
+    if by == "media" and media_ids:
         sd = sd.where(F.col("media_id").isin(media_ids))
-    keys = ["code", *{"total": [], "tier": ["tier"], "media": ["name"]}[by]]
-    if by != "total":
-        sd = sd.join(F.broadcast(media.select("media_id", "name", "tier")), "media_id")
-    out = resample_sum(sd, keys, ["pos", "neu", "neg", "doc_cnt"], freq)
-    return out.withColumns({"polarity": polarity(F.col("pos"), F.col("neg")), "heat": heat(F.col("doc_cnt"), Window.partitionBy(*keys))})
+
+    def sums(keys: list[str]) -> DataFrame:
+        return sd.groupBy(*keys, bin_end(F.col("kst_date"), freq).alias("bin")).agg(*[F.sum(v).alias(v) for v in values])
+
+    whole = sums(["code"]) if freq == "daily" else resample_sum(sd, ["code"], values, freq)
+    if by == "total":
+        out = whole.withColumn("heat", heat(F.col("doc_cnt"), Window.partitionBy("code")))
+    else:
+        keys = ["code", {"tier": "tier", "media": "name"}[by]]
+        got = sums(keys)
+        out = whole.select("code", "bin").join(got.select(*keys).distinct(), "code").join(got, [*keys, "bin"], "left").fillna(0, subset=values)
+    return out.withColumn("polarity", polarity(F.col("pos"), F.col("neg")))
 
 
 def coverage_gaps(prices: DataFrame, sd: DataFrame) -> DataFrame:
@@ -99,7 +112,7 @@ def media_catalog(sd: DataFrame, media: DataFrame, limit: int = 60) -> DataFrame
     """The outlets with most documents, and how many."""
     n = sd.groupBy("code", "media_id").agg(F.sum("doc_cnt").alias("docs"))
     ranked = n.withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy(F.col("docs").desc(), "media_id"))).where(F.col("rn") <= limit)
-    return ranked.join(F.broadcast(media.select("media_id", "name", "tier")), "media_id").select("code", "media_id", "name", "tier", "docs")
+    return ranked.join(media.select("media_id", "name", "tier"), "media_id").select("code", "media_id", "name", "tier", "docs")
 
 
 def moving_average(value: Column, over: Window, rows: int = 20, least: int = 10) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.functions.finance import polarity, safe_corr, significance
 from tidemark.operators.series import resample_mean
-from tidemark.schema import MIN_DAYS
+from tidemark.schema import MIN_DAYS, MIN_LABELED_RATIO
 
 
 def by_day() -> WindowSpec:
@@ -29,10 +29,13 @@ def entity_frame(sd: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def lag_pairs(frame: DataFrame, signal: str, max_lag: int) -> DataFrame:
-    """(code, lag, s, r): signal at a row and return ``lag`` rows later, by position among rows that have a return."""
+    """(code, lag, s, r): the signal ``lag`` rows after each return, by position among rows that have a return.
+
+    So with a positive lag prices lead, with a negative one the signal does.
+    """
     x = frame.where("ret IS NOT NULL").select("code", "kst_date", F.coalesce(F.col(signal), F.lit(0.0)).alias("s"), "ret")
     lags = range(-max_lag, max_lag + 1)
-    wide = x.select("code", "s", *[F.lead("ret", k).over(by_day()).alias(f"r{k}") if k >= 0 else F.lag("ret", -k).over(by_day()).alias(f"r{k}") for k in lags])
+    wide = x.select("code", "s", *[F.lag("ret", k).over(by_day()).alias(f"r{k}") if k >= 0 else F.lead("ret", -k).over(by_day()).alias(f"r{k}") for k in lags])
     return wide.select("code", "s", F.posexplode(F.array(*[F.col(f"`r{k}`") for k in lags])).alias("at", "r")).select("code", (F.col("at") - max_lag).alias("lag"), "s", "r").where("r IS NOT NULL")
 
 
@@ -42,11 +45,10 @@ def lead_lag(frame: DataFrame, signal: str = "net", max_lag: int = 5, min_days:
     return lag_pairs(frame, signal, max_lag).join(enough, "code").groupBy("code", "lag").agg(F.count("*").alias("n"), safe_corr(F.col("s"), F.col("r")).alias("r"))
 
 
-def best_lag(lags: DataFrame, digits: int = 3) -> DataFrame:
-    """The lag with the largest rounded |r| of each code, the smallest of equals, and its significance."""
-    x = lags.where("r IS NOT NULL").withColumn("r", F.round("r", digits))
-    best = x.groupBy("code").agg(F.max_by(F.struct("lag", "r", "n"), F.struct(F.abs("r"), -F.col("lag"))).alias("best")).select("code", "best.*")
-    return best.withColumn("z", significance(F.col("r"), F.col("n")))
+def best_lag(lags: DataFrame) -> DataFrame:
+    """(code, lag, r, n, z): the lag with the largest |r| of four digits, the smallest of equals; z of two digits."""
+    x = lags.where("r IS NOT NULL").withColumns({"z": F.round(significance(F.col("r"), F.col("n")), 2), "r": F.round("r", 4)})
+    return x.groupBy("code").agg(F.max_by(F.struct("lag", "r", "n", "z"), F.struct(F.abs("r"), -F.col("lag"))).alias("best")).select("code", "best.*")
 
 
 def differenced(frame: DataFrame, signal: str = "net") -> DataFrame:
@@ -55,13 +57,29 @@ def differenced(frame: DataFrame, signal: str = "net") -> DataFrame:
     return x.withColumn(signal, F.col(signal) - F.lag(signal).over(by_day())).where(F.col(signal).isNotNull())
 
 
-def compare(frame: DataFrame, max_lag: int = 5) -> DataFrame:
-    """Codes by strength of their best lag, with the same lag's r on changes, to tell a shared trend."""
+def trend(frame: DataFrame, signal: str = "net", min_days: int = MIN_DAYS) -> DataFrame:
+    """(code, days, trend_shared): days with a return, and the signal's correlation with their order where there are enough."""
+    x = frame.where("ret IS NOT NULL").select("code", F.coalesce(F.col(signal), F.lit(0.0)).alias("s"), F.row_number().over(by_day()).alias("k"))
+    days = x.groupBy("code").agg(F.count("*").alias("days"), F.round(safe_corr(F.col("s"), F.col("k")), 3).alias("trend_shared"))
+    return days.withColumn("trend_shared", F.when(F.col("days") >= min_days, F.col("trend_shared")))
+
+
+def compare(frame: DataFrame, max_lag: int = 5, coverage: DataFrame | None = None) -> DataFrame:
+    """Codes by strength of their best lag.
+
+    Beside it the same lag's r on changes and the signal's own trend, to tell a shared trend from a link, and how much of
+    the code is labelled (``coverage``: code, canonical, labeled, ratio).  Codes with too few days have no best lag.
+    """
     best = best_lag(lead_lag(frame, max_lag=max_lag))
-    change = lead_lag(differenced(frame), max_lag=max_lag, min_days=MIN_DAYS - 1).select("code", "lag", F.round("r", 3).alias("r_diff"))
-    x = best.join(change, ["code", "lag"], "left")
-    x = x.withColumn("trend_shared", F.coalesce((F.abs("r") >= 0.3) & (F.abs("r_diff") < F.abs("r") / 2), F.lit(False)))
-    return x.orderBy(F.coalesce(F.abs("r"), F.lit(0.0)).desc(), "code")
+    change = lead_lag(differenced(frame), max_lag=max_lag, min_days=MIN_DAYS - 1).select("code", "lag", F.round("r", 4).alias("diff_r"))
+    x = trend(frame).join(best, "code", "left").join(change, ["code", "lag"], "left")
+    if coverage is None:
+        x = x.withColumns({"labeled": F.lit(None).cast("long"), "canonical": F.lit(None).cast("long"), "ratio": F.lit(None).cast("double")})
+    else:
+        x = x.join(coverage.select("code", "labeled", "canonical", "ratio"), "code", "left")
+    x = x.withColumn("low_coverage", F.coalesce(F.col("ratio") < MIN_LABELED_RATIO, F.lit(False)))
+    out = x.select("code", "days", "lag", "r", "n", "z", "diff_r", "trend_shared", "labeled", "canonical", F.round("ratio", 4).alias("labeled_ratio"), "low_coverage")
+    return out.orderBy(F.coalesce(F.abs("r"), F.lit(0.0)).desc(), "code")
 
 
 def matrix(frame: DataFrame, freq: str = "W", least: int = 4) -> DataFrame:
@@ -81,19 +99,27 @@ def wide(frame: DataFrame, codes: list[str], freq: str = "W") -> DataFrame:
 
 
 def basket(prices: DataFrame) -> DataFrame:
-    """An equal-weight index of all codes from 100: its close compounds mean returns, its range is that of open and close."""
-    x = returns(prices).where("ret IS NOT NULL").groupBy("kst_date").agg(F.avg("ret").alias("ret"), F.count("*").alias("n"))
+    """An equal-weight index over the days on which every code has a close, 100 on the first.
+
+    Closes chain the mean return.  The open is the index of the day before times the mean step from close to open (the
+    close where no open is known); the range is that of open and close.
+    """
+    held = prices.where("close IS NOT NULL")
+    codes = held.agg(F.countDistinct("code").alias("codes"))  # one row
+    full = held.groupBy("kst_date").agg(F.count("*").alias("n")).join(F.broadcast(codes), F.col("n") == F.col("codes")).select("kst_date")
+    x = held.join(full, "kst_date").withColumn("was", F.lag("close").over(by_day()))
+    step = x.groupBy("kst_date").agg(F.avg(F.col("close") / F.col("was")).alias("step"), F.avg(F.col("open") / F.col("was")).alias("gap"), F.count("*").alias("n"))
     # one row a day: a bounded series
-    w = Window.orderBy("kst_date").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("close", 100 * F.exp(F.sum(F.log1p("ret")).over(w)))
-    x = x.withColumn("open", F.coalesce(F.lag("close").over(Window.orderBy("kst_date")), F.lit(100.0)))
-    return x.select("kst_date", "open", F.greatest("open", "close").alias("high"), F.least("open", "close").alias("low"), "close", "n")
+    day = Window.orderBy("kst_date")
+    level = step.withColumn("close", 100 * F.exp(F.sum(F.log(F.coalesce("step", F.lit(1.0)))).over(day.rowsBetween(Window.unboundedPreceding, 0))))
+    level = level.withColumn("open", F.coalesce(F.lag("close").over(day) * F.col("gap"), F.col("close")))
+    return level.select("kst_date", "open", F.greatest("open", "close").alias("high"), F.least("open", "close").alias("low"), "close", "n")
 
 
-def signal_summary(compared: DataFrame, low_coverage: DataFrame) -> DataFrame:
-    """Counts of significant codes (z of 2 or more, coverage not low) and which way they lead."""
-    x = compared.join(low_coverage.select("code").withColumn("low", F.lit(True)), "code", "left").where("z >= 2 AND low IS NULL")
-    return x.agg(F.count("*").alias("significant"), F.count_if(F.col("lag") > 0).alias("sentiment_leads"), F.count_if(F.col("lag") < 0).alias("price_leads"))
+def signal_summary(compared: DataFrame) -> DataFrame:
+    """Counts of significant codes (z of 2 or more, coverage not low) and which side leads."""
+    x = compared.where("z >= 2 AND NOT low_coverage")
+    return x.agg(F.count("*").alias("significant"), F.count_if(F.col("lag") > 0).alias("price_leads"), F.count_if(F.col("lag") < 0).alias("sentiment_leads"))
 
 
 def subsample_error(docs: DataFrame, cap: int, seed: int = 0) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import backtest as bt
 from tidemark.operators import health, labels, ledger, stats
 from tidemark.plans import api
 from tidemark.plans.proxies import coverage, documents, entities, media, plain, plain_sql, prices, sentiment_daily, table, titles, with_
-from tidemark.plans.registry import query
-from tidemark.plans.tables import _AGG, _COV, _RAW, _TEMP
+from tidemark.plans.registry import QUERIES, SQL, query
+from tidemark.plans.tables import _ASOF, _COV, _RAW, _TEMP
 from tidemark.schema import FEES, NO_FEES
 
 D = with_
@@ -87,12 +88,19 @@ for _name, _dir, _lim, _fees in (("backtest_summary", "forward", "long_only", TR
 query("op_buy_hold", _path_sql("forward", "long_only", TRADE_FEES, _SUM + "SELECT code, round(peak_capital / first_price * (last_close - first_price) - peak_capital / first_price * first_price * (5.0::DOUBLE + 1.5::DOUBLE) / 10000, 1) AS buy_hold FROM sm"))(lambda spark, d: _summary(spark, d, "forward", "long_only", TRADE_FEES).select("code", "buy_hold"))
 
 
-@query("agg_imbalance", D("sd", "+ dy AS (SELECT code, kst_date, sum(doc_cnt)::BIGINT AS docs FROM sd GROUP BY 1, 2), md AS (SELECT code, median(docs) AS m, count(*) AS n FROM dy GROUP BY 1) SELECT code, kst_date, docs, round(ratio, 8) AS ratio FROM (SELECT *, docs / CASE WHEN m = 0 THEN 1 ELSE m END AS ratio FROM dy JOIN md USING (code) WHERE n > 3) WHERE ratio >= 2 QUALIFY row_number() OVER (PARTITION BY code ORDER BY docs DESC, kst_date) <= 5"))
+_DOCS = f"{_ASOF}, dy AS (SELECT code, kst_date, sum(doc_cnt)::BIGINT AS docs FROM asf GROUP BY 1, 2), md AS (SELECT code, median(docs) AS m, count(*) AS n FROM dy GROUP BY 1)"
+
+
+def _assigned(spark, d):
+    return bt.assign_trading_day(bt.tier_signal(sentiment_daily(spark, d), media(spark, d)), prices(spark, d))
+
+
+@query("agg_imbalance", D("sd media prices", f"{_DOCS} SELECT code, kst_date, docs, round(ratio, 8) AS ratio FROM (SELECT *, docs / CASE WHEN m = 0 THEN 1 ELSE m END AS ratio FROM dy JOIN md USING (code) WHERE n > 3) WHERE ratio >= 2 QUALIFY row_number() OVER (PARTITION BY code ORDER BY docs DESC, kst_date) <= 5"))
 def agg_imbalance(spark, d):
-    return bt.imbalance(sentiment_daily(spark, d), ratio=2.0).withColumn("ratio", F.round("ratio", 8))
+    return bt.imbalance(_assigned(spark, d), ratio=2.0).withColumn("ratio", F.round("ratio", 8))
 
 
-query("top_imbalance", D("sd", "SELECT code, kst_date, docs FROM (SELECT code, kst_date, sum(doc_cnt)::BIGINT AS docs FROM sd GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY code ORDER BY docs DESC, kst_date) <= 5"))(lambda spark, d: bt.imbalance(sentiment_daily(spark, d), ratio=0.0).select("code", "kst_date", "docs"))
+query("top_imbalance", D("sd media prices", f"{_DOCS} SELECT code, kst_date, docs FROM dy QUALIFY row_number() OVER (PARTITION BY code ORDER BY docs DESC, kst_date) <= 5"))(lambda spark, d: bt.imbalance(_assigned(spark, d), ratio=0.0).select("code", "kst_date", "docs"))
 
 _DCA = "+ b AS (SELECT code, kst_date, close, CASE WHEN coalesce(date_trunc('month', kst_date) <> date_trunc('month', lag(kst_date) OVER (PARTITION BY code ORDER BY kst_date)), true) THEN 1000000.0::DOUBLE ELSE 0 END AS buys FROM prices WHERE close > 0), dc AS (SELECT code, kst_date, buys, sum(buys) OVER w AS invested, sum(buys * (1 - 0.00065::DOUBLE) / close) OVER w AS shares, close FROM b WINDOW w AS (PARTITION BY code ORDER BY kst_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 
@@ -102,14 +110,22 @@ def op_dca(spark, d):
     return bt.dca(prices(spark, d)).select("code", "kst_date", "invested", F.round("shares", 6).alias("shares"), F.round("value", 1).alias("value"))
 
 
-@query("win_cumprod", D("prices", "+ r AS (SELECT kst_date, avg(ret) AS ret FROM (SELECT code, kst_date, close / lag(close) OVER (PARTITION BY code ORDER BY kst_date) - 1 AS ret FROM prices) WHERE ret IS NOT NULL GROUP BY 1) SELECT kst_date, round(ln(100) + sum(ln(1 + ret)) OVER (ORDER BY kst_date ROWS UNBOUNDED PRECEDING), 7) AS log_index FROM r"))
+_BASKET = """+ h AS (SELECT * FROM prices WHERE close IS NOT NULL), f AS (SELECT kst_date FROM h GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT code) FROM h)),
+w AS (SELECT h.*, lag(close) OVER (PARTITION BY code ORDER BY kst_date) AS was FROM h JOIN f USING (kst_date)), st AS (SELECT kst_date, avg(close / was) AS step, avg(open / was) AS gap, count(*) AS n FROM w GROUP BY 1),
+lv AS (SELECT *, ln(100) + sum(ln(coalesce(step, 1))) OVER (ORDER BY kst_date ROWS UNBOUNDED PRECEDING) AS li FROM st)"""
+
+
+@query("win_cumprod", D("prices", f"{_BASKET} SELECT kst_date, round(li, 7) AS log_index FROM lv"))
 def win_cumprod(spark, d):
     return stats.basket(prices(spark, d)).select("kst_date", F.round(F.log("close"), 7).alias("log_index"))
 
 
-@query("op_altcoin", D("prices", "+ r AS (SELECT kst_date, avg(ret) AS ret, count(*) AS n FROM (SELECT code, kst_date, close / lag(close) OVER (PARTITION BY code ORDER BY kst_date) - 1 AS ret FROM prices) WHERE ret IS NOT NULL GROUP BY 1), c AS (SELECT kst_date, n, 100 * exp(sum(ln(1 + ret)) OVER (ORDER BY kst_date ROWS UNBOUNDED PRECEDING)) AS close FROM r), o AS (SELECT *, coalesce(lag(close) OVER (ORDER BY kst_date), 100) AS open FROM c) SELECT kst_date, n, round(ln(close / open), 7) AS step, greatest(open, close) = close AS up FROM o"))
+# Levels reach any size, so opens are compared with closes by their ratio.
+@query("op_altcoin", D("prices", f"{_BASKET} SELECT kst_date, n, round(li - coalesce(lag(li) OVER (ORDER BY kst_date), ln(100)), 7) AS step, round(coalesce(gap / step, 1), 7) AS opened, coalesce(gap / step, 1) < 1 AS up FROM lv"))
 def op_altcoin(spark, d):
-    return stats.basket(prices(spark, d)).select("kst_date", "n", F.round(F.log(F.col("close") / F.col("open")), 7).alias("step"), (F.col("high") == F.col("close")).alias("up"))
+    x = stats.basket(prices(spark, d)).withColumn("was", F.coalesce(F.lag("close").over(Window.orderBy("kst_date")), F.lit(100.0)))
+    opened = F.round(F.col("open") / F.col("close"), 7)
+    return x.select("kst_date", "n", F.round(F.log(F.col("close") / F.col("was")), 7).alias("step"), opened.alias("opened"), (opened < 1).alias("up"))
 
 
 # ---- statistics --------------------------------------------------------------------------------------------------
@@ -122,13 +138,14 @@ def op_entity_frame(spark, d):
     return _frame(spark, d).select("code", "kst_date", F.round("temp", 8).alias("temp"), "net", "n", F.round("ret", 8).alias("ret"))
 
 
-_PR = ", x AS (SELECT code, coalesce(net, 0) AS s, ret, row_number() OVER (PARTITION BY code ORDER BY kst_date) AS k FROM fr WHERE ret IS NOT NULL), pr AS (SELECT a.code, l.lag, a.s, b.ret AS r FROM x a CROSS JOIN (SELECT unnest(range(-5, 6))::INT AS lag) l JOIN x b ON b.code = a.code AND b.k = a.k + l.lag)"
-_CORR = "CASE WHEN count(*) >= 10 AND stddev_pop(s) > 1e-12 AND stddev_pop(r) > 1e-12 THEN corr(s, r) END"
+_PR = ", x AS (SELECT code, coalesce(net, 0) AS s, ret, row_number() OVER (PARTITION BY code ORDER BY kst_date) AS k FROM fr WHERE ret IS NOT NULL), pr AS (SELECT a.code, l.lag, a.s, b.ret AS r FROM x a CROSS JOIN (SELECT unnest(range(-5, 6))::INT AS lag) l JOIN x b ON b.code = a.code AND a.k = b.k + l.lag)"
+_GUARD = "CASE WHEN count(*) >= 10 AND stddev_pop({x}) > 1e-12 AND stddev_pop({y}) > 1e-12 THEN corr({x}, {y}) END"
+_CORR = _GUARD.format(x="s", y="r")
 _LL = f"{_TEMP}{_PR}, ll AS (SELECT code, lag, count(*) AS n, {_CORR} AS r FROM pr GROUP BY 1, 2)"
 query("win_lead_lag", D("sd prices", f"{_TEMP}{_PR} SELECT code, lag, s, round(r, 8) AS r FROM pr"))(lambda spark, d: stats.lag_pairs(_frame(spark, d), "net", 5).withColumn("r", F.round("r", 8)))
 query("op_lead_lag", D("sd prices", f"{_LL} SELECT code, lag, n, round(r, 7) AS r FROM ll"))(lambda spark, d: stats.lead_lag(_frame(spark, d)).withColumn("r", F.round("r", 7)))
-_BEST = ", rr AS (SELECT code, lag, n, round(r, 3) AS r FROM ll WHERE r IS NOT NULL), best AS (SELECT code, lag, r, n, abs(r) * sqrt(greatest(n - 3, 1)) AS z FROM rr QUALIFY row_number() OVER (PARTITION BY code ORDER BY abs(r) DESC, lag) = 1)"
-query("top_best_lag", D("sd prices", f"{_LL}{_BEST} SELECT code, lag, r, n, round(z, 6) AS z FROM best"))(lambda spark, d: stats.best_lag(stats.lead_lag(_frame(spark, d))).withColumn("z", F.round("z", 6)))
+_BEST = ", best AS (SELECT code, lag, round(r, 4) AS r, n, round(abs(r) * sqrt(greatest(n - 3, 1)), 2) AS z FROM ll WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code ORDER BY abs(round(r, 4)) DESC, lag) = 1)"
+query("top_best_lag", D("sd prices", f"{_LL}{_BEST} SELECT code, lag, r, n, z FROM best"))(lambda spark, d: stats.best_lag(stats.lead_lag(_frame(spark, d))))
 
 
 @query("win_diff", D("sd prices", f"{_TEMP}, x AS (SELECT code, kst_date, net - lag(net) OVER (PARTITION BY code ORDER BY kst_date) AS net FROM fr WHERE ret IS NOT NULL) SELECT code, kst_date, net FROM x WHERE net IS NOT NULL"))
@@ -136,14 +153,27 @@ def win_diff(spark, d):
     return stats.differenced(_frame(spark, d)).select("code", "kst_date", "net")
 
 
-_CMP = f"{_LL}{_BEST}, dx AS (SELECT code, net - lag(net) OVER (PARTITION BY code ORDER BY kst_date) AS s, ret, kst_date FROM fr WHERE ret IS NOT NULL), dk AS (SELECT code, s, ret, row_number() OVER (PARTITION BY code ORDER BY kst_date) AS k FROM dx WHERE s IS NOT NULL), dl AS (SELECT a.code, l.lag, round({_CORR.replace('(r)', '(b.ret)').replace('(s)', '(a.s)').replace('(s, r)', '(a.s, b.ret)')}, 3) AS r_diff FROM dk a CROSS JOIN (SELECT unnest(range(-5, 6))::INT AS lag) l JOIN dk b ON b.code = a.code AND b.k = a.k + l.lag GROUP BY 1, 2), cmp AS (SELECT best.code, best.lag, r, n, round(z, 6) AS z, r_diff, coalesce(abs(r) >= 0.3 AND abs(r_diff) < abs(r) / 2, false) AS trend_shared FROM best LEFT JOIN dl ON dl.code = best.code AND dl.lag = best.lag)"
+def _partly_labelled(spark, d):
+    """Documents of which E1's neutral ones wait for their labels."""
+    return documents(spark, d).withColumn("label", F.when((F.col("code") == "E1") & (F.col("label") == 0), F.lit(None)).otherwise(F.col("label")))
+
+
+def _coverage(spark, d):
+    """Label coverage under the codes that have prices."""
+    return ledger.label_coverage(_partly_labelled(spark, d), media(spark, d)).withColumn("code", F.replace("code", F.lit("E"), F.lit("L")))
+
+
+_PARTLY = "pl AS (SELECT * REPLACE (CASE WHEN code = 'E1' AND label = 0 THEN NULL ELSE label END AS label) FROM docs), lc AS (SELECT code, count(*) AS canonical, count(label) AS labeled FROM pl JOIN media USING (media_id) WHERE is_canonical = 1 AND channel NOT IN ('vendor', 'algo', 'pr', 'aggregator') GROUP BY 1)"
+_CMP = f"""{_LL}{_BEST}, dk AS (SELECT code, s - lag(s) OVER (PARTITION BY code ORDER BY k) AS s, ret, k FROM x), dl AS (SELECT a.code, l.lag, round({_GUARD.format(x="a.s", y="b.ret")}, 4) AS diff_r FROM dk a CROSS JOIN (SELECT unnest(range(-5, 6))::INT AS lag) l JOIN dk b ON b.code = a.code AND a.k = b.k + l.lag AND b.k > 1 WHERE a.s IS NOT NULL GROUP BY 1, 2),
+tr AS (SELECT code, count(*) AS days, round({_GUARD.format(x="s", y="k")}, 3) AS trend_shared FROM x GROUP BY 1), {_PARTLY},
+cmp AS (SELECT tr.code, days, best.lag, r, n, z, diff_r, CASE WHEN days >= 30 THEN trend_shared END AS trend_shared, labeled, canonical, round(labeled / canonical, 4) AS labeled_ratio, coalesce(labeled / canonical < 0.6, false) AS low_coverage FROM tr LEFT JOIN best USING (code) LEFT JOIN dl ON dl.code = tr.code AND dl.lag = best.lag LEFT JOIN lc ON replace(lc.code, 'E', 'L') = tr.code)"""
 for _name in ("op_compare", "sort_markets"):
-    query(_name, D("sd prices", f"{_CMP} SELECT * FROM cmp"))(lambda spark, d: api.cross_market(prices(spark, d), sentiment_daily(spark, d)).select("code", "lag", "r", "n", F.round("z", 6).alias("z"), "r_diff", "trend_shared"))
+    query(_name, D("sd prices docs media", f"{_CMP} SELECT * FROM cmp"))(lambda spark, d: api.cross_market(prices(spark, d), sentiment_daily(spark, d), coverage=_coverage(spark, d)))
 
 
-@query("op_sig_summary", D("sd prices", f"{_CMP} SELECT count(*) AS significant, count(*) FILTER (WHERE lag > 0) AS sentiment_leads, count(*) FILTER (WHERE lag < 0) AS price_leads FROM cmp WHERE z >= 2 AND code <> 'L2'"))
+@query("op_sig_summary", D("sd prices docs media", f"{_CMP} SELECT count(*) AS significant, count(*) FILTER (WHERE lag > 0) AS price_leads, count(*) FILTER (WHERE lag < 0) AS sentiment_leads FROM cmp WHERE z >= 2 AND NOT low_coverage"))
 def op_sig_summary(spark, d):
-    return stats.signal_summary(stats.compare(_frame(spark, d)), spark.createDataFrame([("L2",)], "code string"))
+    return stats.signal_summary(stats.compare(_frame(spark, d), coverage=_coverage(spark, d)))
 
 
 _MX = "SELECT a.code AS a, b.code AS b, count(*) AS n, CASE WHEN a.code = b.code THEN 1.0 ELSE round(CASE WHEN count(*) >= 10 AND stddev_pop(a.temp) > 1e-12 AND stddev_pop(b.temp) > 1e-12 THEN corr(a.temp, b.temp) END, 3) END AS r FROM {t} a JOIN {t} b ON a.bin = b.bin GROUP BY 1, 2 HAVING count(*) >= 4"
@@ -162,31 +192,55 @@ def op_subsample_err(spark, d):
     return stats.subsample_error(documents(spark, d), 10).select("code", F.round("cap_error", 8).alias("cap_error"), F.round("random_error", 8).alias("random_error"))
 
 
-@query("op_tone_compare", D("sd prices", f"{_TEMP}, m AS (SELECT code, kst_date, avg(net) OVER (PARTITION BY code ORDER BY kst_date ROWS 19 PRECEDING) AS s, avg(ret) OVER (PARTITION BY code ORDER BY kst_date ROWS 19 PRECEDING) AS r, row_number() OVER (PARTITION BY code ORDER BY kst_date) AS k FROM fr WHERE ret IS NOT NULL) SELECT a.code, l.lag, count(*) AS n, round({_CORR.replace('(r)', '(b.r)').replace('(s)', '(a.s)').replace('(s, r)', '(a.s, b.r)')}, 6) AS r FROM m a CROSS JOIN (SELECT unnest(range(-5, 6))::INT AS lag) l JOIN m b ON b.code = a.code AND b.k = a.k + l.lag GROUP BY 1, 2"))
+@query("op_tone_compare", D("sd prices", f"{_TEMP}, m AS (SELECT code, kst_date, avg(net) OVER (PARTITION BY code ORDER BY kst_date ROWS 19 PRECEDING) AS s, avg(ret) OVER (PARTITION BY code ORDER BY kst_date ROWS 19 PRECEDING) AS r, row_number() OVER (PARTITION BY code ORDER BY kst_date) AS k FROM fr WHERE ret IS NOT NULL) SELECT a.code, l.lag, count(*) AS n, round({_GUARD.format(x='a.s', y='b.r')}, 6) AS r FROM m a CROSS JOIN (SELECT unnest(range(-5, 6))::INT AS lag) l JOIN m b ON b.code = a.code AND a.k = b.k + l.lag GROUP BY 1, 2"))
 def op_tone_compare(spark, d):
     from tidemark.operators.experiments import tone_compare
 
     return tone_compare(_frame(spark, d)).withColumn("r", F.round("r", 6))
 
 
-@query("op_distill")
-def op_distill(spark, d):
+def _distilled(spark, d):
     from tidemark.operators.experiments import distill
 
-    x = documents(spark, d).where("label IS NOT NULL AND kst_date IS NOT NULL").select("doc_id", "title", "label", "kst_date")
+    x = documents(spark, d).where("label IS NOT NULL AND kst_date IS NOT NULL").select("doc_id", "code", "title", "label", "is_relevant", "kst_date")
     return distill(x, "2024-01-20")
 
 
-@query("op_llm_score", D("docs media", "SELECT doc_id, CASE WHEN title LIKE 'purchase%' OR title LIKE 'signup%' THEN 'positive' WHEN title LIKE 'error%' THEN 'negative' ELSE 'neutral' END AS label_word FROM docs JOIN media USING (media_id)"))
+@query("op_distill")
+def op_distill(spark, d):
+    from tidemark.operators.experiments import macro_f1
+
+    return macro_f1(_distilled(spark, d))
+
+
+@query("op_distill_agreement")
+def op_distill_agreement(spark, d):
+    from tidemark.operators.experiments import agreement
+
+    return agreement(_distilled(spark, d))
+
+
+@query("op_llm_score", D("docs media", "SELECT doc_id, CASE WHEN title LIKE 'purchase%' OR title LIKE 'signup%' THEN 1 WHEN title LIKE 'error%' THEN -1 ELSE 0 END AS label, 1 AS is_relevant, 0.0::DOUBLE AS confidence FROM docs JOIN media USING (media_id)"))
 def op_llm_score(spark, d):
-    return labels.score(documents(spark, d).join(F.broadcast(media(spark, d)), "media_id"))
+    docs = documents(spark, d).join(media(spark, d), "media_id")
+    return labels.read_labels(labels.score(docs), docs).select("doc_id", "label", "is_relevant", "confidence")
+
+
+_REELS = _SUM + """, own AS (SELECT code, peak_capital AS peak, first_price AS first FROM sm), fb AS (SELECT pa.*, round(net) AS rnet, peak, first, CASE WHEN coalesce(date_trunc('month', kst_date) <> date_trunc('month', lag(kst_date) OVER (PARTITION BY code ORDER BY kst_date)), true) THEN 1000000.0::DOUBLE ELSE 0 END AS buys FROM pa JOIN own USING (code)),
+fu AS (SELECT *, sum(buys) OVER w AS invested, sum(CASE WHEN close > 0 THEN buys * (1 - 0.00065::DOUBLE) / close ELSE 0 END) OVER w AS units FROM fb WINDOW w AS (PARTITION BY code ORDER BY kst_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sc AS (SELECT code, signal_date, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg, sum(doc_cnt)::BIGINT AS docs FROM sd GROUP BY 1, 2)
+SELECT fu.code, fu.kst_date, close AS price, peak + rnet AS trader_val, round(rnet / peak * 100, 6) AS trader_roi, round(position, 4) AS trader_pos, round(units * close) AS dca_val,
+  peak + round(peak / first * close - peak - peak / first * first * 6.5::DOUBLE / 10000) AS bh_val, """ + plain_sql("round(raw, 4)") + """ AS raw_signal, coalesce(pos, 0) AS pos_cnt, coalesce(neg, 0) AS neg_cnt, coalesce(docs, 0) AS doc_cnt, """ + plain_sql("round(delta, 4)") + """ AS delta,
+  CASE WHEN round(delta, 4) > 0 THEN 'buy' WHEN round(delta, 4) < 0 THEN 'sell' WHEN coalesce(docs, 0) > 100 AND raw > 15 THEN 'buzz' END AS event FROM fu LEFT JOIN sc ON sc.code = fu.code AND sc.signal_date = fu.kst_date"""
 
 
-@query("op_reels", D("prices", f"{_DCA}, h AS (SELECT code, arg_min(close, kst_date) AS p FROM prices WHERE close > 0 GROUP BY 1) SELECT code, kst_date, round(invested, 0) AS invested, round(shares * close - invested, 0) AS dca_gain, round(100 * (close / p - 1), 4) AS hold_pct, CASE WHEN buys > 0 THEN 'buy' WHEN abs(close / lag(close) OVER (PARTITION BY code ORDER BY kst_date) - 1) > 0.5 THEN 'swing' END AS event FROM dc JOIN h USING (code)"))
+# The yields follow from the values; at two digits they often fall on a tie.
+@query("op_reels", _path_sql("forward", "long_only", TRADE_FEES, _REELS))
 def op_reels(spark, d):
     from tidemark.operators.experiments import frames
 
-    return frames(prices(spark, d))
+    x = frames(prices(spark, d), sentiment_daily(spark, d), media(spark, d), fees=TRADE_FEES)
+    return x.withColumns({"trader_roi": F.round("trader_roi", 6), "raw_signal": plain(F.col("raw_signal")), "delta": plain(F.col("delta"))}).drop("bh_roi", "dca_roi")
 
 
 # ---- data quality ------------------------------------------------------------------------------------------------
@@ -204,18 +258,41 @@ _HC = {
 for _name, (_f, _ctes, _sql) in _HC.items():
     query(_name, D(_ctes, _sql) if _ctes else _sql)(_f)
 
-_AGGD = _AGG.replace("count(*) AS doc_cnt", "count(*) AS doc_cnt")
+#: Documents of which one feed came in after the aggregate was made.
+_LATE = "code = 'E2' AND source = 'rss'"
 for _name in ("agg_consistency", "hc_consistency"):
-    query(_name, D("docs", f"+ a AS ({_AGGD}), x AS (SELECT code, count(*) AS docs FROM docs GROUP BY 1), y AS (SELECT code, sum(doc_cnt)::BIGINT AS counted FROM a GROUP BY 1) SELECT code, coalesce(docs, 0) AS docs, coalesce(counted, 0) AS counted FROM x FULL JOIN y USING (code) WHERE coalesce(docs, 0) <> coalesce(counted, 0)"))(lambda spark, d: health.consistency(documents(spark, d), ledger.aggregate_sentiment(documents(spark, d))))
+    query(_name, D("docs entities", f"SELECT code, docs, counted FROM (SELECT code, count(*) AS docs, count(*) FILTER (WHERE NOT ({_LATE})) AS counted FROM docs WHERE published_utc IS NOT NULL GROUP BY 1) JOIN entities USING (code) WHERE is_active = 1 AND docs <> counted"))(
+        lambda spark, d: health.consistency(documents(spark, d), ledger.aggregate_sentiment(documents(spark, d).where(f"NOT ({_LATE})")), entities(spark, d))
+    )
 query("hc_noprice", D("entities prices", "SELECT code FROM entities WHERE is_active = 1 AND priority <= 2 AND code NOT IN (SELECT code FROM prices)"))(lambda spark, d: health.no_prices(entities(spark, d), prices(spark, d)))
-query("hc_stale", D("entities cov", "SELECT code, age, CASE WHEN age >= 5 THEN 'FAIL' WHEN age >= 3 THEN 'WARN' ELSE 'OK' END AS level FROM (SELECT e.code, coalesce((DATE '2024-02-03' - max(kst_date))::INT, 999) AS age FROM entities e LEFT JOIN cov USING (code) WHERE is_active = 1 GROUP BY 1)"))(lambda spark, d: health.stale(entities(spark, d), coverage(spark, d), F.lit("2024-02-03").cast("date")))
+query("hc_stale", D("entities cov", "SELECT code, age, CASE WHEN age >= 5 THEN 'FAIL' WHEN age >= 3 THEN 'WARN' ELSE 'OK' END AS level FROM (SELECT e.code, coalesce((DATE '2024-02-03' - max(kst_date))::INT, 999) AS age FROM entities e LEFT JOIN cov USING (code) WHERE is_active = 1 AND priority <= 2 GROUP BY 1)"))(lambda spark, d: health.stale(entities(spark, d), coverage(spark, d), F.lit("2024-02-03").cast("date")))
 query("hc_jump", D("prices", "SELECT code, kst_date, round(abs(close / was - 1), 8) AS jump FROM (SELECT *, lag(close) OVER w AS was, lag(source) OVER w AS before FROM prices WINDOW w AS (PARTITION BY code ORDER BY kst_date)) WHERE before <> source AND abs(close / was - 1) >= 0.15"))(lambda spark, d: health.source_jumps(prices(spark, d)).where("level <> 'OK'").select("code", "kst_date", F.round("jump", 8).alias("jump")))
-query("hc_label_cov", D("docs media", "SELECT code, canonical, labeled FROM (SELECT code, count(*) AS canonical, count(label) AS labeled FROM docs JOIN media USING (media_id) WHERE is_canonical = 1 AND channel NOT IN ('vendor', 'algo', 'pr', 'aggregator') AND doc_id % 2 = 1 OR (is_canonical = 1 AND label IS NULL AND channel NOT IN ('vendor', 'algo', 'pr', 'aggregator')) GROUP BY 1) WHERE labeled / canonical < 0.6 AND canonical >= 50"))(
-    lambda spark, d: health.low_coverage(documents(spark, d).where("doc_id % 2 = 1 OR label IS NULL"), media(spark, d), 50).select("code", "canonical", "labeled")
-)
+query("hc_label_cov", D("docs media", f"+ {_PARTLY} SELECT code, canonical, labeled FROM lc WHERE labeled / canonical < 0.6 AND canonical >= 50"))(lambda spark, d: health.low_coverage(_partly_labelled(spark, d), media(spark, d), 50).select("code", "canonical", "labeled"))
 query("hc_incomplete", D("cov", f"{_COV}, x AS (SELECT code, source, count(*) FILTER (WHERE status IN ('partial', 'failed')) AS bad, count(*) FILTER (WHERE status <> 'pending') AS total FROM fin GROUP BY 1, 2) SELECT code, source, bad / total >= 0.2 AS warns FROM x WHERE total >= 20"))(lambda spark, d: health.incomplete(ledger.merge_coverage(coverage(spark, d)), least=20).select("code", "source", (F.col("level") == "WARN").alias("warns")))
 
 
-@query("agg_healthcheck", "WITH " + ", ".join(f"{n} AS ({D(c, s) if c else s})" for n, (_, c, s) in _HC.items()) + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM {n}" for n in _HC) + ") SELECT max(CASE level WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END)::INT AS exit_code FROM every")
+#: Checks made of other queries' rows: a level for any row, or the rows' own worst level.
+_ROWS = {
+    "consistency": ("hc_consistency", lambda x: health.counted(x, "consistency"), "CASE WHEN count(*) > 0 THEN 'WARN' ELSE 'OK' END"),
+    "noprice": ("hc_noprice", lambda x: health.counted(x, "noprice"), "CASE WHEN count(*) > 0 THEN 'WARN' ELSE 'OK' END"),
+    "stale": ("hc_stale", lambda x: health.worst(x, "stale"), "CASE WHEN count(*) FILTER (WHERE level = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE level = 'WARN') > 0 THEN 'WARN' ELSE 'OK' END"),
+    "jump": ("win_boundary", lambda x: health.worst(x, "jump"), "CASE WHEN count(*) FILTER (WHERE level = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE level = 'WARN') > 0 THEN 'WARN' ELSE 'OK' END"),
+    "label_cov": ("hc_label_cov", lambda x: health.counted(x, "label_cov"), "CASE WHEN count(*) > 0 THEN 'WARN' ELSE 'OK' END"),
+    "incomplete": ("hc_incomplete", lambda x: health.counted(x.where("warns"), "incomplete"), "CASE WHEN count(*) FILTER (WHERE warns) > 0 THEN 'WARN' ELSE 'OK' END"),
+}
+_EVERY = " UNION ALL ".join([f"SELECT name, level FROM ({D(c, s) if c else s})" for _, c, s in _HC.values()] + [f"SELECT '{n}' AS name, {level} AS level FROM ({SQL[q]})" for n, (q, _, level) in _ROWS.items()])
+
+
+def _checks(spark, d):
+    return [f(spark, d) for f, _, _ in _HC.values()] + [f(QUERIES[q](spark, d)) for q, f, _ in _ROWS.values()]
+
+
+@query("hc_report", _EVERY)
+def hc_report(spark, d):
+    """All eleven checks and their levels."""
+    return health.report(_checks(spark, d)).select("name", "level")
+
+
+@query("agg_healthcheck", f"SELECT max(CASE level WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END)::INT AS exit_code FROM ({_EVERY})")
 def agg_healthcheck(spark, d):
-    return health.exit_code(health.report([f(spark, d) for f, _, _ in _HC.values()]))
+    return health.exit_code(health.report(_checks(spark, d)))

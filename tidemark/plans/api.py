@@ -21,7 +21,7 @@ def tiers(sd: DataFrame, media: DataFrame) -> DataFrame:
     """Every tier with its weight and documents."""
     spark = sd.sparkSession
     every = spark.createDataFrame(list(TIER_WEIGHTS.items()), "tier string, weight double")
-    n = sd.groupBy("media_id").agg(F.sum("doc_cnt").alias("n")).join(F.broadcast(media.select("media_id", "tier")), "media_id").groupBy("tier").agg(F.sum("n").alias("docs"))
+    n = sd.groupBy("media_id").agg(F.sum("doc_cnt").alias("n")).join(media.select("media_id", "tier"), "media_id").groupBy("tier").agg(F.sum("n").alias("docs"))
     return every.join(n, "tier", "left").select("tier", "weight", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
@@ -29,7 +29,7 @@ def mapping_progress(sd: DataFrame, media: DataFrame) -> DataFrame:
     """How much of the news channel comes from outlets without a tier."""
     news = media.where("channel = 'news'")
     unknown = F.sum(F.when(F.col("tier") == "unknown", F.col("doc_cnt")))
-    docs = sd.join(F.broadcast(news.select("media_id", "tier")), "media_id").agg(unknown.alias("unknown_docs"), F.sum("doc_cnt").alias("total_docs"), F.round(100.0 * unknown / F.sum("doc_cnt"), 1).alias("unknown_pct"))
+    docs = sd.join(news.select("media_id", "tier"), "media_id").agg(unknown.alias("unknown_docs"), F.sum("doc_cnt").alias("total_docs"), F.round(100.0 * unknown / F.sum("doc_cnt"), 1).alias("unknown_pct"))
     outlets = news.agg(F.count_if(F.col("tier") != "unknown").alias("mapped"), F.count("*").alias("outlets"))
     return docs.crossJoin(outlets)  # one row each
 
@@ -55,15 +55,15 @@ def backtest(prices: DataFrame, sd: DataFrame, media: DataFrame, code: str, dire
     p, s = prices.where(F.col("code") == code), sd.where(F.col("code") == code)
     charged = FEES if fees else NO_FEES
     path = bt.backtest(p, s, media, parse_weights(weights), direction, limit, charged)
-    return {"path": bt.drawdown(bt.rounded(path)), "summary": bt.summary(path, charged), "imbalance": bt.imbalance(s)}
+    return {"path": bt.drawdown(bt.rounded(path)), "summary": bt.summary(path, charged), "imbalance": bt.imbalance(bt.assign_trading_day(bt.tier_signal(s, media), p))}
 
 
-def cross_market(prices: DataFrame, sd: DataFrame, codes: list[str] | None = None, max_lag: int = 5) -> DataFrame:
+def cross_market(prices: DataFrame, sd: DataFrame, codes: list[str] | None = None, max_lag: int = 5, coverage: DataFrame | None = None) -> DataFrame:
     if not 1 <= max_lag <= 15:
         raise ValueError("max_lag must be 1 to 15")
     if codes:
         prices, sd = prices.where(F.col("code").isin(codes)), sd.where(F.col("code").isin(codes))
-    return stats.compare(stats.entity_frame(sd, prices), max_lag)
+    return stats.compare(stats.entity_frame(sd, prices), max_lag, coverage)
 
 
 def sentiment_matrix(prices: DataFrame, sd: DataFrame, codes: list[str] | None = None, freq: str = "W") -> DataFrame:

@@ -43,7 +43,7 @@ def src_rss_combo(spark, d):
 def src_naver_board(spark, d):
     cell = lambda *x: F.concat(F.lit("<td>"), *x, F.lit("</td>"))
     e = table(spark, d, "events")
-    row = F.concat(F.lit("<tr>"), cell(F.date_format(F.col("ts").cast("timestamp"), "yyyy.MM.dd HH:mm")), cell(F.lit('<a href="/read?nid='), "event_id", F.lit('">'), "event_type", F.lit("</a>")), cell(F.col("user_id").cast("string")), cell(F.format_number(F.floor("value"), 0)), cell(F.lit("1")), cell(F.lit("2")), F.lit("</tr><tr><td>notice</td></tr>"))
+    row = F.concat(F.lit("<tr>"), cell(F.date_format(F.col("ts").cast("timestamp"), "yyyy.MM.dd HH:mm")), F.concat(F.lit('<td class="title"><a href="/read?nid='), "event_id", F.lit('&page=1"'), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(' title="'), "event_type", F.lit('"'))).otherwise(""), F.lit(">"), F.when(F.col("event_id") % 2 == 0, "short").otherwise(F.col("event_type")), F.lit("</a></td>")), cell(F.col("user_id").cast("string")), cell(F.format_number(F.floor("value"), 0)), cell(F.lit("1")), cell(F.lit("2")), F.lit("</tr><tr><td>notice</td></tr>"))
     return parsers.parse_board(e.select(row.alias("html"))).select("nid", F.col("posted").cast("timestamp_ntz").alias("posted"), "title", "author", "views")
 
 
@@ -73,8 +73,51 @@ def src_4chan(spark, d):
 
 @query("src_http", "SELECT doc_id, text FROM documents")
 def src_http(spark, d):
-    latin = F.col("doc_id") % 2 == 0
-    return table(spark, d, "documents").select("doc_id", parsers.decode_body(F.encode("text", "UTF-8"), F.when(latin, "text/html; charset=utf-8").otherwise("text/html")).alias("text"))
+    """Pages whose charset is in the header, in the page, or nowhere."""
+    k = F.col("doc_id") % 3
+    header = F.when(k == 0, "text/html; charset=utf-8").otherwise("text/html")
+    got = parsers.decode_body(F.encode(F.concat(F.when(k == 1, '<meta charset="utf-8">').otherwise(""), "text"), "UTF-8"), header)
+    return table(spark, d, "documents").select("doc_id", F.substr(got, F.when(k == 1, 23).otherwise(1)).alias("text"))
+
+
+#: "stock market" in the site's charset.
+EUC_KR = "주식 시장".encode("euc-kr")
+
+
+@query("src_http_euckr", "SELECT event_id, '주식 시장 ' || event_type AS text FROM events")
+def src_http_euckr(spark, d):
+    body = F.concat(F.lit(bytearray(EUC_KR)), F.encode(F.concat(F.lit(" "), "event_type"), "US-ASCII"))
+    k = F.col("event_id") % 2
+    page = F.concat(F.when(k == 0, F.encode(F.lit("<meta charset=euc-kr>"), "US-ASCII")).otherwise(F.lit(bytearray())), body)
+    got = parsers.decode_body(page, F.when(k == 0, "text/html").otherwise("text/html; charset=EUC-KR"))
+    return table(spark, d, "events").select("event_id", F.replace(got, F.lit("<meta charset=euc-kr>"), F.lit("")).alias("text"))
+
+
+def _written(spark, name: str, lines):
+    from tidemark.plans.tables import _scratch
+
+    path = _scratch(spark, name)
+    lines.coalesce(1).write.text(path)
+    return path
+
+
+@query("src_csv_entities", "SELECT 'N' || n_nationkey AS code, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE n_nationkey % 3 END::INT AS priority, CASE WHEN n_nationkey % 4 = 1 THEN 'en-US' WHEN n_nationkey % 4 = 2 THEN 'ko,en-US' ELSE 'ko' END AS languages, 2 AS aliases, (n_nationkey % 2)::INT AS queries FROM nation")
+def src_csv_entities(spark, d):
+    k = F.col("n_nationkey")
+    fields = [F.concat(F.lit("N"), k), F.lit("index"), F.col("n_name"), F.lit("KRX"), F.when(k % 3 == 0, "").otherwise((k % 3).cast("string")), F.element_at(F.array(F.lit("ko"), F.lit("en"), F.lit("ko+en"), F.lit("")), (k % 4 + 1).cast("int")), F.concat(F.lit("a| "), "n_name"), F.lit(""), F.when(k % 2 == 1, "q").otherwise("")]
+    rows = table(spark, d, "nation").select(F.concat_ws(",", *fields).alias("value"))
+    head = spark.createDataFrame([("code,kind,name,calendar,priority,locales,aliases,exclude,queries",), ("# a remark",)], "value string")
+    x = parsers.read_entities(spark, _written(spark, "entities", head.union(rows)))
+    return x.select("code", "name", "priority", F.array_join(F.transform("locales", lambda v: v[0]), ",").alias("languages"), F.size("aliases").alias("aliases"), F.size("queries").alias("queries"))
+
+
+@query("src_csv_rules", "SELECT n_name AS canonical, 'daily' AS tier, n_name || '|x' || n_nationkey AS aliases, CASE WHEN n_nationkey % 2 = 0 THEN 'cafe' ELSE 'news' END AS channel FROM nation")
+def src_csv_rules(spark, d):
+    k = F.col("n_nationkey")
+    rows = table(spark, d, "nation").select(F.concat(F.lit("daily, "), "n_name", F.lit(",x"), k, F.when(k % 2 == 0, ", cafe").otherwise("")).alias("value"))
+    head = spark.createDataFrame([("# a remark",), ("tier,canonical,aliases,channel",)], "value string")
+    x = parsers.read_rules(spark, _written(spark, "rules", head.union(rows)))
+    return x.select("canonical", "tier", F.array_join("aliases", "|").alias("aliases"), "channel")
 
 
 _BARS = "SELECT o_orderdate::DATE AS kst_date, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice ELSE o_totalprice - 1 END AS open, o_totalprice AS close FROM orders WHERE o_orderkey % 7 <> 0 {w}"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.schema import PLACEHOLDER
+
 TIERS = ("major", "daily", "online", "wire", "global", "crypto", "unknown", "blog", "community", "pr", "vendor", "algo")
 CHANNELS = ("news", "news", "news", "news", "news", "cafe", "news", "cafe", "community", "pr", "vendor", "algo")
 
@@ -15,13 +17,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def media(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve outlets named after nations, a tier each."""
+    """Twelve outlets named after nations, a tier each; the unknown one goes by the placeholder's name."""
     names = F.array(*[F.lit(t) for t in TIERS]), F.array(*[F.lit(c) for c in CHANNELS])
     n = table(spark, d, "nation").where("n_nationkey < 12")
     key = F.col("n_nationkey") + 1
     return n.select(
         F.col("n_nationkey").cast("long").alias("media_id"),
-        F.col("n_name").alias("name"),
+        F.when(F.col("n_nationkey") == 6, F.lit(PLACEHOLDER)).otherwise(F.col("n_name")).alias("name"),
         F.concat(F.lit("m"), F.col("n_nationkey"), F.lit(".example.co.kr")).alias("domain"),
         F.element_at(names[0], key).alias("tier"),
         F.element_at(names[1], key).alias("channel"),
@@ -98,11 +100,11 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     i = F.col("event_id")
     status = F.element_at(F.array(*[F.lit(x) for x in ("completed", "empty", "partial", "failed", "pending")]), (i % 5 + 1).cast("int"))
-    return e.where(i % 4 == 0).select(
+    return e.select(
         F.concat(F.lit("E"), F.col("user_id") % 5).alias("code"),
         F.when(i % 3 == 0, "rss").otherwise("board").alias("source"),
         F.to_date("ts").alias("kst_date"),
-        F.when(i % 8 == 0, status).otherwise("completed").alias("status"),
+        F.when(i % 40 < 5, status).otherwise("completed").alias("status"),
         (i % 30).alias("doc_count"),
         F.when(i % 2 == 0, i.cast("string")).alias("last_cursor"),
         (F.floor(i / F.lit(4)) % 2).alias("run"),
@@ -129,7 +131,7 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 CTE = {
-    "media": f"SELECT n_nationkey::BIGINT AS media_id, n_name AS name, 'm' || n_nationkey || '.example.co.kr' AS domain, ({_list(TIERS)})[n_nationkey + 1] AS tier, ({_list(CHANNELS)})[n_nationkey + 1] AS channel FROM nation WHERE n_nationkey < 12",
+    "media": f"SELECT n_nationkey::BIGINT AS media_id, CASE WHEN n_nationkey = 6 THEN '{PLACEHOLDER}' ELSE n_name END AS name, 'm' || n_nationkey || '.example.co.kr' AS domain, ({_list(TIERS)})[n_nationkey + 1] AS tier, ({_list(CHANNELS)})[n_nationkey + 1] AS channel FROM nation WHERE n_nationkey < 12",
     "docs": """SELECT event_id AS doc_id, 'E' || (user_id % 5) AS code, user_id % 12 AS media_id, (['rss', 'board', 'api'])[(event_id % 3) + 1] AS source,
   CASE WHEN event_id % 97 <> 0 THEN 'http://www.m' || (user_id % 12) || '.example.co.kr/article/' || (event_id % 4000) || '/x' END AS url,
   event_type || ' ' || (floor(value / 10)::BIGINT) AS title, CASE WHEN event_id % 50 <> 0 THEN user_id::VARCHAR END AS author,
@@ -147,8 +149,8 @@ CTE = {
   FROM (SELECT 'L' || (o_custkey % 3) AS code, o_orderdate::DATE AS kst_date, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*) AS volume
         FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY 1, 2)""",
     "cov": """SELECT 'E' || (user_id % 5) AS code, CASE WHEN event_id % 3 = 0 THEN 'rss' ELSE 'board' END AS source, ts::DATE AS kst_date,
-  CASE WHEN event_id % 8 = 0 THEN (['completed', 'empty', 'partial', 'failed', 'pending'])[(event_id % 5) + 1] ELSE 'completed' END AS status, event_id % 30 AS doc_count,
-  CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END AS last_cursor, (event_id // 4) % 2 AS run, event_id AS seq FROM events WHERE event_id % 4 = 0""",
+  CASE WHEN event_id % 40 < 5 THEN (['completed', 'empty', 'partial', 'failed', 'pending'])[(event_id % 5) + 1] ELSE 'completed' END AS status, event_id % 30 AS doc_count,
+  CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END AS last_cursor, (event_id // 4) % 2 AS run, event_id AS seq FROM events""",
     "entities": "SELECT CASE WHEN n_nationkey < 5 THEN 'E' || n_nationkey ELSE 'L' || (n_nationkey - 5) END AS code, n_name AS name, n_nationkey % 3 + 1 AS priority, (n_nationkey <> 3)::INT AS is_active FROM nation WHERE n_nationkey < 8",
     "titles": "SELECT doc_id, 'T' AS code, (DATE '2024-01-01' + (doc_id % 7)::INT)::DATE AS kst_date, split_part(text, chr(10), 1) AS title, source AS author FROM documents",
     "weights": "SELECT * FROM (VALUES ('major', 5.0::DOUBLE), ('daily', 2.0), ('online', 1.0), ('wire', 4.0), ('global', 2.0), ('crypto', 1.0), ('unknown', 1.0), ('blog', 0.05), ('aggregator', 0.0), ('vendor', 0.0), ('algo', 0.0), ('pr', 0.0), ('community', 0.0)) w(tier, weight)",

@@ -59,6 +59,7 @@ def clip(spark, d, rng: str):
     return clip_range(prices(spark, d), sentiment_daily(spark, d), rng).groupBy("code").agg(F.count("*").alias("days"), F.min("kst_date").alias("first_day"))
 
 
+query("flt_range_all", D("prices", "SELECT code, count(*) AS days, min(kst_date) AS first_day FROM prices GROUP BY code"))(lambda spark, d: clip(spark, d, "all"))
 for _r in ("data", "3m", "6m", "1y"):
     query(f"flt_range_{_r}", _range(_r))(lambda spark, d, r=_r: clip(spark, d, r))
 
@@ -74,7 +75,7 @@ def flt_since(spark, d):
 def flt_engagement(spark, d):
     from tidemark.operators.labels import engaged
 
-    return documents(spark, d).join(F.broadcast(media(spark, d)), "media_id").where(engaged(COMMUNITY_MIN_ENGAGEMENT)).agg(F.count("*").alias("n"))
+    return documents(spark, d).join(media(spark, d), "media_id").where(engaged(COMMUNITY_MIN_ENGAGEMENT)).agg(F.count("*").alias("n"))
 
 
 @query("prj_parse_weights", D("media", "SELECT media_id, CASE tier WHEN 'major' THEN 7.5 WHEN 'blog' THEN 0.0 ELSE weight END AS weight FROM media LEFT JOIN (SELECT * FROM (VALUES ('daily', 2.0::DOUBLE), ('online', 1.0), ('wire', 4.0), ('global', 2.0), ('crypto', 1.0), ('unknown', 1.0), ('vendor', 0.0), ('algo', 0.0), ('pr', 0.0), ('community', 0.0)) w(tier, weight)) USING (tier)"))
@@ -82,32 +83,31 @@ def prj_parse_weights(spark, d):
     return media(spark, d).select("media_id", fin.tier_weight(F.col("tier"), fin.parse_weights("major:7.5, blog:0,skipped")).alias("weight"))
 
 
-@query("prj_case_rank", D("media", "SELECT tier, CASE tier WHEN 'major' THEN 0 WHEN 'wire' THEN 1 WHEN 'daily' THEN 2 WHEN 'global' THEN 3 WHEN 'online' THEN 4 ELSE 5 END AS rank FROM media"))
+@query("prj_case_rank", D("media", "SELECT tier, CASE tier WHEN 'major' THEN 0 WHEN 'daily' THEN 1 WHEN 'online' THEN 2 WHEN 'unknown' THEN 3 WHEN 'blog' THEN 4 ELSE 5 END AS rank FROM media"))
 def prj_case_rank(spark, d):
     from tidemark.operators.labels import tier_rank
 
     return media(spark, d).select("tier", tier_rank(F.col("tier")).alias("rank"))
 
 
-@query("prj_label_map", "SELECT event_id AS doc_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS label, left(event_type || ' because', 10) AS why FROM events WHERE event_type IN ('purchase', 'error', 'view') AND event_id % 2 = 0")
+@query("prj_label_map", "SELECT event_id AS doc_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS label, left(event_type || ' because', 10) AS why, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS is_relevant, CASE WHEN event_id % 6 = 0 THEN 0.0::DOUBLE ELSE 0.5 END AS confidence FROM events WHERE event_type IN ('purchase', 'error', 'view') AND event_id % 2 = 0")
 def prj_label_map(spark, d):
     from tidemark.operators.labels import read_labels
 
     word = F.when(F.col("event_type") == "purchase", "positive").when(F.col("event_type") == "error", "negative").when(F.col("event_type") == "view", "neutral").otherwise("unsure")
     e = table(spark, d, "events")
-    replies = e.select(F.to_json(F.array(F.struct(F.col("event_id").alias("id"), word.alias("label"), F.lit(True).alias("relevant"), F.concat("event_type", F.lit(" because")).alias("why")))).alias("reply"))
-    wanted = e.where("event_id % 2 = 0").select(F.col("event_id").alias("doc_id"))
-    return read_labels(replies, wanted).select("doc_id", "label", F.left("why", F.lit(10)).alias("why"))
+    i = F.col("event_id")
+    said = F.struct(i.cast("string").alias("id"), F.concat(F.lit(" "), F.upper(word)).alias("label"), F.when(i % 4 == 0, "false").otherwise("true").alias("relevant"), F.when(i % 6 == 0, "sure").otherwise("0.5").alias("confidence"), F.concat("event_type", F.lit(" because")).alias("why"))
+    replies = e.select(F.to_json(F.array(said)).alias("reply"))
+    wanted = e.where("event_id % 2 = 0").select(i.alias("doc_id"))
+    return read_labels(replies, wanted).select("doc_id", "label", F.left("why", F.lit(10)).alias("why"), "is_relevant", "confidence")
 
 
-@query("prj_readiness", D("sd prices", "SELECT code, CASE WHEN p >= 2000 AND pct >= 70 THEN 'ready' WHEN p >= 2000 THEN 'needs labels' WHEN pct >= 70 THEN 'needs prices' ELSE 'not ready' END AS state FROM (SELECT code, count(*) AS p FROM prices GROUP BY code) JOIN (SELECT code, 100.0 * sum(canonical_cnt) / sum(doc_cnt) AS pct FROM sd GROUP BY code) USING (code)"))
+@query("prj_readiness", D("sd prices", "SELECT code, CASE WHEN p >= 2000 AND pct >= 70 THEN 'ready' WHEN p >= 2000 AND n > 0 THEN 'labelling' WHEN p >= 2000 THEN 'collecting' ELSE 'preparing' END AS state FROM (SELECT code, count(*) * (code[2:]::INT + 1) // 2 AS p FROM prices GROUP BY code) JOIN (SELECT code, sum(doc_cnt) AS n, 100.0 * sum(canonical_cnt) / sum(doc_cnt) AS pct FROM sd GROUP BY code) USING (code)"))
 def prj_readiness(spark, d):
-    days = prices(spark, d).groupBy("code").agg(F.count("*").alias("p"))
-    pct = sentiment_daily(spark, d).groupBy("code").agg((100.0 * F.sum("canonical_cnt") / F.sum("doc_cnt")).alias("pct"))
-    return days.join(pct, "code").select("code", fin.readiness(F.col("p"), F.col("pct")).alias("state"))
-
-
-_NORM = "lower(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(title, '[\\[\\(【<][^\\]\\)】>]{0,20}[\\]\\)】>]', ' ', 'g'), 'The', ' '), '\\s*\\d+\\s*$', ''), '([*%&$#!])[*%&$#!]{2,}', '\\1\\1', 'g'), '[^0-9A-Za-z가-힣]', '', 'g'))"
+    days = prices(spark, d).groupBy("code").agg(F.count("*").alias("p")).withColumn("p", F.floor(F.col("p") * (F.substring("code", 2, 9).cast("int") + 1) / 2))
+    pct = sentiment_daily(spark, d).groupBy("code").agg(F.sum("doc_cnt").alias("n"), (100.0 * F.sum("canonical_cnt") / F.sum("doc_cnt")).alias("pct"))
+    return days.join(pct, "code").select("code", fin.readiness(F.col("p"), F.col("n"), F.col("pct")).alias("state"))
 
 
 @query("fn_normalize_title")
@@ -198,17 +198,17 @@ def fn_host(spark, d):
     return table(spark, d, "pages").select("page_id", tx.host(F.col("url")).alias("host"))
 
 
-@query("fn_regdom", f"SELECT page_id, CASE WHEN len(p) >= 2 THEN array_to_string(p[len(p) - CASE WHEN len(p) >= 3 AND p[-2] IN ('co', 'or', 'ne', 'go', 'ac', 'com', 'net', 'org', 'gov', 'edu') THEN 2 ELSE 1 END:], '.') END AS domain FROM (SELECT page_id, string_split({_HOST}, '.') AS p FROM pages)")
+@query("fn_regdom", f"SELECT page_id, CASE WHEN len(p) >= 2 THEN array_to_string(p[len(p) - CASE WHEN len(p) >= 3 AND p[-2] IN ('co', 'or', 'ne', 'go', 'ac', 'com', 'net', 'org', 'gov', 'edu') THEN 2 ELSE 1 END:], '.') END AS domain FROM (SELECT page_id, string_split(regexp_replace({_HOST}, '\\.+$', ''), '.') AS p FROM pages)")
 def fn_regdom(spark, d):
     return table(spark, d, "pages").select("page_id", tx.registrable(tx.host(F.col("url"))).alias("domain"))
 
 
-@query("fn_registrable_domain", D("media", "SELECT media_id, CASE WHEN len(p) <= 2 THEN domain ELSE array_to_string(p[len(p) - CASE WHEN p[-1] = 'kr' AND p[-2] IN ('co', 'or', 'ne', 'go', 're', 'pe', 'ac') THEN 2 ELSE 1 END:], '.') END AS domain FROM (SELECT media_id, domain, string_split(domain, '.') AS p FROM media)"))
+@query("fn_registrable_domain", D("media", "SELECT media_id, CASE WHEN len(p) <= 2 THEN domain ELSE array_to_string(p[len(p) - CASE WHEN p[-1] = 'kr' AND p[-2] IN ('co', 'or', 'ne', 'go', 'pe', 're') THEN 2 ELSE 1 END:], '.') END AS domain FROM (SELECT media_id, domain, string_split(domain, '.') AS p FROM media)"))
 def fn_registrable_domain(spark, d):
     return media(spark, d).select("media_id", tx.registrable_kr(F.col("domain")).alias("domain"))
 
 
-@query("fn_oid", D("docs", "SELECT doc_id, nullif(regexp_extract(url, '/article/(\\d+)', 1), '') AS oid FROM docs"))
+@query("fn_oid", D("docs", "SELECT doc_id, nullif(regexp_extract(url, '/article/(\\d+)/', 1), '') AS oid FROM docs"))
 def fn_oid(spark, d):
     return documents(spark, d).select("doc_id", tx.article_id(F.col("url")).alias("oid"))
 
@@ -219,7 +219,7 @@ def fn_strip_outlet(spark, d):
     return titles(spark, d).select("doc_id", tx.strip_outlet(t).alias("title"))
 
 
-@query("fn_html_clean", "SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]+>', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS n FROM pages")
+@query("fn_html_clean", f"SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '&gt;&gt;\\d+', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[{tx.BLANK}]+', ' ', 'g'))) AS n FROM pages")
 def fn_html_clean(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(tx.clean_html(F.col("html"), unescape=False)).cast("long").alias("n"))
 

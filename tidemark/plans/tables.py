@@ -10,6 +10,7 @@ from tidemark.operators import dedup, labels, ledger, series, stats
 from tidemark.plans.proxies import coverage, documents, entities, media, plain, plain_sql, prices, sentiment_daily, table, titles, with_
 from tidemark.plans.registry import query
 from tidemark.plans.scalar import _PLAIN, _SIGNAL, _SIM, _plain
+from tidemark.schema import PLACEHOLDER
 
 D = with_
 SD = "sd"
@@ -27,12 +28,12 @@ def src_sql(spark, d):
 
 @query("jn_media", D("sd media", "SELECT channel, count(*) AS n FROM sd JOIN media USING (media_id) GROUP BY channel"))
 def jn_media(spark, d):
-    return sentiment_daily(spark, d).join(F.broadcast(media(spark, d)), "media_id").groupBy("channel").agg(F.count("*").alias("n"))
+    return sentiment_daily(spark, d).join(media(spark, d), "media_id").groupBy("channel").agg(F.count("*").alias("n"))
 
 
 @query("jn_doc_media", D("docs media", "SELECT tier, count(*) AS n FROM docs JOIN media USING (media_id) WHERE is_canonical = 1 AND channel = 'news' GROUP BY tier"))
 def jn_doc_media(spark, d):
-    return documents(spark, d).where("is_canonical = 1").join(F.broadcast(media(spark, d).where("channel = 'news'")), "media_id").groupBy("tier").agg(F.count("*").alias("n"))
+    return documents(spark, d).where("is_canonical = 1").join(media(spark, d).where("channel = 'news'"), "media_id").groupBy("tier").agg(F.count("*").alias("n"))
 
 
 @query("jn_body_left", D("docs", "SELECT d.doc_id, left(coalesce(b.text, ''), 600) AS body FROM docs d LEFT JOIN documents b ON b.doc_id = d.doc_id WHERE d.code = 'E2'"))
@@ -134,7 +135,14 @@ def jn_pairs(spark, d):
     return dedup.candidate_pairs(_with_norm(spark, d).withColumn("simhash", simhash64(F.col("norm")))).select("kst_date", "a", "b")
 
 
-_RULES = (("major", "Alpha", ("ALGERIA", "BRAZIL"), "news"), ("wire", "Beta", ("BRAZIL", "m3.example.co.kr", "example.co.kr"), "news"), ("blog", "Gamma", ("FRANCE",), "cafe"))
+_RULES = (
+    ("major", "Alpha", ("ALGERIA", "BRAZIL"), "news"),
+    ("blog", "Gamma", ("GERMANY", "EGYPT"), "cafe"),
+    ("wire", "Beta", ("BRAZIL", "m3.example.co.kr", "example.co.kr"), "news"),
+    ("daily", "delta.example.org", ("Nobody",), "news"),
+    ("pr", "Beta", ("IRAQ",), "algo"),
+    ("online", "Alpha", ("Nowhere",), "news"),
+)
 
 
 def rules(spark):
@@ -143,10 +151,10 @@ def rules(spark):
 
 _REGDOM = "CASE WHEN len(p) >= 2 THEN array_to_string(p[len(p) - CASE WHEN len(p) >= 3 AND p[-2] IN ('co', 'or', 'ne', 'go', 'ac', 'com', 'net', 'org', 'gov', 'edu') THEN 2 ELSE 1 END:], '.') END"
 _MATCH = f"""+ rules AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{t}', '{c}', {list(a)}, '{ch}')" for k, (t, c, a, ch) in enumerate(_RULES))}) r(rule, tier, canonical, aliases, channel)),
-al AS (SELECT rule, channel, unnest(aliases) AS alias FROM rules),
+al AS (SELECT rule, channel, unnest(list_append(aliases, canonical)) AS alias FROM rules),
 ad AS (SELECT rule, channel, {_REGDOM} AS dom FROM (SELECT rule, channel, string_split(lower(alias), '.') AS p FROM al)),
 md AS (SELECT media_id, channel, {_REGDOM} AS dom FROM (SELECT media_id, channel, string_split(lower(domain), '.') AS p FROM media)),
-hit AS (SELECT media_id, min(rule) AS rule FROM (SELECT m.media_id, rule FROM media m JOIN al ON m.name = al.alias AND m.channel = al.channel UNION ALL SELECT md.media_id, rule FROM md JOIN ad ON md.dom = ad.dom AND md.channel = ad.channel) GROUP BY 1)"""
+hit AS (SELECT media_id, min(rule) AS rule FROM (SELECT m.media_id, rule FROM media m JOIN al ON m.name = al.alias AND m.channel IN ('news', al.channel) UNION ALL SELECT md.media_id, rule FROM md JOIN ad ON md.dom = ad.dom AND md.channel IN ('news', ad.channel)) GROUP BY 1)"""
 
 
 @query("jn_unnest_match", D("media", f"{_MATCH} SELECT media_id, rule FROM hit"))
@@ -154,7 +162,9 @@ def jn_unnest_match(spark, d):
     return ledger.match_rules(media(spark, d), rules(spark))
 
 
-_MERGE = f"{_MATCH}, keep AS (SELECT rule, min(media_id) AS keep FROM hit GROUP BY 1), mm AS (SELECT m.media_id, coalesce(k.keep, m.media_id) AS keep, coalesce(r.canonical, m.name) AS name, coalesce(r.tier, m.tier) AS tier FROM media m LEFT JOIN hit USING (media_id) LEFT JOIN keep k ON k.rule = hit.rule LEFT JOIN rules r ON r.rule = hit.rule)"
+_MERGE = f"""{_MATCH}, one AS (SELECT rule, min(media_id) AS keep, arg_min(domain, media_id) FILTER (WHERE domain IS NOT NULL) AS seen FROM hit JOIN media USING (media_id) GROUP BY 1),
+won AS (SELECT canonical, channel, arg_max(keep, rule) AS keep, arg_max(tier, rule) AS tier, arg_max(coalesce(list_filter(list_prepend(canonical, aliases), lambda a: contains(a, '.'))[1], seen), rule) AS domain FROM rules JOIN one USING (rule) GROUP BY 1, 2),
+mm AS (SELECT m.media_id, coalesce(w.keep, m.media_id) AS keep, coalesce(w.canonical, m.name) AS name, coalesce(w.tier, m.tier) AS tier, coalesce(w.channel, m.channel) AS channel, coalesce(w.domain, m.domain) AS domain FROM media m LEFT JOIN hit USING (media_id) LEFT JOIN rules r ON r.rule = hit.rule LEFT JOIN won w ON w.canonical = r.canonical AND w.channel = r.channel)"""
 
 
 @query("op_media_merge", D("sd media", f"{_MERGE} SELECT code, kst_date, signal_date, keep AS media_id, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg, sum(doc_cnt)::BIGINT AS doc_cnt FROM sd JOIN mm USING (media_id) GROUP BY 1, 2, 3, 4"))
@@ -163,8 +173,13 @@ def op_media_merge(spark, d):
     return ledger.repoint(sentiment_daily(spark, d), mapping, ["code", "kst_date", "signal_date"], ["pos", "neg", "doc_cnt"])
 
 
-_OID = "nullif(regexp_extract(url, '/article/(\\d+)', 1), '')"
-_OIDS = f"+ oids AS (SELECT oid, arg_min(name, doc_id) AS name, arg_min(tier, doc_id) AS tier FROM (SELECT doc_id, {_OID} AS oid, name, tier FROM docs JOIN media USING (media_id) WHERE tier <> 'unknown') WHERE oid IS NOT NULL GROUP BY 1)"
+@query("op_media_merge_outlets", D("media", f"{_MERGE}, lone AS (SELECT canonical, channel, arg_min(tier, rule) AS tier, min(rule) AS rule FROM rules WHERE (canonical, channel) NOT IN (SELECT (canonical, channel) FROM won) AND (canonical, channel) NOT IN (SELECT (name, channel) FROM mm WHERE media_id = keep) GROUP BY 1, 2) SELECT media_id, name, domain, tier, channel FROM mm WHERE media_id = keep UNION ALL SELECT (SELECT max(media_id) FROM media) + row_number() OVER (ORDER BY rule), canonical, CASE WHEN contains(canonical, '.') THEN canonical END, tier, channel FROM lone"))
+def op_media_merge_outlets(spark, d):
+    return ledger.merged_outlets(media(spark, d), rules(spark))
+
+
+_OID = "nullif(regexp_extract(url, '/article/(\\d+)/', 1), '')"
+_OIDS = f"+ oids AS (SELECT oid, arg_min(name, doc_id) AS name, arg_min(tier, doc_id) AS tier FROM (SELECT doc_id, {_OID} AS oid, name, tier FROM docs JOIN media USING (media_id) WHERE name <> '{PLACEHOLDER}' AND channel = 'news') WHERE oid IS NOT NULL GROUP BY 1)"
 
 
 @query("agg_oid_index", D("docs media", f"{_OIDS} SELECT oid, name, tier FROM oids"))
@@ -172,7 +187,8 @@ def agg_oid_index(spark, d):
     return ledger.oid_index(documents(spark, d), media(spark, d))
 
 
-_RECOVER = f"{_OIDS}, un AS (SELECT doc_id, {_OID} AS oid, string_split(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', ''), '.') AS p FROM docs JOIN media USING (media_id) WHERE tier = 'unknown') SELECT doc_id, coalesce(name, {_REGDOM}) AS outlet, coalesce(tier, 'unknown') AS tier FROM un LEFT JOIN oids USING (oid)"
+_KRDOM = "array_to_string(p[greatest(len(p) - CASE WHEN len(p) >= 3 AND p[-1] = 'kr' AND p[-2] IN ('co', 'or', 'ne', 'go', 'pe', 're') THEN 2 ELSE 1 END, 1):], '.')"
+_RECOVER = f"{_OIDS}, un AS (SELECT doc_id, {_OID} AS oid, string_split(regexp_replace(lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '')), '^www\\.', ''), '.') AS p FROM docs JOIN media USING (media_id) WHERE name = '{PLACEHOLDER}') SELECT doc_id, coalesce(name, {_KRDOM}) AS outlet, coalesce(tier, 'unknown') AS tier FROM un LEFT JOIN oids USING (oid) WHERE name IS NOT NULL OR p IS NOT NULL"
 
 
 @query("jn_oid", D("docs media", _RECOVER))
@@ -219,17 +235,18 @@ _HEAT = lambda keys: f"CASE WHEN stddev_pop(ln(1 + doc_cnt)) OVER w > 1e-12 THEN
 def _series_sql(freq: str, by: str) -> str:
     keys = {"total": "code", "tier": "code, tier", "media": "code, name"}[by]
     bins = {"daily": "kst_date", "weekly": "(kst_date + ((5 - isodow(kst_date) + 7) % 7)::INT)::DATE", "monthly": "last_day(kst_date)"}[freq]
-    every = {"daily": "range(lo, hi + INTERVAL 1 DAY, INTERVAL 1 DAY)", "weekly": "range(lo, hi + INTERVAL 1 DAY, INTERVAL 7 DAY)", "monthly": "list_transform(range(date_trunc('month', lo), hi + INTERVAL 1 DAY, INTERVAL 1 MONTH), lambda m: last_day(m))"}[freq]
+    every = {"daily": "", "weekly": "range(lo, hi + INTERVAL 1 DAY, INTERVAL 7 DAY)", "monthly": "list_transform(range(date_trunc('month', lo), hi + INTERVAL 1 DAY, INTERVAL 1 MONTH), lambda m: last_day(m))"}[freq]
+    whole = "SELECT DISTINCT code, bin FROM got" if freq == "daily" else f"SELECT code, unnest({every})::DATE AS bin FROM (SELECT code, min(bin) AS lo, max(bin) AS hi FROM got GROUP BY 1)"
     body = f"""+ got AS (SELECT {keys}, {bins} AS bin, sum(pos)::BIGINT AS pos, sum(neu)::BIGINT AS neu, sum(neg)::BIGINT AS neg, sum(doc_cnt)::BIGINT AS doc_cnt FROM sd JOIN media USING (media_id) GROUP BY ALL),
-span AS (SELECT {keys}, min(bin) AS lo, max(bin) AS hi FROM got GROUP BY ALL), bins AS (SELECT {keys}, unnest({every})::DATE AS bin FROM span),
+bins AS (SELECT * FROM ({whole}) JOIN (SELECT DISTINCT {keys} FROM got) USING (code)),
 f AS (SELECT {keys}, bin, coalesce(pos, 0) AS pos, coalesce(neu, 0) AS neu, coalesce(neg, 0) AS neg, coalesce(doc_cnt, 0) AS doc_cnt FROM bins LEFT JOIN got USING ({keys}, bin))
-SELECT {keys}, bin, pos, neu, neg, doc_cnt, round({_POL}, 8) AS polarity, round({_HEAT(keys)}, 7) AS heat FROM f WINDOW w AS (PARTITION BY {keys})"""
+SELECT {keys}, bin, pos, neu, neg, doc_cnt, round({_POL}, 8) AS polarity{f", round({_HEAT(keys)}, 7) AS heat" if by == "total" else ""} FROM f WINDOW w AS (PARTITION BY {keys})"""
     return D("sd media", body)
 
 
 def _series(spark, d, freq: str, by: str):
     x = series.sentiment_series(sentiment_daily(spark, d), media(spark, d), freq, by)
-    return x.withColumns({"polarity": F.round("polarity", 8), "heat": F.round("heat", 7)})
+    return x.withColumns({c: F.round(c, k) for c, k in (("polarity", 8), ("heat", 7)) if c in x.columns})
 
 
 for _name, _f, _b in (("agg_sentiment_series", "daily", "total"), ("agg_sentiment_series_tier", "daily", "tier"), ("agg_resample_sum", "monthly", "total"), ("agg_sentiment_series_media", "weekly", "media"), ("win_zscore", "weekly", "total")):
@@ -319,7 +336,7 @@ def agg_prompt_versions(spark, d):
 def agg_pending_estimate(spark, d):
     from tidemark.schema import NON_OPINION_CHANNELS, SCORE_BATCH
 
-    x = documents(spark, d).where("label IS NULL AND is_canonical = 1").join(F.broadcast(media(spark, d)), "media_id").groupBy("channel").agg(F.count("*").alias("n"))
+    x = documents(spark, d).where("label IS NULL AND is_canonical = 1").join(media(spark, d), "media_id").groupBy("channel").agg(F.count("*").alias("n"))
     return x.select("channel", (~F.col("channel").isin(*NON_OPINION_CHANNELS)).alias("target"), "n", F.ceil(F.col("n") / SCORE_BATCH).alias("calls"))
 
 
@@ -337,12 +354,12 @@ def agg_dashboard(spark, d):
 
 
 # ---- windows -----------------------------------------------------------------------------------------------------
-_CAP = "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY kst_date ORDER BY (channel IN ('community', 'cafe'))::INT, CASE WHEN channel NOT IN ('community', 'cafe') THEN CASE tier WHEN 'major' THEN 0 WHEN 'wire' THEN 1 WHEN 'daily' THEN 2 WHEN 'global' THEN 3 WHEN 'online' THEN 4 ELSE 5 END END NULLS FIRST, coalesce(engagement, -1) DESC, doc_id) AS rn FROM {src}) WHERE rn <= 20"
+_CAP = "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY code, kst_date ORDER BY (channel IN ('community', 'cafe'))::INT, CASE WHEN channel NOT IN ('community', 'cafe') THEN CASE tier WHEN 'major' THEN 0 WHEN 'daily' THEN 1 WHEN 'online' THEN 2 WHEN 'unknown' THEN 3 WHEN 'blog' THEN 4 ELSE 5 END END NULLS FIRST, coalesce(engagement, -1) DESC, doc_id) AS rn FROM {src}) WHERE rn <= 20"
 
 
 @query("win_daily_cap", D("docs media", _CAP.format(src="docs JOIN media USING (media_id)")))
 def win_daily_cap(spark, d):
-    return labels.daily_cap(documents(spark, d).join(F.broadcast(media(spark, d)), "media_id"), 20).select("doc_id")
+    return labels.daily_cap(documents(spark, d).join(media(spark, d), "media_id"), 20).select("doc_id")
 
 
 _PENDING = "(SELECT * FROM docs JOIN media USING (media_id) WHERE label IS NULL AND is_canonical = 1 AND (channel NOT IN ('community', 'cafe') OR engagement IS NULL OR engagement >= 20) AND channel NOT IN ('vendor', 'algo', 'pr', 'aggregator'))"
@@ -377,12 +394,15 @@ def win_ma20_full(spark, d):
     return prices(spark, d).select("code", "kst_date", F.round(series.moving_average(F.col("close"), Window.partitionBy("code").orderBy("kst_date"), least=1), 4).alias("ma"))
 
 
-_GAPS = "+ x AS (SELECT p.code, p.kst_date, s.kst_date IS NOT NULL AS has, sum((s.kst_date IS NOT NULL)::INT) OVER (PARTITION BY p.code ORDER BY p.kst_date) AS island, lead(p.kst_date) OVER (PARTITION BY p.code ORDER BY p.kst_date) AS nxt FROM prices p LEFT JOIN (SELECT DISTINCT code, kst_date FROM sd WHERE dayofmonth(kst_date) > 10) s ON s.code = p.code AND s.kst_date = p.kst_date) SELECT code, min(kst_date) AS gap_start, coalesce(arg_max(nxt, kst_date), max(kst_date)) AS gap_end, count(*) AS days FROM x WHERE NOT has GROUP BY code, island"
+_GAPS = "+ s AS (SELECT DISTINCT code || '-' || media_id AS code, kst_date FROM sd), p AS (SELECT DISTINCT prices.code || '-' || media_id AS code, prices.kst_date FROM prices JOIN (SELECT DISTINCT code, media_id FROM sd) o ON o.code = prices.code), x AS (SELECT p.code, p.kst_date, s.kst_date IS NOT NULL AS has, sum((s.kst_date IS NOT NULL)::INT) OVER (PARTITION BY p.code ORDER BY p.kst_date) AS island, lead(p.kst_date) OVER (PARTITION BY p.code ORDER BY p.kst_date) AS nxt FROM p LEFT JOIN s ON s.code = p.code AND s.kst_date = p.kst_date) SELECT code, min(kst_date) AS gap_start, coalesce(arg_max_null(nxt, kst_date), max(kst_date)) AS gap_end, count(*) AS days FROM x WHERE NOT has GROUP BY code, island"
 
 
-@query("win_gaps_islands", D("sd prices", _GAPS.replace("arg_max(nxt, kst_date)", "arg_max_null(nxt, kst_date)")))
+@query("win_gaps_islands", D("sd prices", _GAPS))
 def win_gaps_islands(spark, d):
-    return series.coverage_gaps(prices(spark, d), sentiment_daily(spark, d).where("dayofmonth(kst_date) > 10"))
+    """Gaps of each outlet's coverage of a code."""
+    sd, own = sentiment_daily(spark, d), F.concat_ws("-", "code", "media_id").alias("code")
+    days = prices(spark, d).select("code", "kst_date").join(sd.select("code", "media_id").distinct(), "code").select(own, "kst_date")
+    return series.coverage_gaps(days, sd.select(own, "kst_date"))
 
 
 @query("win_contiguous", D("prices", "SELECT code, min(kst_date) AS run_start, max(kst_date) AS run_end, count(*) AS days FROM (SELECT code, kst_date, kst_date - (row_number() OVER (PARTITION BY code ORDER BY kst_date))::INT AS anchor FROM prices) GROUP BY code, anchor"))
@@ -425,13 +445,6 @@ def top_threads(spark, d):
     return titles(spark, d).where(any_term(F.col("title"), ("th",))).orderBy(F.length("title").desc(), "doc_id").limit(60).select("doc_id")
 
 
-@query("set_missing_dates", D("cov", "+ led AS (SELECT DISTINCT code, kst_date FROM cov WHERE status IN ('completed', 'empty') AND day(kst_date) % 3 <> 0), c AS (SELECT code, unnest(range(DATE '2024-01-01', DATE '2024-02-05', INTERVAL 1 DAY))::DATE AS kst_date FROM (SELECT DISTINCT code FROM cov)) SELECT code, kst_date FROM c WHERE (code, kst_date) NOT IN (SELECT (code, kst_date) FROM led)"))
-def set_missing_dates(spark, d):
-    cov = coverage(spark, d)
-    span = cov.select("code").distinct().withColumns({"lo": F.lit("2024-01-01").cast("date"), "hi": F.lit("2024-02-04").cast("date")})
-    return series.missing_dates(span, cov.where(F.col("status").isin("completed", "empty") & (F.dayofmonth("kst_date") % 3 != 0)), ["code"])
-
-
 @query("set_distinct_incomplete", D("cov", "SELECT DISTINCT code, kst_date FROM cov WHERE status IN ('partial', 'failed')"))
 def set_distinct_incomplete(spark, d):
     return ledger.incomplete_dates(coverage(spark, d))
@@ -480,6 +493,13 @@ for _n in ("op_cov_merge", "sink_cov_upsert"):
     query(_n, D("cov", f"{_COV} SELECT code, source, kst_date, status, doc_count, attempts, last_cursor FROM fin JOIN tr USING (code, source, kst_date)"))(lambda spark, d: ledger.merge_coverage(coverage(spark, d)))
 
 
+@query("set_missing_dates", D("cov", f"{_COV}, c AS (SELECT code, source, unnest(range(min(kst_date), max(kst_date) + INTERVAL 3 DAY, INTERVAL 1 DAY))::DATE AS kst_date FROM cov GROUP BY 1, 2) SELECT code, source, kst_date FROM c WHERE (code, source, kst_date) NOT IN (SELECT (code, source, kst_date) FROM fin WHERE status IN ('completed', 'empty'))"))
+def set_missing_dates(spark, d):
+    cov = coverage(spark, d)
+    span = cov.groupBy("code", "source").agg(F.min("kst_date").alias("lo"), F.date_add(F.max("kst_date"), 2).alias("hi"))
+    return series.missing_dates(span, ledger.merge_coverage(cov).where(F.col("status").isin("completed", "empty")), ["code", "source"])
+
+
 @query("agg_incomplete_ratio", D("cov", f"{_COV}, x AS (SELECT code, source, count(*) FILTER (WHERE status IN ('partial', 'failed')) AS bad, count(*) FILTER (WHERE status <> 'pending') AS total FROM fin GROUP BY 1, 2) SELECT code, source, total, round(bad / total, 8) AS ratio, CASE WHEN bad / total >= 0.2 THEN 'WARN' ELSE 'OK' END AS level FROM x WHERE total >= 20"))
 def agg_incomplete_ratio(spark, d):
     from tidemark.operators.health import incomplete
@@ -519,6 +539,44 @@ def sink_json(spark, d):
     return rows.select(F.from_json("line", "code string, kst_date string, close double").alias("r")).select("r.code", F.col("r.kst_date").alias("day"), "r.close")
 
 
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from tidemark.operators.ledger import work_dir
+
+    return f"{work_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
+@query("sink_delete_insert_files", D("sd", "SELECT code, year(kst_date) AS y, sum(CASE WHEN year(kst_date) = 1997 THEN doc_cnt * 2 ELSE doc_cnt END)::BIGINT AS docs FROM sd GROUP BY 1, 2"))
+def sink_delete_insert_files(spark, d):
+    """The same replacement in files: only the folders of the new rows are written again."""
+    path, x = _scratch(spark, "daily"), sentiment_daily(spark, d).withColumn("y", F.year("kst_date"))
+    ledger.write_partitions(x, path, ["code", "y"])
+    ledger.write_partitions(x.where("y = 1997").withColumn("doc_cnt", F.col("doc_cnt") * 2), path, ["code", "y"])
+    return spark.read.schema(x.schema).parquet(path).groupBy("code", "y").agg(F.sum("doc_cnt").alias("docs"))
+
+
+@query("sink_snapshot", D("sd media", "SELECT 'media' AS name, count(*) AS n FROM media UNION ALL SELECT 'sentiment_daily', count(*) FROM sd"))
+def sink_snapshot(spark, d):
+    counts = ledger.snapshot(spark, {"media": media(spark, d), "sentiment_daily": sentiment_daily(spark, d)}, _scratch(spark, "snapshot"))
+    return spark.createDataFrame(sorted(counts.items()), "name string, n long")
+
+
+@query("sink_runlog", "SELECT * FROM (VALUES ('daily', 'done', 3::BIGINT), ('daily', 'failed', 1), ('daily', 'running', 4)) r(stage, status, n)")
+def sink_runlog(spark, d):
+    """Four runs of a stage, one of which fails."""
+    path = _scratch(spark, "runs")
+    for k in range(4):
+        try:
+            with ledger.RunLog(spark, path, "daily") as log:
+                if k == 2:
+                    raise ValueError("no answer")
+                log.finish({"docs": k})
+        except ValueError:
+            pass
+    return spark.read.parquet(path).groupBy("stage", "status").agg(F.count("*").alias("n"))
+
+
 # ---- near-duplicates ---------------------------------------------------------------------------------------------
 @query("op_near_dedup")
 def op_near_dedup(spark, d):

@@ -22,6 +22,8 @@ TIER_WEIGHTS = {
 }
 #: Channels whose documents hold no opinion (fixed values).
 NON_OPINION_CHANNELS = ("vendor", "algo", "pr", "aggregator")
+#: Name of the outlet that stands for a missing one (fixed value).
+PLACEHOLDER = "미상 언론사"
 CUTOFF = "08:50"
 SHRINKAGE = 10.0
 SIMHASH_DISTANCE = 3

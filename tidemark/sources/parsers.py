@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.text import any_term, clean_html, has_hangul, host, registrable_kr, strip_outlet
+from tidemark.functions.text import any_term, clean_html, element_text, has_hangul, host, registrable_kr, strip_outlet, unmarked
 
 # ---- feeds -------------------------------------------------------------------------------------------------------
 ITEM = "array<struct<title:string,link:string,pubDate:string,source:string>>"
@@ -55,22 +57,29 @@ def locale_queries(entities: DataFrame) -> DataFrame:
 # ---- pages -------------------------------------------------------------------------------------------------------
 def rows_of(html: Column) -> Column:
     """The cells' text of every table row."""
-    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: clean_html(c, unescape=False))
+    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: element_text(c, unescape=False))
     return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), cells)
 
 
 def parse_board(pages: DataFrame, column: str = "html") -> DataFrame:
-    """Posts of a message board's list: time, title, author, views, votes and id; rows that are no posts go."""
+    """Posts of a message board's list: time, title, author, views, votes and id; rows that are no posts go.
+
+    A link's own title is the post's, where it has one.  Cells that are missing or no numbers are null.
+    """
     others = [c for c in pages.columns if c != column]
     raw = F.regexp_extract_all(column, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     x = pages.select(*others, F.explode(F.arrays_zip(raw.alias("raw"), rows_of(F.col(column)).alias("cells"))).alias("r"))
-    number = lambda k: F.expr(f"try_cast(replace(r.cells[{k}], ',', '') as bigint)")
-    out = x.where(F.size("r.cells") >= 6).select(
+    link = r"(?is)<a\b([^>]*nid=[^>]*)>(.*?)</a>"
+    x = x.withColumns({"tag": F.regexp_extract("r.raw", link, 1), "said": element_text(F.regexp_extract("r.raw", link, 2), unescape=False)})
+    cell = lambda k: F.get(F.col("r.cells"), k)
+    number = lambda k: F.expr(f"try_cast(replace(get(r.cells, {k}), ',', '') as bigint)")
+    titled = F.nullif(F.trim(F.regexp_extract("tag", r"(?i)\btitle=[\"']([^\"']*)[\"']", 1)), F.lit(""))
+    out = x.where(F.size("r.cells") >= 3).select(
         *others,
-        F.nullif(F.regexp_extract("r.raw", r"nid=(\d+)", 1), F.lit("")).cast("long").alias("nid"),
-        F.try_to_timestamp(F.col("r.cells")[0], F.lit("yyyy.MM.dd HH:mm")).alias("posted"),
-        F.col("r.cells")[1].alias("title"),
-        F.col("r.cells")[2].alias("author"),
+        F.nullif(F.regexp_extract("tag", r"nid=(\d+)", 1), F.lit("")).cast("long").alias("nid"),
+        F.try_to_timestamp(cell(0), F.lit("yyyy.MM.dd HH:mm")).alias("posted"),
+        F.coalesce(titled, "said").alias("title"),
+        F.nullif(cell(2), F.lit("")).alias("author"),
         number(3).alias("views"),
         number(4).alias("up"),
         number(5).alias("down"),
@@ -83,7 +92,7 @@ def parse_links(pages: DataFrame, column: str = "html") -> DataFrame:
     others = [c for c in pages.columns if c != column]
     hit = F.lit(r"(?is)<a[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>")
     zipped = F.arrays_zip(F.regexp_extract_all(column, hit, F.lit(1)).alias("url"), F.regexp_extract_all(column, hit, F.lit(2)).alias("text"))
-    return pages.select(*others, F.explode(zipped).alias("a")).select(*others, F.col("a.url").alias("url"), clean_html(F.col("a.text"), unescape=False).alias("text"))
+    return pages.select(*others, F.explode(zipped).alias("a")).select(*others, F.col("a.url").alias("url"), element_text(F.col("a.text"), unescape=False).alias("text"))
 
 
 def parse_article(html: Column) -> Column:
@@ -91,11 +100,35 @@ def parse_article(html: Column) -> Column:
     return clean_html(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), unescape=False)
 
 
-def decode_body(body: Column, header: Column) -> Column:
-    """Bytes as text: the header's charset, else the page's own, else UTF-8."""
-    head = F.decode(F.substring(body, 1, 2048), "ISO-8859-1")
-    named = F.lower(F.coalesce(F.nullif(F.regexp_extract(header, r"(?i)charset=([\w-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(head, r"(?i)charset=[\"']?([\w-]+)", 1), F.lit("")), F.lit("utf-8")))
-    return F.when(named.isin("iso-8859-1", "latin-1", "latin1"), F.decode(body, "ISO-8859-1")).when(named.isin("us-ascii", "ascii"), F.decode(body, "US-ASCII")).when(named.isin("utf-16", "utf16"), F.decode(body, "UTF-16")).otherwise(F.decode(body, "UTF-8"))
+@F.pandas_udf(T.StringType())
+def decode_body(body: pd.Series, header: pd.Series) -> pd.Series:
+    """Bytes as text: the header's charset, else the page's own, else UTF-8 or, where it is not that, Korean.
+
+    Any charset that Python knows; unknown names count as UTF-8.  Bytes that cannot be read become U+FFFD.
+    """
+    import codecs
+    import re
+
+    named = re.compile(r"charset=[\"']?([\w\-]+)", re.I)
+
+    def read(raw: bytes | None, head: str | None) -> str | None:
+        if raw is None:
+            return None
+        found = named.search(head or "") or named.search(raw[:4096].decode("latin-1"))
+        if not found:
+            for guess in ("utf-8", "cp949"):
+                try:
+                    return raw.decode(guess)
+                except UnicodeDecodeError:
+                    continue
+            return raw.decode("utf-8", "replace")
+        try:
+            codecs.lookup(found[1])
+        except LookupError:
+            return raw.decode("utf-8", "replace")
+        return raw.decode(found[1], "replace")
+
+    return pd.Series([read(b, h) for b, h in zip(body, header, strict=True)], dtype=object)
 
 
 # ---- JSON --------------------------------------------------------------------------------------------------------
@@ -107,7 +140,7 @@ def parse_search(raw: DataFrame, column: str = "json") -> DataFrame:
     others = [c for c in raw.columns if c != column]
     x = raw.select(*others, F.explode(F.from_json(column, SEARCH)["items"]).alias("i"))
     url = F.coalesce(F.nullif(F.col("i.originallink"), F.lit("")), F.col("i.link"))
-    return x.select(*others, clean_html(F.col("i.title")).alias("title"), url.alias("url"), registrable_kr(host(url)).alias("domain"), clean_html(F.col("i.description")).alias("body"), F.lit("approx").alias("ts_confidence"))
+    return x.select(*others, unmarked(F.col("i.title")).alias("title"), url.alias("url"), registrable_kr(host(url)).alias("domain"), unmarked(F.col("i.description")).alias("body"), F.lit("approx").alias("ts_confidence"))
 
 
 CATALOG = "array<struct<page:int,threads:array<struct<no:bigint,sub:string,com:string,replies:bigint,time:bigint>>>>"
@@ -126,11 +159,19 @@ def _items(c: str) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: Language, country and edition of the feeds that a locale key stands for; other keys stand for "ko" (fixed values).
+LOCALES = {"ko": (("ko", "KR", "KR:ko"),), "en": (("en-US", "US", "US:en"),), "ko+en": (("ko", "KR", "KR:ko"), ("en-US", "US", "US:en"))}
+
+
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
     """Entities from a headed CSV with # comments; the last four columns are pipe-separated lists and may be missing."""
     names = ["code", "kind", "name", "calendar", "priority", "locales", "aliases", "exclude", "queries"]
     x = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path, header=True, comment="#", enforceSchema=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    lists = {"locales": F.transform(_items("locales"), lambda v: F.split(v, ":")), **{c: _items(c) for c in ("aliases", "exclude", "queries")}}
+    locales = F.lit(None)
+    for key, value in LOCALES.items():
+        locales = F.when(F.col("locales") == key, F.array(*[F.array(*map(F.lit, v)) for v in value])).otherwise(locales)
+    plain = F.array(*[F.array(*map(F.lit, v)) for v in LOCALES["ko"]])
+    lists = {"locales": F.coalesce(locales, plain), **{c: _items(c) for c in ("aliases", "exclude", "queries")}}
     return x.where("code IS NOT NULL").select("code", "kind", "name", "calendar", F.coalesce(F.expr("try_cast(priority as int)"), F.lit(2)).alias("priority"), *[v.alias(k) for k, v in lists.items()], F.lit(1).alias("is_active"))
 
 
