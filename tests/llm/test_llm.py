@@ -255,6 +255,59 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert got == sorted([(None, None, True), (4, 2, False), (4, 2, False), (2, 2, True), (9, 9, True)], key=str)
 
 
+def test_near_duplicates_with_several_texts_of_one_id(spark):
+    a = " ".join(f"w{k}" for k in range(40))
+    b, c = " ".join(f"x{k}" for k in range(40)), " ".join(f"y{k}" for k in range(40))
+    x = spark.createDataFrame([(5, a), (5, b), (3, b), (9, a), (7, c), (8, c + " z")], "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    got = sorted({(r["doc_id"], r["component_id"]) for r in neardup.cluster(x).collect()})
+    assert got == [(3, 3), (5, 3), (7, 7), (8, 7), (9, 3)]
+
+
+def loose_family(seed, members, edits, words=150, vocabulary=60):
+    """Copies of one text, each with its own single words changed to others of a small vocabulary."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{k}" for k in range(words)]
+    out = []
+    for _ in range(members):
+        now = list(base)
+        for k in rng.choice(words, int(rng.integers(1, edits)), replace=False):
+            now[int(k)] = f"e{rng.integers(vocabulary)}"
+        out.append(" ".join(now))
+    return out
+
+
+def test_near_duplicates_in_a_loose_group(spark):
+    # most members lie a little below the threshold of one another, and share their changed words with a few
+    texts = [*loose_family(1, 150, 12), *loose_family(2, 60, 9, 40, 10), *EDGE]
+    got = neardup.cluster(docs(spark, texts)).toPandas().sort_values("doc_id")
+    assert list(zip(got.n_shingles, got.component_id, strict=True)) == brute_components(texts)
+
+
+def test_components_of_chains_and_hubs(spark):
+    rng = np.random.default_rng(8)
+    edges = [(k, k + 1) for k in range(300)] + [(1000 + k, 1000) for k in range(1, 200)] + [(2000 + int(a), 2000 + int(b)) for a, b in rng.integers(0, 150, (120, 2))]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["rep"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long"), neardup.Scratch(spark, "t"), "c").collect()}
+    assert {k: got.get(k, k) for k in root} == {k: find(k) for k in root}
+
+
+def test_bands_find_pairs_at_the_threshold():
+    rng = np.random.default_rng(14)
+    for n, common in ((7, 6), (13, 12), (40, 37), (160, 147), (400, 368)):  # shares of 0.75 and more of the union
+        both = [np.sort(np.concatenate([c, rng.integers(0, 2**63, n - common).astype(np.uint64) * np.uint64(2)])) for c in (rng.integers(0, 2**63, common).astype(np.uint64) * np.uint64(2) for _ in range(300)) for _ in range(2)]
+        packed = neardup.dense(neardup.registers(np.concatenate(both), np.arange(601) * n)).view(np.uint64).reshape(600, -1)
+        assert ((packed[::2] == packed[1::2]).sum(1) > 0).all()
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(9)
     for share in (0.5, 0.85, 0.95):

@@ -1,17 +1,21 @@
 """Near-duplicates by HyperMinHash.
 
-A document's distinct word shingles (of 3 words, unless told otherwise) are spread over registers by their top bits; a register keeps the smallest value
-as a leading-zero count and a few mantissa bits.  Bands of registers give candidates, the collision-corrected estimate
-drops those far below the threshold, and every link is confirmed on the full shingle sets.
+A document's distinct word shingles (of 3 words, unless told otherwise) are spread over registers by their top bits; a
+register keeps the smallest value as a leading-zero count and a few mantissa bits.  Bands of registers give candidates,
+the collision-corrected estimate drops those far below the threshold, and every link is confirmed on the full shingle
+sets (as 64-bit hashes: among n shingles in all, the odds that any two are taken for one are n * n / 4e19).
 
 Scale: equal sets are one class before anything is paired, so copies are never expanded.  A band's bucket is not paired
 all against all: each member meets the bucket's smallest member, found by a combined aggregate, and only buckets that
-still hold several components are looked at again, across components.  Components are found by alternating star
-contraction over tables in the shared folder; nothing is collected.
+still hold several components are looked at again, across components.  There, shingles of few documents pair those
+documents directly, which is linear in the shingles; documents that share no such shingle can link only if their common
+shingles alone suffice, and few outside a bucket's main component have that many.  Components are found by alternating
+star contraction over tables in the shared folder until every tree is a star; nothing is collected.
 
 Defined cases: without words a document has no shingles, links with nothing and is kept; with fewer words than a shingle
-the whole sequence is its one shingle; rows that share a doc_id are one document of the graph; a null doc_id links with
-nothing, has a null component and is kept; an empty table gives an empty result; other columns are kept out.
+the whole sequence is its one shingle; rows that share a doc_id are one document of the graph, whatever their texts; a
+null doc_id links with nothing, has a null component and is kept; an empty table gives an empty result; other columns
+are kept out.
 """
 
 from __future__ import annotations
@@ -32,8 +36,12 @@ BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
 MANTISSA = 10
 ROWS = 4
-#: An estimate this many standard errors below the threshold rules a pair out.
+#: An estimate this many standard errors below the threshold rules a pair out: one link in a billion.
 SIGMAS = 6.0
+#: Shingles of so many documents at most pair these documents directly.
+RARE = 8
+#: Parts that the members of one leader are dealt over; shingles that are written out at a time.
+SALTS, ROWS_OUT = 256, 200_000
 EMPTY = 0xFFFF
 #: Edges of one task in the contraction of components.
 EDGES_A_PART = 200_000
@@ -124,6 +132,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
+def _keys(sets: np.ndarray, ptr: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit sums over each set."""
+    out = []
+    for seed in (11, 12):
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(W.mix(sets, seed), dtype=U)])
+        out.append(pa.array((sums[ptr[1:]] - sums[ptr[:-1]]).view(np.int64)))
+    return out
+
+
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set key (two 64-bit sums over the set) and sketch of every document."""
 
@@ -131,14 +148,10 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch in batches:
             for lo, hi, data, off in W.chunks(batch.column(1)):
                 sets, ptr = shingle_sets(data, off, shingle)
-                keys = []
-                for seed in (11, 12):
-                    sums = np.concatenate([np.zeros(1, U), np.cumsum(W.mix(sets, seed), dtype=U)])
-                    keys.append(pa.array((sums[ptr[1:]] - sums[ptr[:-1]]).view(np.int64)))
                 blob = registers(sets, ptr).tobytes()
                 size = 2 * REGISTERS
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ptr).astype(np.int64)), *keys, pa.array([blob[k * size : (k + 1) * size] for k in range(hi - lo)], pa.binary())],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ptr).astype(np.int64)), *_keys(sets, ptr), pa.array([blob[k * size : (k + 1) * size] for k in range(hi - lo)], pa.binary())],
                     names=["doc_id", "n_shingles", "k1", "k2", "sketch"],
                 )
 
@@ -146,15 +159,15 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the sorted shingle hashes as bytes."""
+    """doc_id, set key and the sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in W.chunks(batch.column(1)):
                 sets, ptr = shingle_sets(data, off, shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([sets[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *_keys(sets, ptr), pa.array([sets[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], names=["doc_id", "k1", "k2", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, shingles binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -174,17 +187,19 @@ def bands(reps: DataFrame) -> DataFrame:
 
 
 def exploded(sets: DataFrame) -> DataFrame:
-    """rep, component, shingle: one row for each shingle of each set."""
+    """rep, component, n, shingle: one row for each shingle of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2).slice(lo, 256)]
-                n = [len(x) for x in some]
-                rep, component = (np.repeat(batch.column(k).slice(lo, 256).to_numpy(zero_copy_only=False), n) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(component), pa.array(np.concatenate(some))], names=["rep", "component", "shingle"])
+            rep, component = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for k, x in enumerate(batch.column(2)):
+                shingles = np.frombuffer(x.as_buffer(), np.int64)
+                for lo in range(0, len(shingles), ROWS_OUT):
+                    some = shingles[lo : lo + ROWS_OUT]
+                    held = [np.full(len(some), v, np.int64) for v in (rep[k], component[k], len(shingles))]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, held), pa.array(some)], names=["rep", "component", "n", "shingle"])
 
-    return sets.select("rep", "component", "shingles").mapInArrow(run, "rep long, component long, shingle long")
+    return sets.select("rep", "component", "shingles").mapInArrow(run, "rep long, component long, n long, shingle long")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, least: int = LEAST) -> DataFrame:
@@ -205,24 +220,40 @@ def likely(pairs: DataFrame, reps: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough.
+
+    The members a of a leader b are dealt over parts; a part streams the leader's set, then each member's, so a set
+    travels once for each part of its leader and no group is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, np.zeros(0, U)
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(both > 0 and OF * both >= least * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
-    """(rep, component): the smallest id reachable, for every id in an edge; alternating star contraction."""
-    state = None
+            for b, a, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                held = np.frombuffer(x.as_buffer(), U)
+                if a is None:
+                    leader, own = b, held.copy()
+                    good.append(False)
+                    continue
+                assert leader == b
+                at = np.minimum(np.searchsorted(own, held), len(own) - 1)
+                both = int((own[at] == held).sum())
+                good.append(both > 0 and OF * both >= least * (len(own) + len(held) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
+    side = lambda x: sets.select(F.col("rep").alias(x), "shingles")
+    members = dealt.join(side("a"), "a").select("b", "salt", "a", "shingles")
+    leaders = dealt.select("b", "salt").distinct().join(side("b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "shingles")
+    return leaders.union(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first()).mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 200) -> DataFrame:
+    """(rep, component): the smallest id reachable, for every id in an edge; alternating star contraction.
+
+    Rounds grow with the logarithm of the ids; it ends when every tree is a star.
+    """
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     parts = 1 + now.count() // EDGES_A_PART
     for k in range(1, rounds):
@@ -234,39 +265,45 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
         joined = large.join(low2, "u")
         after = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).distinct()
         after = scratch.save(after.where("u <> v"), f"{name}-{k}", parts)
-        seen = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1000003), F.lit(0))).first()
+        ends = after.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(after.select("v", F.lit(0))).groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
+        done = ends.where("up > 1 OR (up = 1 AND low = 0)").isEmpty()
         scratch.drop(f"{name}-{k}-large", f"{name}-{k}-mid", f"{name}-{k}-small", f"{name}-{k - 1}")
         now = after
-        if seen == state or not seen[0]:
-            break
-        state = seen
-    return now.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+        if done:
+            return now.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+    raise RuntimeError(f"components were not complete after {rounds} rounds")
 
 
 def across(held: DataFrame, found: DataFrame, near: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     """Likely pairs (a, b) of different components that share a bucket and that no leader stood for.
 
-    A document can only reach another component through shingles that occur in several.  Their number bounds its
-    overlap with any partner there; most members of a loose group fall to that bound, one by one.  What is left is
-    paired by bucket, those outside the first one's component against all, under the same bound for the pair.
+    A document can only reach another component through shingles that occur in several.  Those of few documents are
+    paired; a pair's overlap is at most what it shares of these and the smaller number of its ends' other, common ones.
+    Pairs that share none are looked for by bucket, among documents whose common shingles alone can suffice.
     """
     named = held.join(found, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"), "first")
     named = scratch.save(named, "named")
     mixed = scratch.save(named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band"), "mixed")
     named = scratch.save(named.join(mixed, "band", "left_semi"), "open")
     who = scratch.save(named.select("rep", "component").distinct(), "who")
-    rows = scratch.save(exploded(who.join(sets.withColumnRenamed("doc_id", "rep"), "rep")), "rows")
-    several = scratch.save(rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle"), "several")
-    common = rows.join(several, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("m"))
-    alive = common.join(reps.select("rep", F.col("n_shingles").alias("n")), "rep").where(f"{OF} * m >= {least} * n")
-    alive = scratch.save(alive.join(who, "rep"), "alive")
+    rows = scratch.save(exploded(who.join(sets, "rep")), "rows")
+    several = scratch.save(rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("shingle", (F.col("df") <= RARE).alias("rare")), "several")
+    shared = scratch.save(rows.join(several, "shingle"), "shared")
     scratch.drop("rows", "several")
-    side = lambda x: alive.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("component").alias(f"c{x}"))
+    counts = shared.groupBy("rep", "component", "n").agg(F.count("*").alias("m"), F.count_if(~F.col("rare")).alias("c"))
+    alive = scratch.save(counts.where(f"{OF} * m >= {least} * n"), "alive")
+    fits = f"{OF} * least(na, nb) >= {least} * greatest(na, nb)"
+    reach = lambda most: f"{fits} AND {OF + least} * ({most}) >= {least} * (na + nb)"
+    rare = scratch.save(shared.where("rare").select("shingle", "rep").join(alive, "rep"), "rare")
+    scratch.drop("shared")
+    side = lambda df, x, *more: df.select(*more, F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"k{x}"), F.col("component").alias(f"c{x}"))
+    direct = side(rare, "a", "shingle").join(side(rare, "b", "shingle"), "shingle").where(f"a > b AND ca <> cb AND {fits}")
+    direct = direct.groupBy("a", "b", "na", "nb", "ka", "kb").agg(F.count("*").alias("both")).where(reach("least(ka, kb) + both")).select("a", "b")
+    full = scratch.save(named.join(alive.where(f"{OF} * c >= {least} * n").select("rep", "n", "c"), "rep"), "full")
     heads = found.select(F.col("rep").alias("first"), F.col("component").alias("cf"))
-    minor = named.join(heads, "first", "left").where("component <> coalesce(cf, first)").select("band", F.col("rep").alias("a")).join(side("a"), "a")
-    every = named.select("band", F.col("rep").alias("b")).join(side("b"), "b")
-    reach = f"ca <> cb and {OF + least} * least(ma, mb) >= {least} * (na + nb) and {OF} * least(na, nb) >= {least} * greatest(na, nb)"
-    pairs = minor.join(every, "band").where(reach).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    minor = side(full.join(heads, "first", "left").where("component <> coalesce(cf, first)"), "a", "band")
+    loose = minor.join(side(full, "b", "band"), "band").where(f"ca <> cb AND {reach('least(ka, kb)')}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = direct.union(loose).distinct()
     return likely(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), reps, least)
 
 
@@ -280,27 +317,31 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Data
     scratch = Scratch(spark, "neardup")
     every = scratch.save(sketches(docs, shingle), "sketches")
     some = every.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    members = scratch.save(some.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "rep").distinct(), "members")
-    # an id with several texts belongs to several classes, which it joins
-    twice = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.countDistinct("rep").alias("n")).where("n > 1")
-    own = members.join(twice.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = scratch.save(some.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").dropDuplicates(["rep", "n_shingles"]), "reps")
+    # a class for each distinct set, numbered; the same set in other documents adds members, nothing else
+    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = scratch.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    members = scratch.save(some.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep").distinct(), "members")
+    # an id with several texts joins their classes
+    twice = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").select("doc_id", "b")
+    own = members.withColumnRenamed("rep", "a").join(twice, "doc_id").where("a <> b").select("a", "b")
+    reps = classes.select("rep", "n_shingles", "sketch")
 
     firsts = scratch.save(bands(reps).groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first"), "firsts")
     held = scratch.save(bands(reps).join(firsts, "band"), "held")
     scratch.drop("firsts")
     near = scratch.save(likely(held.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), reps, least), "near")
-    ids = scratch.save(held.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    ids = scratch.save(held.select("rep").distinct().join(classes.select("rep", "doc_id", "k1", "k2"), "rep"), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.save(full_sets(texts.join(small(ids, ids.count(), 16), "doc_id", "left_semi"), shingle), "sets")
+    wanted = ids.select("doc_id").distinct()
+    sets = full_sets(texts.join(small(wanted, ids.count(), 64), "doc_id", "left_semi"), shingle).join(ids, ["doc_id", "k1", "k2"])
+    sets = scratch.save(sets.select("rep", "shingles").dropDuplicates(["rep"]), "sets")
 
     def between(pairs: DataFrame, found: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components so far."""
         side = lambda x: found.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}"))
         return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
-    # each document's likeliest partner first; the others only where that leaves two components
+    # each class's likeliest partner first; the others only where that leaves two components
     best = near.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
     links = scratch.save(confirmed(best, sets, least).union(own), "links-0")
     found = components(links, scratch, "found-0")
@@ -312,7 +353,9 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Data
     if not new.isEmpty():
         found = components(links.union(new), scratch, "found-2")
 
-    labels = scratch.save(members.join(found, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")), "labels")
-    scratch.drop("sets", "reps")
+    rooted = scratch.save(members.join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("root")).distinct(), "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    labels = scratch.save(rooted.join(smallest, "root").select("doc_id", "component_id"), "labels")
+    scratch.drop("sets", "classes", "held", "named", "open", "near", "members", "rooted")
     out = every.select("doc_id", "n_shingles").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
