@@ -40,6 +40,10 @@ ROWS = 4
 SIGMAS = 6.0
 #: Shingles of so many documents at most pair these documents directly.
 RARE = 8
+#: Parts of the hash range in which common shingles are counted: 2 to this power.
+PART_BITS = 4
+#: Champions of a bucket in each round, and rounds; they only save work, what they leave is paired exactly.
+CHAMPIONS, CHAMPION_ROUNDS = 4, 3
 #: Parts that the members of one leader are dealt over; shingles that are written out at a time.
 SALTS, ROWS_OUT = 256, 200_000
 EMPTY = 0xFFFF
@@ -274,37 +278,71 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 200)
     raise RuntimeError(f"components were not complete after {rounds} rounds")
 
 
+def merged(found: DataFrame, new: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Components after new links: the stars found so far and the links are contracted together."""
+    return components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(new.select("a", "b")), scratch, name)
+
+
+def _reach(most: str, least: int) -> str:
+    """Whether sets of na and nb shingles with an overlap of ``most`` can be similar enough."""
+    return f"{OF} * least(na, nb) >= {least} * greatest(na, nb) AND {OF + least} * ({most}) >= {least} * (na + nb)"
+
+
 def across(held: DataFrame, found: DataFrame, near: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
-    """Likely pairs (a, b) of different components that share a bucket and that no leader stood for.
+    """Components after the links between those components that share a bucket and that no leader stood for.
 
     A document can only reach another component through shingles that occur in several.  Those of few documents are
-    paired; a pair's overlap is at most what it shares of these and the smaller number of its ends' other, common ones.
-    Pairs that share none are looked for by bucket, among documents whose common shingles alone can suffice.
+    paired; a pair's overlap is at most what it shares of these and the smaller number of its ends' other, common ones,
+    summed over parts of the hash range.  Pairs that share none are looked for by bucket, among documents whose common shingles alone can suffice: first with
+    the bucket's champions, which hold most common shingles and so take in nearly all that belong to a component; then
+    what is left outside a bucket's main component with all of the bucket.
     """
-    named = held.join(found, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"), "first")
+    named = held.join(found, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
     named = scratch.save(named, "named")
     mixed = scratch.save(named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band"), "mixed")
     named = scratch.save(named.join(mixed, "band", "left_semi"), "open")
     who = scratch.save(named.select("rep", "component").distinct(), "who")
     rows = scratch.save(exploded(who.join(sets, "rep")), "rows")
     several = scratch.save(rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("shingle", (F.col("df") <= RARE).alias("rare")), "several")
-    shared = scratch.save(rows.join(several, "shingle"), "shared")
-    scratch.drop("rows", "several")
-    counts = shared.groupBy("rep", "component", "n").agg(F.count("*").alias("m"), F.count_if(~F.col("rare")).alias("c"))
+    shared = scratch.save(rows.join(several, "shingle").select("shingle", "rep", "n", "rare"), "shared")
+    scratch.drop("rows", "several", "mixed", "named", "who")
+    part = F.shiftrightunsigned("shingle", 64 - PART_BITS)
+    parts = F.array(*[F.count_if(~F.col("rare") & (part == p)).cast("int") for p in range(1 << PART_BITS)])
+    counts = shared.groupBy("rep", "n").agg(F.count("*").alias("m"), F.count_if(~F.col("rare")).alias("c"), parts.alias("p"))
     alive = scratch.save(counts.where(f"{OF} * m >= {least} * n"), "alive")
-    fits = f"{OF} * least(na, nb) >= {least} * greatest(na, nb)"
-    reach = lambda most: f"{fits} AND {OF + least} * ({most}) >= {least} * (na + nb)"
     rare = scratch.save(shared.where("rare").select("shingle", "rep").join(alive, "rep"), "rare")
-    scratch.drop("shared")
-    side = lambda df, x, *more: df.select(*more, F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"k{x}"), F.col("component").alias(f"c{x}"))
-    direct = side(rare, "a", "shingle").join(side(rare, "b", "shingle"), "shingle").where(f"a > b AND ca <> cb AND {fits}")
-    direct = direct.groupBy("a", "b", "na", "nb", "ka", "kb").agg(F.count("*").alias("both")).where(reach("least(ka, kb) + both")).select("a", "b")
-    full = scratch.save(named.join(alive.where(f"{OF} * c >= {least} * n").select("rep", "n", "c"), "rep"), "full")
-    heads = found.select(F.col("rep").alias("first"), F.col("component").alias("cf"))
-    minor = side(full.join(heads, "first", "left").where("component <> coalesce(cf, first)"), "a", "band")
-    loose = minor.join(side(full, "b", "band"), "band").where(f"ca <> cb AND {reach('least(ka, kb)')}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = direct.union(loose).distinct()
-    return likely(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), reps, least)
+    full = scratch.save(named.select("band", "rep").join(alive.where(f"{OF} * c >= {least} * n").select("rep", "n", "c", "p"), "rep"), "full")
+    scratch.drop("shared", "open")
+
+    side = lambda df, x, *more: df.select(*more, F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"k{x}"), F.col("p").alias(f"p{x}"), F.col("component").alias(f"c{x}"))
+    placed = lambda df, now: df.join(now, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    ordered = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    most = " + ".join(f"least(pa[{k}], pb[{k}])" for k in range(1 << PART_BITS))
+    common = f"ca <> cb AND {_reach('least(ka, kb)', least)} AND {_reach(most, least)}"
+    tested = near.select("a", "b")
+
+    for k in range(CHAMPION_ROUNDS):
+        now = scratch.save(placed(full, found), f"full-{k}")
+        slot = F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(CHAMPIONS)).alias("slot")
+        best = now.groupBy("band", slot).agg(F.max_by(F.struct("rep", "n", "c", "p", "component"), F.struct("c", "n", "rep")).alias("x")).select("band", "x.*")
+        pairs = scratch.save(ordered(side(now, "a", "band").join(side(best, "b", "band"), "band").where(common)).join(tested, ["a", "b"], "left_anti"), f"champion-pairs-{k}")
+        if pairs.isEmpty():
+            break
+        new = scratch.save(confirmed(likely(pairs, reps, least), sets, least), f"champion-links-{k}")
+        tested = tested.union(pairs)
+        if not new.isEmpty():
+            found = merged(found, new, scratch, f"found-champions-{k}")
+
+    near_by = placed(rare, found)
+    direct = side(near_by, "a", "shingle").join(side(near_by, "b", "shingle"), "shingle").where(f"a > b AND ca <> cb AND {OF} * least(na, nb) >= {least} * greatest(na, nb)")
+    direct = direct.groupBy("a", "b", "na", "nb", F.expr(most).alias("most")).agg(F.count("*").alias("both")).where(_reach("most + both", least)).select("a", "b")
+    now = scratch.save(placed(full, found), "full-last")
+    main = now.groupBy("band").agg(F.mode("component").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "main")
+    now = scratch.save(now.join(main, "band"), "full-mixed")
+    loose = side(now.where("component <> main"), "a", "band").join(side(now, "b", "band"), "band").where(common)
+    pairs = ordered(direct.union(loose.select("a", "b"))).join(tested, ["a", "b"], "left_anti")
+    new = scratch.save(confirmed(likely(scratch.save(pairs, "last-pairs"), reps, least), sets, least), "last-links")
+    return found if new.isEmpty() else merged(found, new, scratch, "found-last")
 
 
 def cluster(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -343,19 +381,15 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Data
 
     # each class's likeliest partner first; the others only where that leaves two components
     best = near.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-    links = scratch.save(confirmed(best, sets, least).union(own), "links-0")
-    found = components(links, scratch, "found-0")
+    found = components(scratch.save(confirmed(best, sets, least).union(own), "links-0"), scratch, "found-0")
     new = scratch.save(confirmed(between(near, found), sets, least), "links-1")
     if not new.isEmpty():
-        links = links.union(new)
-        found = components(links, scratch, "found-1")
-    new = scratch.save(confirmed(across(held, found, near, reps, sets, scratch, least), sets, least), "links-2")
-    if not new.isEmpty():
-        found = components(links.union(new), scratch, "found-2")
+        found = merged(found, new, scratch, "found-1")
+    found = across(held, found, near, reps, sets, scratch, least)
 
     rooted = scratch.save(members.join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("root")).distinct(), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = scratch.save(rooted.join(smallest, "root").select("doc_id", "component_id"), "labels")
-    scratch.drop("sets", "classes", "held", "named", "open", "near", "members", "rooted")
+    scratch.drop("sets", "classes", "held", "near", "members", "rooted")
     out = every.select("doc_id", "n_shingles").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
