@@ -375,6 +375,26 @@ def test_nearest_neighbours(spark):
     assert ann.search(x.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_of_mixed_lengths_and_repeated_ids(spark):
+    rows = [(100, [1.0, 0.0]), (100, [5.0, 0.0]), (1, [2.0, 0.0]), (2, [9.0, 0.0]), (3, [1.0, 0.0, 0.0]), (200, [7.0]), (2, [0.5, 0.0])]
+    got = [tuple(r) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(100, 1, 2, 0.5), (100, 2, 1, 1.0)]
+
+
+def test_recall_of_a_full_shard_with_tight_clusters():
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 32))
+    v = np.concatenate([centres[k % 20] + 0.01 * rng.standard_normal(32) for k in range(4000)]).reshape(4000, 32)  # clusters of 200, beyond POOL
+    v = np.concatenate([v, rng.standard_normal((4192, 32))])
+    graph, hits = ann.Graph(np.arange(len(v)), v), 0
+    asked = rng.choice(len(v), 100, replace=False)
+    for q in asked:
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {k for _, k in graph.search(v[q], int(q))})
+    assert hits >= 0.95 * 10 * len(asked)
+
+
 # ---- personal data -----------------------------------------------------------------------------------------------
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -408,6 +428,28 @@ def test_personal_data(spark):
     assert pii.report(pii.detect(docs(spark, []))).count() == 0
 
 
+def test_context_decides_on_weak_kinds(spark):
+    key, number = "0641917ea4e9feb9cda83477b57ac2654884f485", "078-05-1120"
+    cases = {
+        f"commit {key}": "",
+        f"my access key is {key}": "key:17:57",
+        f"part {number} in stock": "",
+        f"SSN {number}": "id:4:15",
+        f"ssn {'x' * 60} {number}": "",
+        f'token = "{key}" end': "secret:0:49,key:9:49",
+        "key " + "a" * 40: "",
+    }
+    got = {r["doc_id"]: r for r in pii.report(pii.detect(docs(spark, list(cases)))).collect()}
+    assert [got[k]["spans"] for k in range(len(cases))] == list(cases.values())
+    assert got[1]["scores"] == "0.7" and got[5]["n_spans"] == 2
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    cases = {"ES9121000418450200051332 OK": "iban:0:24", "ES91 2100 0418 4502 0005 1332 OK THEN": "iban:0:29", "GB82WEST12345698765432": "iban:0:22", "GB82WEST123456987654321": "", "GB83WEST12345698765432": "", "NO9386011117947, BE68539007547034.": "iban:0:15,iban:17:33"}
+    got = {r["doc_id"]: r["spans"] for r in pii.report(pii.detect(docs(spark, list(cases)))).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
 def test_redaction_leaves_nothing(spark):
     text = "mail a.b@c.de or call +1 (988) 555-2485, card 4111 1111 1111 1111, host 1.2.3.4, iban GB82WEST12345698765432 password=abcdef12 end"
     got = pii.redact(docs(spark, [text, None, "clean 12.5"])).orderBy("doc_id").collect()

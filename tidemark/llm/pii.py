@@ -1,7 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 Base kinds (email, ip, card, phone) are reported whenever pattern and validator agree.  Further kinds (iban by mod 97,
-secret) are added only if their score, raised by context words in the characters before, reaches a threshold.
+secret, key, id) are added only if their score, raised by context words in the characters before, reaches a threshold:
+secrets that name themselves and account numbers with a right checksum do so alone, bare hexadecimal keys and identity
+numbers only with a word nearby that says what they are.
 
 Everything is DataFrame functions.  Positions come from cutting the text at the pattern: match k starts after the first
 k + 1 pieces and k matches.  The patterns have no nested backtracking (possessive groups, looks behind), so long runs of
@@ -24,8 +26,31 @@ EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?+(?![A-Z0-9])"
-SECRET = r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)[=:]\x20?[^\s,;]{6,}+"
+#: Characters of an account number by country (fixed values).
+IBAN_LENGTHS = {
+    15: ("NO",),
+    16: ("BE",),
+    18: ("DK", "FI", "FO", "GL", "NL"),
+    19: ("MK", "SI"),
+    20: ("AT", "BA", "EE", "KZ", "LT", "LU", "XK"),
+    21: ("CH", "HR", "LI", "LV"),
+    22: ("BG", "BH", "CR", "DE", "GB", "GE", "IE", "ME", "RS", "VA"),
+    23: ("AE", "GI", "IL", "IQ", "OM", "TL"),
+    24: ("AD", "CZ", "DZ", "ES", "MD", "PK", "RO", "SA", "SE", "SK", "TN", "VG"),
+    25: ("AO", "CV", "GW", "LY", "MZ", "PT", "ST"),
+    26: ("IS", "TR"),
+    27: ("BI", "BF", "BJ", "CF", "CG", "CM", "DJ", "EG", "FR", "GA", "GR", "IT", "KM", "MC", "MG", "MR", "SM"),
+    28: ("AL", "AZ", "BY", "CI", "CY", "DO", "GT", "HN", "HU", "LB", "LC", "ML", "NE", "NI", "PL", "SN", "SV", "TD", "TG"),
+    29: ("BR", "PS", "QA", "UA", "YE"),
+    30: ("JO", "KW", "MU"),
+    31: ("MT", "SC"),
+    32: ("RU",),
+}
+#: The country tells how long the number is, so that words behind it are no part of it.
+IBAN = "(?<![A-Z0-9])(?:" + "|".join(f"(?:{'|'.join(v)})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{k - 4}}}" for k, v in IBAN_LENGTHS.items()) + ")(?![A-Z0-9])"
+SECRET = r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)\x20?[=:]\x20?[\"']?[^\s,;\"']{6,}+"
+KEY = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])"
+ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.3
@@ -51,6 +76,8 @@ KINDS = (
     Kind("phone", PHONE, "+", 0.8, "(?i)phone|tel|call|fax|mobile", True),
     Kind("iban", IBAN, "", 0.7, "(?i)iban|account|bank|konto", False),
     Kind("secret", SECRET, "", 0.6, "(?i)key|secret|password|token", False),
+    Kind("key", KEY, "", 0.4, "(?i)key|secret|password|token|credential", False),
+    Kind("id", ID, "", 0.4, "(?i)ssn|social security|identity|passport|licen[cs]e no", False),
 )
 
 
@@ -86,13 +113,15 @@ def _valid(kind: Kind, m: Column) -> Column:
         return F.length(_digits(m)).between(8, 15)
     if kind.name == "iban":
         return _mod97(m)
+    if kind.name == "key":
+        return m.rlike("[0-9]") & m.rlike("[A-Fa-f]")
     return F.lit(True)
 
 
 def _hinted(kind: Kind, text: Column) -> Column:
     if kind.hint:
         return F.contains(text, F.lit(kind.hint))
-    return text.rlike({"card": "[0-9]{4}|[0-9][\\x20-][0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "AKIA|password|passwd|secret|token|api_?key"}[kind.name])
+    return text.rlike({"card": "[0-9]{4}|[0-9][\\x20-][0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "AKIA|password|passwd|secret|token|api_?key", "key": "[0-9a-f]{32}|[0-9A-F]{32}", "id": "[0-9]-[0-9]{2}-[0-9]"}[kind.name])
 
 
 def _starts(pieces: Column, matches: Column) -> Column:
@@ -149,7 +178,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def report(spans: DataFrame) -> DataFrame:
-    """Counts, the digest of the base spans and the list of all spans."""
+    """Counts, the digest of the base spans, the list of all spans, and their scores in the same order."""
     line = lambda name: F.transform(f"spans_{name}", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     base = [k.name for k in KINDS if k.base]
     return spans.select(
@@ -157,6 +186,8 @@ def report(spans: DataFrame) -> DataFrame:
         *[F.size(f"spans_{name}").cast("long").alias(f"n_{name}") for name in base],
         F.sha2(F.array_join(F.concat(*[line(name) for name in base]), ","), 256).alias("base_sha256"),
         F.array_join(F.concat(*[line(k.name) for k in KINDS]), ",").alias("spans"),
+        F.array_join(F.concat(*[F.transform(f"spans_{k.name}", lambda s: F.format_number(s["score"], 1)) for k in KINDS]), ",").alias("scores"),
+        sum((F.size(f"spans_{k.name}") for k in KINDS), F.lit(0)).cast("long").alias("n_spans"),
     )
 
 
