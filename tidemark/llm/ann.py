@@ -8,8 +8,9 @@ level, and the shards' nearest are merged by distance, then id.  Distances are E
 original vectors.
 
 Defined cases: null, empty, all-zero vectors and those with null or non-finite components take no part, nor do rows with
-a null id; vectors of another length than most of a shard's are left out; a query is never its own candidate, but other
-rows with equal vectors are; rows that repeat an id count once per shard; an empty table gives an empty result.
+a null id, nor vectors of another length than most of the table (the longest of equally frequent lengths); a query is
+never its own candidate, but other rows with equal vectors are; where an id repeats, the smallest of its vectors asks and
+the nearest of them is found; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ QUERY_EVERY = 100
 #: Vectors of a shard at most, about; and shards at least, so that small tables also use several tasks.
 SHARD_ROWS, LEAST_SHARDS = 8192, 8
 LINKS, POOL, BREADTH = 16, 64, 200
-QUERY_BLOCK_BITS = 10
+QUERY_BLOCK_BITS = 8
+#: Parts that a shard's blocks of queries are dealt over.
+PARTS = 16
 U = np.uint64
 
 
@@ -156,8 +159,6 @@ class Graph:
 
 
 def _build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    sizes = frame["embedding"].map(len)
-    frame = frame[sizes == sizes.mode()[0]]
     vectors = np.array(frame["embedding"].tolist(), np.float64)
     return pd.DataFrame({"shard": [key[0]], "graph": [pickle.dumps(Graph(frame["vec_id"].to_numpy(np.int64), vectors), protocol=5)]})
 
@@ -167,22 +168,35 @@ def search(embeddings: DataFrame, every: int = QUERY_EVERY, wanted: int = NEARES
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "ann")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & _usable("embedding"))
-    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    n = rows.count()
+    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "all")
+    sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
+    usual = sizes.agg(F.max_by("size", F.struct("n", "size")).alias("size"), F.max("n").alias("n")).first()  # one row
+    n = usual["n"] or 0
+    rows = rows.where(F.size("embedding") == (usual["size"] or 0))
     shards = max(min(LEAST_SHARDS, n), -(-n // SHARD_ROWS), 1)
     # a mixed row number: even shards whatever ids or vectors repeat
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     graphs = scratch.save(dealt.select("shard", "vec_id", "embedding").groupBy("shard").applyInPandas(_build, "shard int, graph binary"), "graphs")
 
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding").dropDuplicates(["vec_id"]) if n else rows.select("vec_id", "embedding")
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")) if n else rows.select("vec_id", "embedding")
     asked = scratch.save(asked.withColumn("block", F.shiftright(F.monotonically_increasing_id(), QUERY_BLOCK_BITS)), "asked")
-    blocks = asked.groupBy("block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("embedding").alias("vectors"))
-    meets = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs.hint("shuffle_merge"), "shard").select("ids", "vectors", "graph")
+    blocks = asked.groupBy("block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("embedding").alias("vectors"))  # at most 2 ** QUERY_BLOCK_BITS rows
+    # a shard's graph comes first, then the blocks that ask it: it is read once for each part of the blocks
+    part = F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int").alias("part")
+    asks = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), part, "block", "ids", "vectors", F.lit(None).cast("binary").alias("graph"))
+    there = asked.select(part).distinct()  # at most PARTS rows
+    lists = [F.lit(None).cast(kind).alias(name) for name, kind in (("block", "long"), ("ids", "array<bigint>"), ("vectors", "array<array<double>>"))]
+    meets = graphs.crossJoin(F.broadcast(there)).select("shard", "part", *lists, "graph").union(asks.select("shard", "part", "block", "ids", "vectors", "graph"))
+    meets = meets.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("block").asc_nulls_first()).select("ids", "vectors", "graph")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
         for batch in batches:
             for ids, vectors, blob in zip(*batch.columns, strict=True):
-                graph, out = pickle.loads(blob.as_buffer()), ([], [], [])
+                if blob.is_valid:
+                    graph = pickle.loads(blob.as_buffer())
+                    continue
+                out: tuple[list, list, list] = ([], [], [])
                 for own, vector in zip(ids.as_py(), vectors.as_py(), strict=True):
                     for d, k in graph.search(np.array(vector, np.float64), own, wanted):
                         for column, value in zip(out, (own, k, d), strict=True):
