@@ -609,28 +609,33 @@ def test_proximity(spark):
     words = prose(41, 26, 300)[0].split()
     items = spark.createDataFrame([(1, " ".join(words[:13]))], "item_id long, text string")
     near = " ".join(reversed(words[:13]))
-    got = decontam.match(docs(spark, [near, "nothing alike"]), items, proximity=True).orderBy("doc_id").collect()
+    got = decontam.match(docs(spark, [near, "nothing alike"]), items).orderBy("doc_id").collect()
     assert got[0]["items"] == [] and got[0]["near_items"] == ["1"] and got[1]["near_items"] == []
 
 
-def test_proximity_is_exact():
+def test_phrases_and_proximity_are_exact():
     rng = np.random.default_rng(42)
     for trial in range(40):
         items = [rng.integers(0, 12, n).astype(W.U) for n in (1, 3, 13, 16)]
         block = decontam.make_block(items, list("abcd"))
         frequency = rng.permutation(len(block.vocabulary))
         decontam.set_order(block, frequency)
-        rows = np.sort(rng.integers(0, 4, 200))
-        numbers = decontam.term_numbers(block.vocabulary, rng.choice(np.array([*range(3), *[99] * 3, *range(3, 12)], W.U), 200))
-        want = set()
-        for w, (s, n) in enumerate(zip(block.starts, block.lengths, strict=True)):
-            terms = sorted(set(block.terms[s : s + n].tolist()), key=lambda t: frequency[t])[:4]
+        sizes = rng.integers(0, 70, 6)
+        rows, ends = np.repeat(np.arange(6), sizes), np.cumsum(sizes)
+        n = len(rows)
+        numbers = decontam.term_numbers(block.vocabulary, np.concatenate([items[3], rng.choice(np.array([*range(3), *[99] * 3, *range(3, 12)], W.U), 600)])[:n])
+        index = decontam.Index.of(numbers, ends)
+        close_by, exact = set(), set()
+        for w, (s, size) in enumerate(zip(block.starts, block.lengths, strict=True)):
+            window = block.terms[s : s + size]
+            exact |= {(w, p) for p in range(n - size + 1) if (numbers[p : p + size] == window).all() and rows[p] == rows[p + size - 1]}
+            terms = sorted(set(window.tolist()), key=lambda t: frequency[t])[:4]
             for p in np.flatnonzero(numbers == terms[0]):
-                close = [q for q in range(200) if abs(q - p) <= 5 and rows[q] == rows[p]]
+                close = [q for q in range(n) if abs(q - p) <= 5 and rows[q] == rows[p]]
                 if all(any(numbers[q] == t for q in close) for t in terms):
-                    want.add((w, int(p)))
-        got = decontam.near(decontam.Index(numbers, len(block.vocabulary)), block, rows, span=5)
-        assert set(zip(*(x.tolist() for x in got), strict=True)) == want, trial
+                    close_by.add((w, int(p)))
+        assert set(zip(*(x.tolist() for x in decontam.near(index, block, span=5)), strict=True)) == close_by, trial
+        assert set(zip(*(x.tolist() for x in decontam.phrases(index, block)), strict=True)) == exact, trial
 
 
 def test_proximity_query(spark, tmp_path):
@@ -639,7 +644,7 @@ def test_proximity_query(spark, tmp_path):
     words = prose(41, 26, 300)[0].split()[:13]
     docs(spark, [" ".join(reversed(words)), "nothing alike", " ".join(words)]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, " ".join(words)), (2, "far away")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = QUERIES["op10_proximity"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    got = QUERIES["op10_decontamination"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [(r["n_items"], r["n_near_items"], r["near_items"], r["contaminated"]) for r in got] == [(0, 1, "1", False), (0, 0, "", False), (1, 1, "1", True)]
 
 

@@ -1,18 +1,19 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index is distributed by document: each part of the corpus holds postings (term, position) of its own documents for
-the terms of the test set, so postings never move and a part is rebuilt alone if its executor is lost.  A first pass
-counts the test terms over the whole corpus (combined before the shuffle).  Each window of an item then asks for its
-terms from the rarest on: the rarest term's postings, shifted to the window's start, are intersected with the shifted
-postings of the next terms.  Starts that survive all terms are exact phrases.  Proximity matches keep an item whose
-rarest terms stand close together in any order.
+The index is distributed by document: a first pass over the corpus writes postings (term, positions) of the terms of the
+test set into the shared folder, a row for each part of about half a megabyte of text, so postings never move and a lost
+part is written alone again.  What the postings count gives the terms' frequencies.  Each window of an item then asks for
+its terms from the rarest on: the rarest term's list, shifted to the window's start, is intersected with the shifted
+lists of the next terms.  Starts that survive all terms are exact phrases.  Proximity matches keep an item whose rarest
+terms stand close together in any order, by searches for ranges in the same lists.  The text is read once for a block.
 
 The test set is cut into blocks of items with a bounded number of words; each block's tables are broadcast in turn, so
-its size does not limit the method.
+its size does not limit the method.  Words are told apart by 64-bit hashes.
 
 Defined cases: null text has no words; an item without words is never matched; one of fewer than 13 words is a single
-window; items or documents that repeat are treated alike, and equal windows of several items count for each; an empty
-test set leaves every document clean; an empty corpus gives an empty result; other columns are kept out.
+window; items or documents that repeat are treated alike, and equal windows of several items count for each; a null
+doc_id is a document like others; an empty test set leaves every document clean; an empty corpus gives an empty result;
+other columns are kept out.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ class Block:
     pointers: np.ndarray
     starts: np.ndarray  # of distinct windows
     lengths: np.ndarray
-    owners: list[np.ndarray]  # the items that hold each distinct window
+    owners: np.ndarray  # the items that hold each distinct window, in a row
+    owned: np.ndarray  # where each window's owners begin
     order: np.ndarray | None = None  # offsets of a window's words, rarest term first
     rarest: np.ndarray | None = None  # a window's rarest distinct terms
 
@@ -69,7 +71,8 @@ def make_block(hashes: list[np.ndarray], names: list[str], window: int = WINDOW)
                 lengths.append(n)
                 owners.append([])
             owners[seen[key]].append(k)
-    return Block(vocabulary, terms.astype(np.int32), names, pointers, np.array(starts, np.int64), np.array(lengths, np.int64), [np.unique(o) for o in owners])
+    own = [np.unique(o) for o in owners]
+    return Block(vocabulary, terms.astype(np.int32), names, pointers, np.array(starts, np.int64), np.array(lengths, np.int64), np.concatenate([np.zeros(0, np.int64), *own]).astype(np.int64), np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int64))
 
 
 def set_order(block: Block, frequency: np.ndarray, window: int = WINDOW) -> None:
@@ -109,51 +112,77 @@ class Filter:
 
 
 class Index:
-    """Positional postings of one part: for each term the sorted positions of its occurrences."""
+    """Positional postings of one part: the terms there, and each one's sorted positions, one after the other."""
 
-    def __init__(self, numbers: np.ndarray, n_terms: int):
-        self.numbers = numbers
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, ends: np.ndarray):
+        self.terms, self.positions, self.ends = terms, positions.astype(np.int64), ends
+        self.pointers = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.span = int(ends[-1]) + 1 if len(ends) else 1
+        self.keys = np.repeat(terms.astype(np.int64), counts) * self.span + self.positions  # sorted
+
+    @staticmethod
+    def lists(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(terms, counts, positions) of a part from the term number of each of its words, -1 for none."""
         held = np.flatnonzero(numbers >= 0)
-        by_term = held[np.argsort(numbers[held], kind="stable")]
-        self.positions = by_term
-        self.pointers = np.searchsorted(numbers[by_term], np.arange(n_terms + 1))
+        some = numbers[held].astype(np.uint16) if len(held) and numbers.max() < 1 << 16 else numbers[held]  # sorted by radix
+        by_term = held[np.argsort(some, kind="stable")]
+        terms, counts = np.unique(numbers[by_term], return_counts=True)
+        return terms.astype(np.int32), counts.astype(np.int32), by_term.astype(np.int32)
+
+    @classmethod
+    def of(cls, numbers: np.ndarray, ends: np.ndarray) -> Index:
+        return cls(*cls.lists(numbers), ends)
+
+    def rows(self, positions: np.ndarray) -> np.ndarray:
+        """The document in which each position lies."""
+        return np.searchsorted(self.ends, positions, "right")
 
     def postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of ``terms``, position) of every posting of each."""
-        sizes = self.pointers[terms + 1] - self.pointers[terms]
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        sizes = np.where(self.terms[at] == terms, self.pointers[at + 1] - self.pointers[at], 0)
         which = np.repeat(np.arange(len(terms)), sizes)
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return which, self.positions[self.pointers[terms][which] + inside]
+        return which, self.positions[self.pointers[at][which] + inside]
 
     def holds(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
-        """Whether each position is in the term's postings: the forward list answers what a search would."""
-        good = (positions >= 0) & (positions < len(self.numbers))
-        good[good] = self.numbers[positions[good]] == terms[good]
-        return good
+        """Whether each position is in its term's list."""
+        if not len(self.keys):
+            return np.zeros(len(terms), bool)
+        asked = terms.astype(np.int64) * self.span + positions
+        return self.keys[np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)] == asked
 
+    def between(self, terms: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether each term's list has a position of at least ``lo`` and less than ``hi``."""
+        at = terms.astype(np.int64) * self.span
+        return np.searchsorted(self.keys, at + lo) < np.searchsorted(self.keys, at + hi)
 
-def phrases(index: Index, block: Block, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of each exact occurrence inside one document; ``rows`` is the document of each position."""
+
+def phrases(index: Index, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(window, start) of each exact occurrence inside one document."""
     if not len(block.starts) or not len(index.positions):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rarest = block.order[:, 0].astype(np.int64)
     window, position = index.postings(block.terms[block.starts + rarest])
     start = position - rarest[window]
-    ok = (start >= 0) & (start + block.lengths[window] <= len(rows))
+    last = start + block.lengths[window] - 1
+    ok = (start >= 0) & (last < index.ends[-1])
+    ok[ok] = index.rows(start[ok]) == index.rows(last[ok])
     window, start = window[ok], start[ok]
     for k in range(1, block.order.shape[1]):
+        if not len(window):
+            break
         offset = block.order[window, k].astype(np.int64)
         good = offset < 0
         full = ~good
         good[full] = index.holds(block.terms[block.starts[window[full]] + offset[full]], start[full] + offset[full])
         window, start = window[good], start[good]
-        if not len(window):
-            break
-    same = rows[start] == rows[start + block.lengths[window] - 1] if len(window) else np.zeros(0, bool)
-    return window[same], start[same]
+    return window, start
 
 
-def near(index: Index, block: Block, rows: np.ndarray, span: int = NEAR_SPAN) -> tuple[np.ndarray, np.ndarray]:
+def near(index: Index, block: Block, span: int = NEAR_SPAN) -> tuple[np.ndarray, np.ndarray]:
     """(window, position) where the window's rarest distinct terms all stand within ``span`` words of the rarest, in one document.
 
     Windows of fewer distinct terms ask for all of them.
@@ -161,18 +190,26 @@ def near(index: Index, block: Block, rows: np.ndarray, span: int = NEAR_SPAN) ->
     if not len(block.starts) or not len(index.positions):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     window, position = index.postings(block.rarest[:, 0])
-    # postings are in the order of (term, position), so two searches count those in reach
-    n = len(rows)
-    postings = index.numbers[index.positions].astype(np.int64) * n + index.positions
+    firsts = np.concatenate([[0], index.ends[:-1]])
     for k in range(1, NEAR_TERMS):
-        term, row = block.rarest[window, k].astype(np.int64), rows[position]
-        lo = np.maximum(position - span, np.searchsorted(rows, row, "left"))
-        hi = np.minimum(position + span, np.searchsorted(rows, row, "right") - 1)
-        good = (term < 0) | (np.searchsorted(postings, term * n + lo, "left") < np.searchsorted(postings, term * n + hi, "right"))
+        term, row = block.rarest[window, k], index.rows(position)
+        lo, hi = np.maximum(position - span, firsts[row]), np.minimum(position + span + 1, index.ends[row])
+        good = (term < 0) | index.between(np.maximum(term, 0), lo, hi)
         window, position = window[good], position[good]
     return window, position
 
 
+def owners(index: Index, block: Block, window: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, item) of occurrences; a window counts once a document before its items are written out."""
+    pairs = np.unique(index.rows(position) * max(len(block.starts), 1) + window)
+    row, window = pairs // max(len(block.starts), 1), pairs % max(len(block.starts), 1)
+    sizes = block.owned[window + 1] - block.owned[window]
+    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    item = block.owners[np.repeat(block.owned[window], sizes) + inside]
+    pairs = np.unique(np.repeat(row, sizes) * max(len(block.items), 1) + item)
+    return pairs // max(len(block.items), 1), pairs % max(len(block.items), 1)
+
+
 def read_items(benchmark: DataFrame) -> Iterator[tuple[list[str], list[np.ndarray]]]:
     """Blocks of items, streamed to the driver a partition at a time."""
     names, hashes, size = [], [], 0
@@ -188,22 +225,41 @@ def read_items(benchmark: DataFrame) -> Iterator[tuple[list[str], list[np.ndarra
     yield names, hashes
 
 
-def _counts(docs: DataFrame, block: Block) -> np.ndarray:
-    """Occurrences of each test term in the corpus; the result has a row for each term of the block at most."""
+POSTINGS = "doc_ids array<bigint>, rows array<bigint>, ends binary, terms binary, counts binary, positions binary"
+
+
+def write_postings(docs: DataFrame, block: Block, scratch: Scratch, name: str) -> DataFrame:
+    """The positional index of the block's terms, a row for each part of the corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(block.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        quick, total = Filter(vocabulary), np.zeros(len(vocabulary), np.int64)
+        quick = Filter(shared.value)
+        for batch in batches:
+            for lo, hi, data, off in W.chunks(batch.column(2)):
+                h, ptr = W.word_hashes(data, off, W.ALNUM)
+                packed = [np.asarray(x).tobytes() for x in (ptr[1:].astype(np.int64), *Index.lists(quick.numbers(h)))]
+                ids = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(k).slice(lo, hi - lo)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, *[pa.array([x], pa.binary()) for x in packed]], names=["doc_ids", "rows", "ends", "terms", "counts", "positions"])
+
+    return scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("row"), F.col("text").cast("string")).mapInArrow(run, POSTINGS), name)
+
+
+def _frequencies(postings: DataFrame, block: Block) -> np.ndarray:
+    """Occurrences of each test term in the corpus; the result has a row for each term of the block at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for _, _, data, off in W.chunks(batch.column(0)):
-                n = quick.numbers(W.word_hashes(data, off, W.ALNUM)[0])
-                total += np.bincount(n[n >= 0], minlength=len(total))
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                terms, counts = np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.int32)
+                if len(terms) and terms[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(int(terms[-1]) + 1 - len(total), np.int64)])
+                total[terms] += counts
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["term", "n"])
 
     out = np.zeros(len(block.vocabulary), np.int64)
-    for row in docs.select(F.col("text").cast("string")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for row in postings.select("terms", "counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[row["term"]] = row["n"]
     return out
 
@@ -211,34 +267,38 @@ def _counts(docs: DataFrame, block: Block) -> np.ndarray:
 ROWS = "doc_id long, row long, n_words long, hits binary, items array<string>, near_items array<string>"
 
 
-def _search(docs: DataFrame, block: Block, proximity: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def _search(postings: DataFrame, block: Block) -> DataFrame:
+    shared = postings.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        quick = Filter(block.vocabulary)
+        names = np.array(block.items, object)
         for batch in batches:
-            for lo, hi, data, off in W.chunks(batch.column(2)):
-                h, ptr = W.word_hashes(data, off, W.ALNUM)
-                rows = np.repeat(np.arange(hi - lo), np.diff(ptr))
-                index = Index(quick.numbers(h), len(block.vocabulary))
-                window, start = phrases(index, block, rows)
-                hit = np.zeros(len(h) + 1, np.int64)
+            for k in range(batch.num_rows):
+                ends, terms, counts, positions = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in ((2, np.int64), (3, np.int32), (4, np.int32), (5, np.int32)))
+                index = Index(terms, counts, positions, ends)
+                n = len(ends)
+                window, start = phrases(index, block)
+                size = int(ends[-1]) if n else 0
+                hit = np.zeros(size + 1, np.int64)
                 np.add.at(hit, start, 1)
                 np.add.at(hit, start + block.lengths[window], -1)
                 hit = np.cumsum(hit)[:-1] > 0
-                items: list[list[str]] = [[] for _ in range(hi - lo)]
-                close: list[list[str]] = [[] for _ in range(hi - lo)]
-                for out, (w, p) in ((items, (window, start)), (close, near(index, block, rows) if proximity else (window[:0], start[:0]))):
-                    for r, k in sorted({(int(rows[q]), int(o)) for v, q in zip(w.tolist(), p.tolist(), strict=True) for o in block.owners[v]}):
-                        out[r].append(block.items[k])
-                bits = [np.packbits(hit[a:b]).tobytes() if hit[a:b].any() else b"" for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+                lists = []
+                for w, p in ((window, start), near(index, block)):
+                    row, item = owners(index, block, w, p)
+                    cuts = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(names[item].tolist(), pa.string())))
+                firsts = np.concatenate([[0], ends[:-1]])
+                some = np.zeros(n, bool)
+                some[index.rows(start)] = True
+                bits = [np.packbits(hit[a:b]).tobytes() if yes else b"" for a, b, yes in zip(firsts.tolist(), ends.tolist(), some.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(ptr).astype(np.int64)), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(close, pa.list_(pa.string()))],
+                    [*[batch.column(c)[k].values for c in (0, 1)], pa.array((ends - firsts).astype(np.int64)), pa.array(bits, pa.binary()), *lists],
                     names=["doc_id", "row", "n_words", "hits", "items", "near_items"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("row"), F.col("text").cast("string")).mapInArrow(run, ROWS)
+    return postings.mapInArrow(run, ROWS)
 
 
 def _merge(parts: list[DataFrame]) -> DataFrame:
@@ -261,24 +321,37 @@ def _merge(parts: list[DataFrame]) -> DataFrame:
     return names.select("doc_id", "row", "n_words", "hits", "items", "near_items").mapInArrow(union_bits, ROWS)
 
 
-def match(docs: DataFrame, benchmark: DataFrame, proximity: bool = False) -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, hits (bits of hit words, packed), items, near_items: one row for each document."""
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    parts = []
-    for names, hashes in read_items(benchmark):
+    scratch, parts = Scratch(docs.sparkSession, "decontam"), []
+    for k, (names, hashes) in enumerate(read_items(benchmark)):
         block = make_block(hashes, names)
-        set_order(block, _counts(rows, block))
-        parts.append(_search(rows, block, proximity))
+        postings = write_postings(rows, block, scratch, f"postings-{k}")
+        set_order(block, _frequencies(postings, block))
+        parts.append(_search(postings, block))
     if len(parts) == 1:
         return parts[0]
-    scratch = Scratch(docs.sparkSession, "decontam")
-    return _merge([scratch.save(p, f"block-{k}") for k, p in enumerate(parts)])
+    saved = []
+    for k, part in enumerate(parts):
+        saved.append(scratch.save(part, f"block-{k}"))
+        scratch.drop(f"postings-{k}")
+    return _merge(saved)
 
 
-def verdicts(docs: DataFrame, benchmark: DataFrame, proximity: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``proximity`` also n_near_items and near_items."""
-    found = match(docs, benchmark, proximity)
+def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, near_items (comma-joined)."""
+    found = match(docs, benchmark)
     n_hit = F.coalesce(F.aggregate(F.split(F.hex("hits"), ""), F.lit(0).cast("long"), lambda s, c: s + F.when(c == "", 0).otherwise(F.bit_count(F.conv(c, 16, 10).cast("int")))), F.lit(0).cast("long"))
     items, close = (F.array_sort(F.array_distinct(name)) for name in ("items", "near_items"))
-    out = found.select("doc_id", "n_words", F.when(F.length("hits") == 0, F.lit(0).cast("long")).otherwise(n_hit).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), *([F.size(close).cast("long").alias("n_near_items"), F.array_join(close, ",").alias("near_items")] if proximity else []))
+    out = found.select(
+        "doc_id",
+        "n_words",
+        F.when(F.length("hits") == 0, F.lit(0).cast("long")).otherwise(n_hit).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.size(close).cast("long").alias("n_near_items"),
+        F.array_join(close, ",").alias("near_items"),
+        "row",
+    )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))

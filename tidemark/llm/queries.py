@@ -71,14 +71,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.decontam import verdicts
 
-    return verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of op10_decontamination with the proximity matches beside them."""
-    from tidemark.llm.decontam import verdicts
-
-    return verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), proximity=True)
+    return verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
 QUERIES = {
@@ -94,7 +87,6 @@ QUERIES = {
         op8_language_model,
         op9_quality,
         op10_decontamination,
-        op10_proximity,
     )
 }
 
@@ -150,9 +142,19 @@ dw AS (
   FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d CROSS JOIN sizes WHERE len(ws) >= n)
 ), m AS (SELECT doc_id, item_id, n, i FROM dw JOIN bw USING (n, g)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id),
+dp AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+fq AS (SELECT w, count(*) AS f FROM dp GROUP BY w),
+bt AS (SELECT n, g, unnest(string_split(g, ' ')) AS w, unnest(range(1, n + 1)) AS i FROM (SELECT DISTINCT n, g FROM bw)),
+rk AS (SELECT n, g, w, row_number() OVER (PARTITION BY n, g ORDER BY f, i) AS k FROM (SELECT n, g, w, min(i) AS i, any_value(coalesce(f, 0)) AS f FROM bt LEFT JOIN fq USING (w) GROUP BY n, g, w) QUALIFY k <= 4),
+ca AS (SELECT DISTINCT n, g, doc_id, p FROM rk JOIN dp USING (w) WHERE k = 1),
+nk AS (SELECT n, g, count(*) AS ks FROM rk GROUP BY n, g),
+ok AS (SELECT ca.n, ca.g, ca.doc_id FROM ca JOIN rk ON rk.n = ca.n AND rk.g = ca.g JOIN dp ON dp.doc_id = ca.doc_id AND dp.w = rk.w AND dp.p BETWEEN ca.p - 26 AND ca.p + 26
+  JOIN nk ON nk.n = ca.n AND nk.g = ca.g GROUP BY ca.n, ca.g, ca.doc_id, ca.p, ks HAVING count(DISTINCT k) = ks),
+ne AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM ok JOIN bw USING (n, g)) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near_items, coalesce(near, '') AS near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN ne USING (doc_id)
 """,
 }
