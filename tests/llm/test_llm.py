@@ -351,6 +351,42 @@ def test_language_id(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+def test_labels_match_a_plain_forward_pass(monkeypatch):
+    import pyarrow as pa
+
+    net = langid.fit({"en": [b"the thing with the ring and that thing"] * 3, "fr": ["été où ça dans les eaux".encode()] * 3, "xx": [b"zz qq zz"]}, 20)
+    texts = ["The thing", "", "été, où ça? 12", None, "q", "des eaux " * 40, "a" * 300, "été" * 200, "; !"]
+    lab = langid.Labeller(net)
+    for span, context, together in ((512, 32, 1024), (50, 7, 4)):
+        monkeypatch.setattr(langid, "SPAN", span)
+        monkeypatch.setattr(langid, "CONTEXT", context)
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        data, off = W.buffers(pa.array(texts))
+        got = lab.sums(data[off[0] : off[-1]], off - off[0])
+        for k, text in enumerate(texts):
+            raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+            want = np.zeros(len(net.languages) + 1)
+            for lo in range(0, len(raw), span):
+                first, last = max(lo - context, 0), min(lo + span + context, len(raw))
+                label = langid._labels(net.weights, langid.batch_of([raw[first:last]]))[:, 0]
+                for at in range(lo, min(lo + span, len(raw))):
+                    if raw[at] >= 0x80 or 97 <= raw[at] <= 122:
+                        want += [*label[at - first], 1]
+            assert got[k] == pytest.approx(want, rel=1e-3, abs=1e-2), (span, text)
+
+
+def test_language_id_of_odd_texts(spark):
+    stock = {"en": "the and thing with of that ing tion".split(), "fr": "été les eaux dans que pour ça où".split()}
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(stock["en" if k % 2 else "fr"], 30)) for k in range(80)]
+    odd = ["½ ² 12", "Ⅷ ①", "٣", "\U0001f600", None, " \n", "été où dans les eaux " * 3000, "THE THING AND THAT", "ª", "漢"]
+    x = docs(spark, [*texts, *odd, *odd], lambda k: ("en" if k % 2 else "fr") if k < 80 else None)
+    got = [(r["lang_pred"], r["score"]) for r in langid.identify(x.withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit(1))).orderBy("doc_id").collect()]
+    assert [g[0] for g in got[80:87]] == ["und"] * 6 + ["fr"] and got[87][0] == "en"
+    assert got[88][0] != "und" and got[89][0] != "und"
+    assert got[80:90] == got[90:]
+
+
 # ---- nearest neighbours ------------------------------------------------------------------------------------------
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(0)
@@ -669,3 +705,88 @@ def test_pipeline(spark, tmp_path):
     assert set(names[2][1]) == everyone - {1, 2, 3, 4}
     assert "[EMAIL]" in d.where("doc_id = 5").first()["text"]
     assert set(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == everyone - {1, 2, 3, 4}
+
+
+def test_pipeline_on_repeated_and_missing_ids_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    p = prose(51, 60)
+    item = " ".join(p[1].split()[:20])
+    rows = [(None, p[0]), (None, p[0]), (7, p[2]), (7, p[2]), (7, p[3]), (None, p[1]), (9, p[1] + " end"), (9, p[4]), (9, None), (10, "12 345"), (11, "")]
+    x = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), **{c: F.lit(k) for k, c in enumerate(("score", "lang_pred", "row", "_row", "kept", "contaminated", "_text", "n_words"))}})
+    x.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        d = stage(spark, d, str(tmp_path))
+        d.write.parquet(str(tmp_path / str(k)))
+        d = spark.read.parquet(str(tmp_path / str(k)))
+        assert d.columns == x.columns
+        seen.append(sorted(r["text"] for r in d.collect()))
+    assert seen[0] == sorted([p[0], p[0], p[2], p[2], p[3], p[1], p[1] + " end", p[4]])
+    assert len(seen[1]) == 5 and {p[0], p[2], p[3], p[4]} < set(seen[1]) and seen[1].count(p[0]) == 1
+    assert seen[2] == sorted([p[0], p[2], p[3], p[4]]) == seen[3]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 4
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# ---- defined cases of every operator -----------------------------------------------------------------------------
+CLASH = ("score", "row", "rep", "component", "band", "kept", "shard", "slot", "size", "length", "rank", "held_out", "spans", "hits", "items", "n_words", "gumbel_key", "_text", "key", "n")
+
+
+def test_operators_take_null_ids_and_clashing_columns(spark):
+    plain = spark.createDataFrame([(None, "one two three four"), (3, None), (3, "one two three four"), (4, "x" * 200_000 + " a@b.cd"), (5, "")], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    x = plain.withColumns({c: F.lit(k) for k, c in enumerate(CLASH)})
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    item = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    runs = {
+        "packing": lambda d: packing.pack(d),
+        "sharding": lambda d: sharding.shard_by_bytes(d),
+        "neardup": lambda d: neardup.cluster(d),
+        "langid": lambda d: langid.identify(d),
+        "pii": lambda d: pii.report(pii.detect(d)),
+        "lm": lambda d: lm.train_and_score(d),
+        "quality": lambda d: quality.select(d, labels),
+        "decontam": lambda d: decontam.verdicts(d, item).drop("row"),
+    }
+    for name, run in runs.items():
+        a, b = (sorted(map(str, (tuple(r) for r in run(d.coalesce(1)).collect()))) for d in (plain, x))
+        assert len(a) >= 5, name
+        if name != "lm":  # its scores are the same but for the order of sums
+            assert a == b, name
+    assert decontam.verdicts(plain, item).where("doc_id IS NULL").first()["n_hit"] == 2
+    assert sharding.shard_by_bytes(plain).where("doc_id IS NULL").first()["slot"] == 0
+
+
+# ---- quality against brute force ---------------------------------------------------------------------------------
+def test_quality_weights_and_cut_by_brute_force(spark):
+    texts = [*EDGE, *prose(32, 40, 30)]
+    x = docs(spark, texts).unionByName(docs(spark, texts[10:14]))  # repeated rows
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), int(k % 9 == 0)) for k in range(5, 40)], "doc_id long, quality int, toxic int")
+    got = quality.select(x, labels, 0.3).toPandas()
+    import pyarrow as pa
+
+    grams = []
+    for t in texts:
+        data, off = W.buffers(pa.array([t], pa.string()))
+        grams.append(quality.buckets(data[off[0] : off[-1]], off - off[0])[0])
+        words = (t or "").encode().lower().split()
+        assert len(grams[-1]) == max(2 * len(words) - 1, 0)
+    every = [grams[k] for k in range(len(texts))] + grams[10:14]
+    ids = [*range(len(texts)), 0, 1, 2, 3]
+    target = [g for k, g in zip(ids, every, strict=True) if 5 <= k < 40 and k % 3 == 0 and k % 9]
+    count = lambda gs: np.bincount(np.concatenate(gs), minlength=quality.BUCKETS)
+    t, r = count(target), count(every)
+    ratio = np.log((t + 1) / (t.sum() + quality.BUCKETS)) - np.log((r + 1) / (r.sum() + quality.BUCKETS))
+    want = sorted((k, len(g), round(float(ratio[g].sum()), 6)) for k, g in zip(ids, every, strict=True))
+    assert sorted((int(a), int(b), round(float(c), 6)) for a, b, c in zip(got.doc_id, got.n_grams, got.weight, strict=True)) == want
+    k = round(0.3 * len(got))
+    cut = sorted(got.gumbel_key, reverse=True)[k - 1]
+    assert (got.selected == (got.gumbel_key >= cut)).all()

@@ -1,10 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a white-space word's bytes (ASCII capitals folded, longer words in windows of SPAN bytes) forwards and
-backwards and labels every position; a document's probabilities pool the log-probabilities of all positions of all its
-words.  Its state starts anew at each word, so a word's labels are the same wherever it stands: each worker runs the
-network once for a new word and remembers the result, and whole texts of any length are covered at the cost of their
-distinct words.  Training is backpropagation through time in numpy, on the driver, over words of a bounded sample.
+The network reads a document's bytes (ASCII capitals folded) forwards and backwards and labels every position; a
+document's probabilities pool the log-probabilities of its positions in letters.  Texts of any length are read whole: long
+ones in stretches of SPAN bytes, each together with CONTEXT bytes on either side, over which the states settle and which
+are not labelled there.  Training is backpropagation through time in numpy, on the driver, over stretches of a bounded
+sample.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; ties go to the first language in sorted
 order; repeated rows get the same answer; without labelled rows nothing is learned and all rows are ``und``; an empty
@@ -14,7 +14,6 @@ table gives an empty result; other columns are kept out.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +22,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import words as W
+from tidemark.llm.store import small_batches
+
 UND = "und"
-#: Documents of each language that the network is fitted on, at most (about: rows are taken by hash).
-SAMPLE_PER_LANGUAGE = 400
-HIDDEN, SPAN, STEPS, BATCH, RATE = 16, 32, 600, 256, 0.01
-CACHE = 500_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Documents of each language that the network is fitted on, at most (about: rows are taken by hash), and stretches of
+#: a document and their characters.
+SAMPLE_PER_LANGUAGE, PIECES, PIECE = 400, 4, 120
+HIDDEN, STEPS, BATCH, RATE, TRAIN_SPAN = 8, 400, 128, 0.02, 40
+#: Bytes labelled in one stretch, and bytes read on either side of it; stretches run together.
+SPAN, CONTEXT, TOGETHER = 512, 32, 1024
+#: Bytes of text whose stretches are laid out at a time.
+CHUNK = 1 << 19
+LATIN = re.compile(r"[A-Za-z]")
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+#: Bytes that can be part of a letter.
+_SPOKEN = (np.arange(256) >= 0x80) | ((np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A))
 F32 = np.float32
 
 
@@ -119,31 +129,35 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[s
     return loss, g
 
 
-def batch_of(words: list[bytes]) -> np.ndarray:
-    out = np.full((len(words), max(map(len, words))), -1, np.int16)
-    for k, word in enumerate(words):
-        out[k, : len(word)] = np.frombuffer(word, np.uint8)
+def batch_of(pieces: list[bytes]) -> np.ndarray:
+    out = np.full((len(pieces), max(map(len, pieces))), -1, np.int16)
+    for k, piece in enumerate(pieces):
+        out[k, : len(piece)] = np.frombuffer(piece, np.uint8)
     return out
 
 
-def has_letters(word: bytes) -> bool:
-    return any(c >= 0x80 or 0x61 <= c <= 0x7A for c in word)
+def has_letter(text: str | None) -> bool:
+    return text is not None and (LATIN.search(text) is not None or any(map(str.isalpha, text)))
 
 
-def windows(word: bytes) -> list[bytes]:
-    return [word[k : k + SPAN] for k in range(0, len(word), SPAN)]
+def stretches(texts: list[bytes], rng: np.random.Generator, each: int) -> list[bytes]:
+    """Random stretches of texts, drawn by the texts' lengths."""
+    sizes = np.array([len(t) for t in texts], float)
+    out = []
+    for k in rng.choice(len(texts), each, p=sizes / sizes.sum()):
+        at = int(rng.integers(max(len(texts[k]) - TRAIN_SPAN // 2, 1)))
+        out.append(texts[k][at : at + TRAIN_SPAN])
+    return out
 
 
-def fit(words: dict[str, Counter[bytes]], steps: int = STEPS, seed: int = 7) -> Network:
-    """Adam over batches that draw languages alike and words by their counts."""
-    languages = sorted(words)
+def fit(texts: dict[str, list[bytes]], steps: int = STEPS, seed: int = 7) -> Network:
+    """Adam over batches that draw languages alike and stretches by length."""
+    languages = sorted(texts)
     net, rng = fresh(languages, seed=seed), np.random.default_rng(seed)
-    lists = [sorted(words[k]) for k in languages]
-    odds = [np.array([words[k][x] for x in xs], float) for k, xs in zip(languages, lists, strict=True)]
     first, second = ({k: np.zeros_like(v) for k, v in net.weights.items()} for _ in range(2))
     each = max(1, BATCH // len(languages))
     for step in range(1, steps + 1):
-        drawn = [lists[k][i] for k in range(len(languages)) for i in rng.choice(len(lists[k]), each, p=odds[k] / odds[k].sum())]
+        drawn = [x for k in languages for x in stretches(texts[k], rng, each)]
         _, g = gradients(net, batch_of(drawn), np.repeat(np.arange(len(languages)), each))
         rate = RATE * (1 - step / (steps + 1))
         for k, v in g.items():
@@ -166,82 +180,119 @@ def train(docs: DataFrame) -> Network | None:
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_PER_LANGUAGE / n))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
-    words: dict[str, Counter[bytes]] = {}
+    text = F.col("text").cast("string")
+    at = lambda k: 1 + F.pmod(F.xxhash64("doc_id", k), F.greatest(F.length(text) - PIECE, F.lit(1)))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(PIECES)), lambda k: F.substr(text, at(k).cast("int"), F.lit(PIECE)))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", cut.alias("pieces"))
+    texts: dict[str, list[bytes]] = {}
+    # so many rows at most, of PIECES * PIECE characters
     for row in drawn.limit(2 * SAMPLE_PER_LANGUAGE * len(sizes)).collect():
-        for word in row["text"].encode().lower().split():
-            for part in windows(word):
-                if has_letters(part):
-                    words.setdefault(row["lang"], Counter())[part] += 1
-    return fit(words) if words else None
+        for piece in dict.fromkeys(row["pieces"]):
+            if has_letter(piece):
+                texts.setdefault(row["lang"], []).append(_FOLD[np.frombuffer(piece.encode(), np.uint8)].tobytes())
+    return fit(texts) if texts else None
 
 
 class Labeller:
-    """Sums of position log-probabilities by word, kept while there is room."""
+    """The network over many stretches at a time, its gates laid out for that."""
 
     def __init__(self, net: Network):
-        self.net, self.known = net, {}
-        self.table = np.zeros((1024, len(net.languages) + 1), F32)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        base = len(self.known)
-        if base + len(new) > len(self.table):
-            grown = np.zeros((2 * (base + len(new)), self.table.shape[1]), F32)
-            grown[:base] = self.table[:base]
-            self.table = grown
-        self.table[base : base + len(new)] = 0
-        pieces = [(base + k, part) for k, w in enumerate(new) if has_letters(w) for part in windows(w)]
-        pieces.sort(key=lambda p: len(p[1]))
-        for lo in range(0, len(pieces), 4096):
-            some = pieces[lo : lo + 4096]
-            x = batch_of([p for _, p in some])
-            on = (x >= 0).T[:, :, None]
-            sums = np.concatenate([(_labels(self.net.weights, x) * on).sum(0), on.sum(0)], 1)
-            np.add.at(self.table, [k for k, _ in some], sums.astype(F32))
-        self.known.update(zip(new, range(base, base + len(new)), strict=True))
-
-    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        lo = 0
-        while lo < len(texts):
-            cut, size = [], 0
-            while lo < len(texts) and (size < 1 << 20 or not cut):
-                text = texts[lo] or ""
-                cut.append(text.encode().lower().split() if LETTER.search(text) else [])
-                size += len(text)
-                lo += 1
-            distinct: set[bytes] = set()
-            for x in cut:
-                distinct.update(x)
-            self.learn(distinct)
-            for x in cut:
-                sums = self.table[np.fromiter(map(self.known.__getitem__, x), np.int64, len(x))].sum(0, dtype=np.float64) if x else None
-                if sums is None or not sums[-1]:
+        w, self.hidden = net.weights, net.weights["hf"].shape[0]
+        self.languages, self.bias = net.languages, w["o"]
+        n = 2 * self.hidden
+        scale = np.ones(3 * self.hidden, F32)
+        scale[:n] = 0.5  # a sigmoid is half a tangent of half its argument
+        # reset, update and candidate of each byte; a row of zeros ends stretches
+        self.sides = [(np.ascontiguousarray(w[f"x{s}"] * scale), np.ascontiguousarray(w[f"h{s}"][:, :n] * F32(0.5)), np.ascontiguousarray(w[f"h{s}"][:, n:]), w[f"o{s}"]) for s in "fb"]
+
+    def _side(self, x: np.ndarray, live: np.ndarray, side: int) -> np.ndarray:
+        """(steps, stretches, languages) contributions of one direction; ``live`` stretches, the first, have a step."""
+        given, gates, candidate, out = self.sides[side]
+        n, hidden = x.shape[1], self.hidden
+        h, both = np.zeros((n, hidden), F32), np.empty((n, 2 * hidden), F32)
+        states = np.empty((len(x), n, hidden), F32)
+        told, new = np.empty((n, 3 * hidden), F32), np.empty((n, hidden), F32)
+        for t, m in enumerate(live.tolist()):
+            hm, bm, tm, nm = h[:m], both[:m], told[:m], new[:m]
+            np.take(given, x[t, :m], axis=0, out=tm, mode="clip")
+            np.matmul(hm, gates, out=bm)
+            bm += tm[:, : 2 * hidden]
+            np.tanh(bm, out=bm)
+            bm *= F32(0.5)
+            bm += F32(0.5)
+            np.multiply(bm[:, :hidden], hm, out=nm)
+            c = nm @ candidate
+            c += tm[:, 2 * hidden :]
+            np.tanh(c, out=c)
+            hm -= c
+            hm *= bm[:, hidden:]
+            hm += c
+            states[t, :m] = hm
+        return (states.reshape(-1, hidden) @ out).reshape(len(x), n, -1)
+
+    def sums(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """For each row the sums of its letters' log-probabilities, and their number."""
+        size = np.diff(off)
+        pieces = -(-size // SPAN)
+        row = np.repeat(np.arange(len(size)), pieces)
+        begin = off[row] + (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SPAN
+        end = np.minimum(begin + SPAN, off[row + 1])
+        lo, hi = np.maximum(begin - CONTEXT, off[row]), np.minimum(end + CONTEXT, off[row + 1])
+        total = np.zeros((len(size), len(self.languages) + 1))
+        order = np.argsort(lo - hi, kind="stable")
+        folded = _FOLD[data]
+        for k in range(0, len(order), TOGETHER):
+            some = order[k : k + TOGETHER]
+            length = (hi - lo)[some]
+            steps = np.arange(length[0])
+            inside = steps[:, None] < length
+            ahead = np.where(inside, lo[some] + steps[:, None], 0)
+            x = folded[ahead]
+            back = np.where(inside, length - 1 - steps[:, None], 0)
+            live = inside.sum(1)
+            logits = self._side(x, live, 0)
+            other = self._side(folded[np.where(inside, lo[some] + back, 0)], live, 1)
+            logits += np.take_along_axis(other, back[:, :, None], 0)
+            logits += self.bias
+            wanted = inside & (ahead >= begin[some]) & (ahead < end[some]) & _SPOKEN[x]
+            held = logits[wanted]
+            held -= held.max(1, keepdims=True)
+            held -= np.log(np.exp(held).sum(1, keepdims=True))
+            at = row[some][np.nonzero(wanted)[1]]
+            for c in range(held.shape[1]):
+                total[:, c] += np.bincount(at, held[:, c], len(size))
+            total[:, -1] += np.bincount(at, minlength=len(size))
+        return total
+
+    def predict(self, column: pa.Array) -> Iterator[tuple[str, float]]:
+        for lo, hi, data, off in W.chunks(column, CHUNK):
+            sums = self.sums(data, off)
+            for k, text in enumerate(column.slice(lo, hi - lo).to_pylist()):
+                if not has_letter(text):
                     yield UND, 0.0
                     continue
-                pooled = np.exp(_log_softmax(sums[:-1] / sums[-1]))
+                pooled = np.exp(_log_softmax(sums[k, :-1] / max(sums[k, -1], 1)))
                 best = int(pooled.argmax())
-                yield self.net.languages[best], float(pooled[best])
+                yield self.languages[best], float(pooled[best])
 
 
-def predict(docs: DataFrame, net: Network | None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (doc_id) with lang_pred and score."""
+def predict(docs: DataFrame, net: Network | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns (doc_id) and the answer's columns, ``names``, which must not be among them."""
     keep = keep or ["doc_id"]
     if net is None:
-        return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit(UND).alias(names[0]), F.lit(0.0).alias(names[1]))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     rows = docs.select(*keep, F.col("text").cast("string").alias("_read"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in batches:
-            found = list(labeller.predict(batch.column(batch.num_columns - 1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            found = list(labeller.predict(batch.column(batch.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names[:-1], *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
