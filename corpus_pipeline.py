@@ -2,11 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns
 of ``documents``.  Null text has no language and goes in the first stage; empty tables pass through; extra columns are
-kept until packing.
+kept until packing, whatever their names.  Decisions are made for rows, not ids: rows without an id, or with one that
+others bear, stay or go by their own text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,25 +21,37 @@ from tidemark.llm.store import Scratch, table
 SHINGLE, LEAST = 5, 80
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def _without(spark: SparkSession, docs: DataFrame, name: str, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` without the rows whose numbers ``gone`` gives, from a table (doc_id, text) with the rows' numbers as ids."""
+    scratch, key = Scratch(spark, name), _free(docs, "row")
+    numbered = scratch.save(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    rows = scratch.save(gone(numbered.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key)), "gone")
+    return numbered.join(rows, key, "left_anti").select(*docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language; those without letters go."""
-    names = docs.columns
-    out = langid.predict(docs, langid.train(docs), keep=names)
-    return out.where(F.col("lang_pred") != langid.UND).select(*names)
+    names, found = docs.columns, (_free(docs, "lang_pred"), _free(docs, "score"))
+    out = langid.predict(docs, langid.train(docs), keep=names, names=found)
+    return out.where(F.col(found[0]) != langid.UND).select(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; of rows that repeat an id, all or none stay."""
-    out = neardup.cluster(docs, SHINGLE, LEAST).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Scratch(spark, "pipeline").save(out, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Keeps one row of each group, the first in the table's order; rows without words are in no group."""
+    return _without(spark, docs, "pipeline-copies", lambda rows: neardup.cluster(rows, SHINGLE, LEAST).where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth of the words or more is in a benchmark window."""
-    out = decontam.verdicts(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Scratch(spark, "pipeline").save(out, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Drops rows of which a twentieth of the words or more is in a benchmark window."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _without(spark, docs, "pipeline-benchmark", lambda rows: decontam.verdicts(rows, benchmark).where("contaminated"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,4 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "corpus")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
