@@ -83,10 +83,9 @@ def test_packing_ids_do_not_depend_on_the_cache(monkeypatch):
 
     texts = [*EDGE, *prose(60, 50), None, *EDGE]
     want = [bytes(x) for x in packing.Ids(packing.vocabulary_path()).of(pa.array(texts))]
-    for name, value in (("CACHE_BYTES", 2000), ("CHUNK", 300)):
-        monkeypatch.setattr(packing, name, value)
+    monkeypatch.setattr(packing, "TOGETHER", 5)
     monkeypatch.setattr(W, "hashes", lambda data, starts, ends: starts.astype(np.uint64) % np.uint64(7))  # words that collide
-    assert [bytes(x) for x in packing.Ids(packing.vocabulary_path()).of(pa.array(texts))] == want
+    assert [bytes(x) for x in packing.Ids(packing.vocabulary_path(), 2000).of(pa.array(texts))] == want
 
 
 def test_best_fill_is_the_best_subset():

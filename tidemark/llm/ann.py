@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.store import Scratch
+from tidemark.llm.store import Scratch, lean
 
 NEAREST = 10
 QUERY_EVERY = 100
@@ -203,6 +203,6 @@ def search(embeddings: DataFrame, every: int = QUERY_EVERY, wanted: int = NEARES
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = meets.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = meets.mapInArrow(lean(run), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))  # `wanted` rows a shard
     return ranked.where(F.col("rank") <= wanted).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.store import Scratch
+from tidemark.llm.store import Scratch, lean
 
 WINDOW = 13
 #: A document is contaminated if at least one word in this many is hit.
@@ -241,7 +241,7 @@ def write_postings(docs: DataFrame, block: Block, scratch: Scratch, name: str) -
                 ids = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(k).slice(lo, hi - lo)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*ids, *[pa.array([x], pa.binary()) for x in packed]], names=["doc_ids", "rows", "ends", "terms", "counts", "positions"])
 
-    return scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("row"), F.col("text").cast("string")).mapInArrow(run, POSTINGS), name)
+    return scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("row"), F.col("text").cast("string")).mapInArrow(lean(run), POSTINGS), name)
 
 
 def _frequencies(postings: DataFrame, block: Block) -> np.ndarray:
@@ -259,7 +259,7 @@ def _frequencies(postings: DataFrame, block: Block) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["term", "n"])
 
     out = np.zeros(len(block.vocabulary), np.int64)
-    for row in postings.select("terms", "counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for row in postings.select("terms", "counts").mapInArrow(lean(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[row["term"]] = row["n"]
     return out
 
@@ -298,7 +298,7 @@ def _search(postings: DataFrame, block: Block) -> DataFrame:
                     names=["doc_id", "row", "n_words", "hits", "items", "near_items"],
                 )
 
-    return postings.mapInArrow(run, ROWS)
+    return postings.mapInArrow(lean(run), ROWS)
 
 
 def _merge(parts: list[DataFrame]) -> DataFrame:
@@ -318,7 +318,7 @@ def _merge(parts: list[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         every = every.union(part)
     names = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("near_items")).alias("near_items"))
-    return names.select("doc_id", "row", "n_words", "hits", "items", "near_items").mapInArrow(union_bits, ROWS)
+    return names.select("doc_id", "row", "n_words", "hits", "items", "near_items").mapInArrow(lean(union_bits), ROWS)
 
 
 def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.store import small_batches
+from tidemark.llm.store import lean, small_batches
 
 UND = "und"
 #: Documents of each language that the network is fitted on, at most (about: rows are taken by hash), and stretches of
@@ -31,9 +31,9 @@ UND = "und"
 SAMPLE_PER_LANGUAGE, PIECES, PIECE = 400, 4, 120
 HIDDEN, STEPS, BATCH, RATE, TRAIN_SPAN = 8, 400, 128, 0.02, 40
 #: Bytes labelled in one stretch, and bytes read on either side of it; stretches run together.
-SPAN, CONTEXT, TOGETHER = 512, 32, 1024
+SPAN, CONTEXT, TOGETHER = 512, 32, 512
 #: Bytes of text whose stretches are laid out at a time.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 LATIN = re.compile(r"[A-Za-z]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -292,7 +292,7 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str] | None = None,
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names[:-1], *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double")
+    return rows.mapInArrow(lean(run), f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

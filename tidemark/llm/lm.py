@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.store import Scratch
+from tidemark.llm.store import Scratch, lean
 
 U = np.uint64
 ORDER = 3
@@ -391,7 +391,7 @@ def _dealt(docs: DataFrame, keys_of) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "shard int, keys binary, counts binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "shard int, keys binary, counts binary")
 
 
 def _inside(ptr: np.ndarray, n: int, ahead: int) -> np.ndarray:
@@ -567,7 +567,7 @@ def score(docs: DataFrame, info: dict) -> DataFrame:
                 sums = [np.add.reduceat(x, ptr[:-1]) for x in ((count > 0).astype(np.int64), base, model)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ptr).astype(np.int64)), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def held_out() -> Column:

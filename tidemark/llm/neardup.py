@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.store import Scratch, small
+from tidemark.llm.store import Scratch, lean, small
 
 SHINGLE = 3
 LEAST, OF = 85, 100
@@ -159,7 +159,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     names=["doc_id", "n_shingles", "k1", "k2", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
 
 
 def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -171,7 +171,7 @@ def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 sets, ptr = shingle_sets(data, off, shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *_keys(sets, ptr), pa.array([sets[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], names=["doc_id", "k1", "k2", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, k1 long, k2 long, shingles binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def bands(reps: DataFrame) -> DataFrame:
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), packed.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["band", "rep"])
 
-    return reps.select("rep", "sketch").mapInArrow(run, "band long, rep long")
+    return reps.select("rep", "sketch").mapInArrow(lean(run), "band long, rep long")
 
 
 def exploded(sets: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def exploded(sets: DataFrame) -> DataFrame:
                     held = [np.full(len(some), v, np.int64) for v in (rep[k], component[k], len(shingles))]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, held), pa.array(some)], names=["rep", "component", "n", "shingle"])
 
-    return sets.select("rep", "component", "shingles").mapInArrow(run, "rep long, component long, n long, shingle long")
+    return sets.select("rep", "component", "shingles").mapInArrow(lean(run), "rep long, component long, n long, shingle long")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, least: int = LEAST) -> DataFrame:
@@ -220,7 +220,7 @@ def likely(pairs: DataFrame, reps: DataFrame, least: int = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(guess[good])], names=["a", "b", "estimate"])
 
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, estimate double")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(run), "a long, b long, estimate double")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
@@ -250,7 +250,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFram
     side = lambda x: sets.select(F.col("rep").alias(x), "shingles")
     members = dealt.join(side("a"), "a").select("b", "salt", "a", "shingles")
     leaders = dealt.select("b", "salt").distinct().join(side("b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "shingles")
-    return leaders.union(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return leaders.union(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first()).mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 200) -> DataFrame:

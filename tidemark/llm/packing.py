@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import words as W
-from tidemark.llm.store import Scratch, small
+from tidemark.llm.store import Scratch, lean, small
 
 U = np.uint64
 
@@ -34,6 +34,8 @@ END_ID = 2
 CACHE_BYTES, ENTRY_BYTES, LONGEST = 96 << 20, 200, 64
 #: Bytes of text that are looked through for distinct words at a time, about.
 CHUNK = 2 << 20
+#: New words that are encoded at a time.
+TOGETHER = 4096
 #: Letters whose lower case is a letter in composed form, then ASCII marks: each run is cut off from the other.
 PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!-/:-@\[-`{-~]*)")
 #: The printable symbol that stands for each byte in byte-level vocabularies.
@@ -51,15 +53,15 @@ class Ids:
     tokens could match across words, go through the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.known: dict[bytes, bytes] = {}
-        self.size = 0
+        self.size, self.most = 0, cache_bytes
         self.tokenizer = Tokenizer.from_file(path)
         self.digits = {d: self.tokenizer.token_to_id(f"{d}</w>") for d in "07"}
         # the same model without normaliser and patterns, for letters that need neither
-        self.letters = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)
         self.letters.normalizer, self.letters.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -68,28 +70,30 @@ class Ids:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _together(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """(word, its ids); most words are encoded in one go with a digit, always a token of its own, between them."""
+        """(word, its ids); most words are encoded many at a time with a digit, always a token of its own, between them."""
         rest = words
         for digit, mark in self.digits.items():
             some = [w for w in rest if digit.encode() not in w]
             rest = [w for w in rest if digit.encode() in w]
-            if some:
-                text = f" {digit} ".join([w.decode() for w in some])
+            for lo in range(0, len(some), TOGETHER):
+                part = some[lo : lo + TOGETHER]
+                text = f" {digit} ".join([w.decode() for w in part])
                 ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
                 gaps = np.concatenate([[-1], np.flatnonzero(ids == mark), [len(ids)]]).tolist()
                 raw = ids.tobytes()
-                yield from zip(some, [raw[4 * a + 4 : 4 * b] for a, b in zip(gaps[:-1], gaps[1:], strict=True)], strict=True)
+                yield from zip(part, [raw[4 * a + 4 : 4 * b] for a, b in zip(gaps[:-1], gaps[1:], strict=True)], strict=True)
         for w in rest:
             yield w, self.encode(w)
 
     def _stems(self, stems: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(stem, its ids) of plain letters: the model alone, on their byte symbols; a word's last token is marked as such."""
-        if stems:
-            symbols = " ".join([x.decode() if x.isascii() else x.decode().lower().encode().decode("latin-1").translate(SYMBOLS) for x in stems])
+        for lo in range(0, len(stems), TOGETHER):
+            part = stems[lo : lo + TOGETHER]
+            symbols = " ".join([x.decode() if x.isascii() else x.decode().lower().encode().decode("latin-1").translate(SYMBOLS) for x in part])
             ids = np.array(self.letters.encode_batch_fast([symbols], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             raw = ids.tobytes()
-            yield from zip(stems, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True)
+            yield from zip(part, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True)
 
     def learn(self, words: list[bytes]) -> list[bytes]:
         """The ids of new words; one of plain letters and the marks behind it is two, of which many words are made."""
@@ -111,7 +115,7 @@ class Ids:
             if marks:
                 found[w] = (found.get(stem) or known[stem]) + (found.get(marks) or known[marks])
         out = [found[w] for w in words]
-        if self.size > CACHE_BYTES:
+        if self.size > self.most:
             self.known, self.size = {}, 0
         kept = {w: x for w, x in found.items() if len(w) <= LONGEST}
         self.known.update(kept)
@@ -120,7 +124,7 @@ class Ids:
 
     def of(self, column: pa.Array) -> Iterator[bytes | memoryview]:
         """The ids of each text as little-endian bytes; null counts as empty."""
-        for lo, hi, data, off in W.chunks(column, CHUNK):
+        for lo, hi, data, off in W.chunks(column, min(CHUNK, self.most >> 5)):
             folded = np.append(_FOLD[data], np.zeros(8, np.uint8))
             marks = np.flatnonzero((folded[:-9] == 0x3C) & (folded[1:-8] == 0x7C)) if len(data) > 1 else np.zeros(0, np.int64)
             whole = set(np.unique(np.searchsorted(off, marks, "right") - 1).tolist())
@@ -168,11 +172,11 @@ def vocabulary_path() -> str:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local_rank long"
 
 
-def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """The pieces of every document, each with its rank among those of its length in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, seen = Ids(path or vocabulary_path()), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        ids_of, part, seen = Ids(path or vocabulary_path(), cache_bytes), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
@@ -186,7 +190,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Da
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 5 else pa.int64()) for k, c in enumerate(out)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES)
 
 
 def best_fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -229,11 +233,14 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[list[tuple[
     return out
 
 
-def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece."""
+def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece.
+
+    ``cache_bytes`` bounds each worker's memory of words; it changes the time, not the result.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    cut = scratch.save(pieces(docs, window, path), "pieces")
+    cut = scratch.save(pieces(docs, window, path, cache_bytes), "pieces")
     totals = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = scratch.save(totals.withColumn("base", before).drop("n"), "bases")
@@ -266,4 +273,4 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     ranked = cut.join(small(bases, bases.count(), 96), ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("local_rank") + F.col("base")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import words as W
-from tidemark.llm.store import Scratch, small
+from tidemark.llm.store import Scratch, lean, small
 
 BUCKETS = 1 << 14
 SMOOTH = 1.0
@@ -61,7 +61,7 @@ def _counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["bucket", "n"])
 
     out = np.zeros(BUCKETS)
-    for row in docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+    for row in docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         out[row["bucket"]] = row["n"]
     return out
 
@@ -83,7 +83,7 @@ def weights(docs: DataFrame, target: DataFrame) -> DataFrame:
                 sums = np.concatenate([[0.0], np.cumsum(shared.value[b])])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ptr).astype(np.int64)), pa.array(sums[ptr[1:]] - sums[ptr[:-1]])], names=["doc_id", "n_grams", "weight"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_grams long, weight double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_grams long, weight double")
 
 
 def gumbel_top(rows: DataFrame, share: float = SHARE) -> DataFrame:

@@ -5,9 +5,13 @@ Lineage is cut by written tables, never by ``localCheckpoint``: a lost executor
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 32 << 20
 #: Bytes of one Arrow batch sent to a Python worker, where the session sets no other bound: rows may hold long texts.
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+ROW_GROUP_BYTES = 16 << 20
 _ROOTS: set[str] = set()
 
 
@@ -34,6 +39,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
+def lean(run):
+    """The same function of batches; when a task ends, its worker gives freed memory back before the next one uses it."""
+
+    @wraps(run)
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return out
+
+
 def _delete(spark: SparkSession, where: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -59,7 +79,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
         """Write and read back; ``parts``, from a count of rows, keeps small tables from becoming many files."""
-        (df if parts is None else df.coalesce(parts)).write.mode("overwrite").parquet(self.path(name))
+        # small row groups: a task that writes long texts holds one of them
+        (df if parts is None else df.coalesce(parts)).write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
