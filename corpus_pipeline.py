@@ -19,6 +19,8 @@ from tidemark.llm.store import Scratch, table
 
 #: Near-duplicates: words of a shingle, and the similarity of 100 from which documents count as copies.
 SHINGLE, LEAST = 5, 80
+#: Bytes of words that a packing worker remembers: less than in a packing job of its own, as executors come to it filled.
+WORDS_BYTES = 16 << 20
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -61,7 +63,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, cache_bytes=WORDS_BYTES)
 
 
 STAGES = [
