@@ -191,7 +191,7 @@ def bands(reps: DataFrame) -> DataFrame:
 
 
 def exploded(sets: DataFrame) -> DataFrame:
-    """rep, component, n, shingle: one row for each shingle of each set."""
+    """rep, component, shingle: one row for each shingle of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,10 +200,10 @@ def exploded(sets: DataFrame) -> DataFrame:
                 shingles = np.frombuffer(x.as_buffer(), np.int64)
                 for lo in range(0, len(shingles), ROWS_OUT):
                     some = shingles[lo : lo + ROWS_OUT]
-                    held = [np.full(len(some), v, np.int64) for v in (rep[k], component[k], len(shingles))]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, held), pa.array(some)], names=["rep", "component", "n", "shingle"])
+                    held = [np.full(len(some), v, np.int64) for v in (rep[k], component[k])]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, held), pa.array(some)], names=["rep", "component", "shingle"])
 
-    return sets.select("rep", "component", "shingles").mapInArrow(lean(run), "rep long, component long, n long, shingle long")
+    return sets.select("rep", "component", "shingles").mapInArrow(lean(run), "rep long, component long, shingle long")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, least: int = LEAST) -> DataFrame:
@@ -304,17 +304,19 @@ def across(held: DataFrame, found: DataFrame, near: DataFrame, reps: DataFrame,
     who = scratch.save(named.select("rep", "component").distinct(), "who")
     rows = scratch.save(exploded(who.join(sets, "rep")), "rows")
     several = scratch.save(rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("shingle", (F.col("df") <= RARE).alias("rare")), "several")
-    shared = scratch.save(rows.join(several, "shingle").select("shingle", "rep", "n", "rare"), "shared")
+    shared = scratch.save(rows.join(several, "shingle").select("shingle", "rep", "rare"), "shared")
     scratch.drop("rows", "several", "mixed", "named", "who")
     part = F.shiftrightunsigned("shingle", 64 - PART_BITS)
     parts = F.array(*[F.count_if(~F.col("rare") & (part == p)).cast("int") for p in range(1 << PART_BITS)])
-    counts = shared.groupBy("rep", "n").agg(F.count("*").alias("m"), F.count_if(~F.col("rare")).alias("c"), parts.alias("p"))
-    alive = scratch.save(counts.where(f"{OF} * m >= {least} * n"), "alive")
-    rare = scratch.save(shared.where("rare").select("shingle", "rep").join(alive, "rep"), "rare")
+    # dealt by document first: partial counts of a few shingles each would be wider than the shingles
+    counts = shared.repartition("rep").groupBy("rep").agg(F.count("*").alias("m"), F.count_if(~F.col("rare")).alias("c"), parts.alias("p"))
+    alive = scratch.save(counts.join(reps.select("rep", F.col("n_shingles").alias("n")), "rep").where(f"{OF} * m >= {least} * n"), "alive")
+    rare = scratch.save(shared.where("rare").select("shingle", "rep").join(alive.select("rep", "n", "c"), "rep"), "rare")
     full = scratch.save(named.select("band", "rep").join(alive.where(f"{OF} * c >= {least} * n").select("rep", "n", "c", "p"), "rep"), "full")
     scratch.drop("shared", "open")
 
-    side = lambda df, x, *more: df.select(*more, F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"k{x}"), F.col("p").alias(f"p{x}"), F.col("component").alias(f"c{x}"))
+    lean_side = lambda df, x, *more: df.select(*more, F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"k{x}"), F.col("component").alias(f"c{x}"))
+    side = lambda df, x, *more: lean_side(df, x, *more, F.col("p").alias(f"p{x}"))
     placed = lambda df, now: df.join(now, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     ordered = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     most = " + ".join(f"least(pa[{k}], pb[{k}])" for k in range(1 << PART_BITS))
@@ -334,8 +336,10 @@ def across(held: DataFrame, found: DataFrame, near: DataFrame, reps: DataFrame,
             found = merged(found, new, scratch, f"found-champions-{k}")
 
     near_by = placed(rare, found)
-    direct = side(near_by, "a", "shingle").join(side(near_by, "b", "shingle"), "shingle").where(f"a > b AND ca <> cb AND {OF} * least(na, nb) >= {least} * greatest(na, nb)")
-    direct = direct.groupBy("a", "b", "na", "nb", F.expr(most).alias("most")).agg(F.count("*").alias("both")).where(_reach("most + both", least)).select("a", "b")
+    direct = lean_side(near_by, "a", "shingle").join(lean_side(near_by, "b", "shingle"), "shingle").where(f"a > b AND ca <> cb AND {OF} * least(na, nb) >= {least} * greatest(na, nb)")
+    direct = direct.groupBy("a", "b", "na", "nb", "ka", "kb").agg(F.count("*").alias("both")).where(_reach("least(ka, kb) + both", least))
+    spread = lambda x: alive.select(F.col("rep").alias(x), F.col("p").alias(f"p{x}"))
+    direct = direct.join(spread("a"), "a").join(spread("b"), "b").where(_reach(f"{most} + both", least)).select("a", "b")
     now = scratch.save(placed(full, found), "full-last")
     main = now.groupBy("band").agg(F.mode("component").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "main")
     now = scratch.save(now.join(main, "band"), "full-mixed")

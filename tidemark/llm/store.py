@@ -59,6 +59,16 @@ def _delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """Deletes the intermediate tables that operators make inside, whose results must have been written by the end."""
+    before = set(_ROOTS)
+    yield
+    for root in _ROOTS - before:
+        _delete(spark, root)
+        _ROOTS.discard(root)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete the intermediate tables of all operators of this process, once their results are written."""
     while _ROOTS:
