@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, neardup, packing, pii
-from tidemark.llm.store import Scratch, table
+from tidemark.llm.store import Scratch, swept, table
 
 
 #: Near-duplicates: words of a shingle, and the similarity of 100 from which documents count as copies.
@@ -34,7 +34,8 @@ def _without(spark: SparkSession, docs: DataFrame, name: str, gone: Callable[[Da
     """``docs`` without the rows whose numbers ``gone`` gives, from a table (doc_id, text) with the rows' numbers as ids."""
     scratch, key = Scratch(spark, name), _free(docs, "row")
     numbered = scratch.save(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    rows = scratch.save(gone(numbered.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key)), "gone")
+    with swept(spark):
+        rows = scratch.save(gone(numbered.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key)), "gone")
     return numbered.join(rows, key, "left_anti").select(*docs.columns)
 
 
