@@ -1,9 +1,12 @@
 """Small cases with results worked out by hand, and random paths against plain loops."""
 
 import datetime as dt
+import math
 import random
 import statistics
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +299,39 @@ def test_basket_chains_mean_returns_over_full_days(spark):
     assert got == [(1, 100.0, 100.0, 100.0, 100.0), (2, 105.0, 110.0, 105.0, 110.0), (4, 110.0, 110.0, 110.0, 110.0)]
 
 
+def test_basket_goes_on_beyond_the_range_of_doubles(spark):
+    # A and B take turns at 1 and 1000: a mean step of 500.0005 a day
+    rows = [(c, D(2024, 1, 1) + dt.timedelta(k), 500.0, 1000.0 if (c == "A") == (k % 2 == 0) else 1.0) for c in "AB" for k in range(200)]
+    got = stats.basket(spark.createDataFrame(rows, "code string, kst_date date, open double, close double")).orderBy("kst_date").collect()
+    assert [r["log_close"] for r in got] == pytest.approx([math.log(100) + k * math.log(500.0005) for k in range(200)])
+    assert [r["log_step"] for r in got] == pytest.approx([0.0] + 199 * [math.log(500.0005)])
+    assert [r["opened"] for r in got] == pytest.approx([1.0] + 199 * [250.25 / 500.0005])
+
+
+def _soaring(tmp_path):
+    """A folder whose orders make a basket of three codes, two of which take turns at 1 and 1000, over 300 weekdays."""
+    days = [d for d in (D(2024, 1, 1) + dt.timedelta(k) for k in range(420)) if d.weekday() < 5]
+    rows = [(3 * k + c, c, float(500 if c == 2 else 1000 if (k + c) % 2 else 1), d) for k, d in enumerate(days) for c in range(3)]
+    key, cust, total, day = zip(*rows)
+    pq.write_table(pa.table({"o_orderkey": pa.array(key, pa.int64()), "o_custkey": pa.array(cust, pa.int64()), "o_totalprice": pa.array(total, pa.float64()), "o_orderdate": pa.array([dt.datetime(d.year, d.month, d.day) for d in day], pa.timestamp("us"))}), tmp_path / "orders.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["op_altcoin"])
+def test_basket_queries_match_their_sql_beyond_the_range_of_doubles(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.plans import QUERIES, SQL
+
+    con, d = duckdb.connect(), _soaring(tmp_path)
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{d}/orders.parquet')")
+    query = QUERIES[name](spark, d)
+    got = [tuple(r) for r in query.orderBy("kst_date").collect()]
+    want = [(day.date() if isinstance(day, dt.datetime) else day, *rest) for day, *rest in con.execute(f"SELECT {', '.join(query.columns)} FROM ({SQL[name]}) ORDER BY kst_date").fetchall()]
+    assert len(got) == len(want) == 300
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert all(g[1:] == pytest.approx(w[1:], abs=2e-7) for g, w in zip(got, want))
+
+
 MEDIA = "media_id long, name string, domain string, tier string, channel string"
 RULES = "rule int, tier string, canonical string, aliases array<string>, channel string"
 
