@@ -317,7 +317,7 @@ def _soaring(tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["op_altcoin"])
+@pytest.mark.parametrize("name", ["op_altcoin", "win_cumprod"])
 def test_basket_queries_match_their_sql_beyond_the_range_of_doubles(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     from tidemark.plans import QUERIES, SQL
