@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, neardup, packing, pii
-from tidemark.llm.store import Scratch, swept, table
+from tidemark.llm.store import Scratch, small_batches, swept, table
 
 
 #: Near-duplicates: words of a shingle, and the similarity of 100 from which documents count as copies.
 SHINGLE, LEAST = 5, 80
 #: Bytes of words that a packing worker remembers: less than in a packing job of its own, as executors come to it filled.
 WORDS_BYTES = 16 << 20
+#: For the same reason: bytes of an Arrow batch, where the session sets none, and stretches that language ID reads together.
+BATCH_BYTES, TOGETHER = 2 << 20, 256
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -41,8 +43,9 @@ def _without(spark: SparkSession, docs: DataFrame, name: str, gone: Callable[[Da
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language; those without letters go."""
+    small_batches(spark, BATCH_BYTES)
     names, found = docs.columns, (_free(docs, "lang_pred"), _free(docs, "score"))
-    out = langid.predict(docs, langid.train(docs), keep=names, names=found)
+    out = langid.predict(docs, langid.train(docs), keep=names, names=found, together=TOGETHER)
     return out.where(F.col(found[0]) != langid.UND).select(*names)
 
 
@@ -80,6 +83,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, BATCH_BYTES)
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "corpus")
     for k, (_, stage) in enumerate(STAGES[:-1]):

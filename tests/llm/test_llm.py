@@ -374,6 +374,31 @@ def test_labels_match_a_plain_forward_pass(monkeypatch):
             assert got[k] == pytest.approx(want, rel=1e-3, abs=1e-2), (span, text)
 
 
+def test_language_id_reads_a_kept_text_once_and_few_stretches_together(spark):
+    x = docs(spark, [*EDGE, *prose(3, 12)])
+    net = langid.fit({"en": [b"the thing with the ring"] * 3, "fr": [b"les eaux de la mer"] * 3}, 20)
+    want = [tuple(r) for r in langid.predict(x, net).orderBy("doc_id").collect()]
+    got = langid.predict(x, net, keep=x.columns, together=2)
+    assert got.columns == [*x.columns, "lang_pred", "score"]
+    assert "_read" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = got.orderBy("doc_id").collect()
+    assert [tuple(r)[:-2] for r in rows] == [tuple(r) for r in x.orderBy("doc_id").collect()]
+    assert [(r["doc_id"], r["lang_pred"], pytest.approx(r["score"], abs=1e-5)) for r in rows] == want
+
+
+def test_pipeline_sends_small_batches_unless_the_session_says_otherwise(spark):
+    import corpus_pipeline
+    from tidemark.llm.store import BATCH_KEY
+
+    x = docs(spark, ["one text"])
+    for own in (None, "1234567"):
+        session = spark.newSession()
+        if own:
+            session.conf.set(BATCH_KEY, own)
+        corpus_pipeline.identify_language(session, session.createDataFrame(x.collect(), x.schema), "")
+        assert session.conf.get(BATCH_KEY) == (own or str(2 << 20))
+
+
 def test_language_id_of_odd_texts(spark):
     stock = {"en": "the and thing with of that ing tion".split(), "fr": "été les eaux dans que pour ça où".split()}
     rng = np.random.default_rng(4)

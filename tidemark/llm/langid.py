@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.llm import words as W
 from tidemark.llm.store import lean, small_batches
@@ -196,8 +197,8 @@ def train(docs: DataFrame) -> Network | None:
 class Labeller:
     """The network over many stretches at a time, its gates laid out for that."""
 
-    def __init__(self, net: Network):
-        w, self.hidden = net.weights, net.weights["hf"].shape[0]
+    def __init__(self, net: Network, together: int | None = None):
+        w, self.hidden, self.together = net.weights, net.weights["hf"].shape[0], together or TOGETHER
         self.languages, self.bias = net.languages, w["o"]
         n = 2 * self.hidden
         scale = np.ones(3 * self.hidden, F32)
@@ -241,8 +242,8 @@ class Labeller:
         total = np.zeros((len(size), len(self.languages) + 1))
         order = np.argsort(lo - hi, kind="stable")
         folded = _FOLD[data]
-        for k in range(0, len(order), TOGETHER):
-            some = order[k : k + TOGETHER]
+        for k in range(0, len(order), self.together):
+            some = order[k : k + self.together]
             length = (hi - lo)[some]
             steps = np.arange(length[0])
             inside = steps[:, None] < length
@@ -276,22 +277,29 @@ class Labeller:
                 yield self.languages[best], float(pooled[best])
 
 
-def predict(docs: DataFrame, net: Network | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``keep`` columns (doc_id) and the answer's columns, ``names``, which must not be among them."""
+def predict(docs: DataFrame, net: Network | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), together: int | None = None) -> DataFrame:
+    """``keep`` columns (doc_id) and the answer's columns, ``names``, which must not be among them.
+
+    ``together`` (TOGETHER) bounds the stretches that a worker holds at a time; it changes the time, not the result.  A text that is
+    kept goes to the workers once.
+    """
     keep = keep or ["doc_id"]
     if net is None:
         return docs.select(*keep, F.lit(UND).alias(names[0]), F.lit(0.0).alias(names[1]))
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_read"))
+    rows = docs.select(*keep)
+    held, read = len(rows.columns), rows.columns.index("text") if "text" in rows.columns and rows.schema["text"].dataType == StringType() else -1
+    if read < 0:
+        rows = docs.select(*keep, F.col("text").cast("string").alias("_read"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value)
+        labeller = Labeller(shared.value, together)
         for batch in batches:
-            found = list(labeller.predict(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names[:-1], *names])
+            found = list(labeller.predict(batch.column(read % batch.num_columns)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:held], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names[:held], *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:held])
     return rows.mapInArrow(lean(run), f"{schema}, {names[0]} string, {names[1]} double")
 
 
